@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space (space, tab, LF, VT, FF, CR); ``bytes.split()`` gives the same.
@@ -90,6 +90,18 @@ def same_key(a: DataFrame, b: DataFrame):
     return a["id"].eqNullSafe(b["id"]) & (a["th"] == b["th"])
 
 
+def only(df: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` whose key is in ``kept`` (id, th), each key once, with all their columns. One exchange of the rows serves the join and the choice
+    among repeated rows."""
+    mark = lambda c: (F.coalesce(c, F.lit(0).cast("long")), c.isNull())
+    own, of = mark(F.col(f"`{id_col}`").cast("long")), mark(F.col("id"))
+    th = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    kept = kept.select(of[0].alias("_i"), of[1].alias("_n"), F.col("th").alias("_t")).distinct()
+    joined = df.select(F.struct("*").alias("_row"), own[0].alias("_i"), own[1].alias("_n"), th.alias("_t")).join(kept, ["_i", "_n", "_t"])
+    at = F.row_number().over(Window.partitionBy("_i", "_n", "_t").orderBy(F.lit(0)))
+    return joined.withColumn("_at", at).filter("_at = 1").select("_row.*")
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     small_batches(df.sparkSession)
     return df.mapInArrow(f, schema)
@@ -105,7 +117,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     Alternating large-star and small-star steps, each staged; all state is in tables. Hot nodes are met by partial
     aggregation and by joins that adaptive execution can split."""
     now = staged(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    print_before = None
+    before = None
     for _ in range(most):
         # large star: each neighbour larger than u is tied to the smallest of u and its neighbours
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -118,7 +130,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         printed = after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         drop(now)
         now = after
-        if tuple(printed) == print_before:
+        if tuple(printed) == before:
             return now.select(F.col("u").alias("v"), F.col("v").alias("m"))
-        print_before = tuple(printed)
+        before = tuple(printed)
     raise RuntimeError("components did not settle")

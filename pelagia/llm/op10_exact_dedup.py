@@ -12,15 +12,16 @@ share is settled from two rows for each range.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, map_arrow, partitions, staged, table
+from .common import keyed, map_arrow, only, partitions, staged, table, texts
 
 BLOCK = 4096
 
@@ -82,14 +83,35 @@ def named(df: DataFrame, keys: list[str], carry: str) -> DataFrame:
     return out
 
 
+def normalised(text: bytes) -> bytes:
+    """Each run of ASCII white space as one space."""
+    words = text.split()
+    if not words:
+        return text and b" "
+    return b" " * text[:1].isspace() + b" ".join(words) + b" " * text[-1:].isspace()
+
+
 def identities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Columns id, th, sha (of the normalised text), level and name, one row for each input row. Level and name are the collision-free
     identity: rows have the same pair exactly if their normalised texts are equal."""
-    norm = F.regexp_replace(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), SPACE, " ")
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), norm.alias("norm"))
-    docs = docs.select("id", F.xxhash64("norm").alias("th"), F.unhex(F.sha2("norm", 256)).alias("sha"), F.expr(f"transform(sequence(0, greatest(0, octet_length(norm) - 1) div {block}), i -> substring(cast(norm as binary), i * {block} + 1, {block}))").alias("blocks"))
-    rows = docs.select("id", "th", "sha", F.size("blocks").alias("n"), F.posexplode("blocks").alias("idx", "block"))
-    rows = rows.withColumn("sha", F.when(F.col("idx") == 0, F.col("sha")))  # once for each input row
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each block; the digest is on the first one, so once for each input row."""
+        names, size = ["id", "th", "sha", "n", "idx", "block"], 0
+        out: list[list] = [[] for _ in names]
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=names)
+        for b in batches:
+            for i, th, t in zip(b.column("id").to_pylist(), b.column("th").to_pylist(), texts(b), strict=True):
+                t = normalised(t)
+                n = max(1, -(-len(t) // block))
+                for c, v in zip(out, ([i] * n, [th] * n, [hashlib.sha256(t).digest(), *[None] * (n - 1)], [n] * n, range(n), (t[k * block : (k + 1) * block] for k in range(n))), strict=True):
+                    c.extend(v)
+                if (size := size + len(t)) > 1 << 21:
+                    yield flush()
+                    out, size = [[] for _ in names], 0
+        yield flush()
+
+    rows = map_arrow(keyed(df, id_col, text_col), cut, "id bigint, th bigint, sha binary, n int, idx int, block binary")
     level0 = named(rows, ["block"], "id bigint, th bigint, sha binary, n int, idx int")
     whole = level0.filter("n = 1").select("id", "th", F.lit(0).alias("level"), "name").distinct()
     now, level = level0.filter("n > 1"), 0
@@ -110,31 +132,24 @@ def identities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row for each input row: id_col, keep_id (the smallest id of equal texts), group_size (its rows), kept, text_sha256.
+    """One row for each input row: id, th, keep_id (the smallest id of equal texts), group_size (its rows), kept, text_sha256.
 
     Null texts count as empty, and empty texts are equal to each other. Null ids come last: they are kept only if no row of the group has an id. Rows
     that repeat an id with the same text count in group_size, and are reported alike. An empty table gives an empty result.
     Other columns aren't read."""
     rows = staged(identities(df, id_col, text_col, block), "ids")
     best = rows.groupBy("level", "name").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(best, ["level", "name"]).select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return rows.join(best, ["level", "name"]).select("id", "th", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay: of equal texts the one with the smallest id, once if it is repeated. All columns are kept."""
-    groups = exact_groups(df, id_col, text_col).filter("kept")
-    mark = lambda c: (F.coalesce(c, F.lit(0).cast("long")), c.isNull())
-    own, kept = mark(F.col(f"`{id_col}`").cast("long")), mark(F.col(id_col))
-    groups = groups.select(kept[0].alias("_i"), kept[1].alias("_n"), F.col("text_sha256").alias("_s")).distinct()
-    sha = F.sha2(F.regexp_replace(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), SPACE, " "), 256)
-    # one exchange of the rows serves the join and the choice among repeated rows
-    joined = df.select(F.struct("*").alias("_row"), own[0].alias("_i"), own[1].alias("_n"), sha.alias("_s")).join(groups, ["_i", "_n", "_s"])
-    at = F.row_number().over(Window.partitionBy("_i", "_n", "_s").orderBy(F.lit(0)))
-    return joined.withColumn("_at", at).filter("_at = 1").select("_row.*")
+    return only(df, exact_groups(df, id_col, text_col).filter("kept").groupBy("id", "text_sha256").agg(F.min("th").alias("th")), id_col, text_col)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(table(spark, sf_dir, "documents"))
+    groups = exact_groups(table(spark, sf_dir, "documents"))
+    return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
 ORACLE = r"""

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op3_language, op9_simhash, op10_exact_dedup
+from . import op3_language, op6_suffix_array, op7_substring_dedup, op9_simhash, op10_exact_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language.op3_language_id,
+    "op6_suffix_array_dedup": op6_suffix_array.op6_suffix_array_dedup,
+    "op7_substring_dedup": op7_substring_dedup.op7_substring_dedup,
     "op9_simhash_near_dedup": op9_simhash.op9_simhash_near_dedup,
     "op10_exact_dedup": op10_exact_dedup.op10_exact_dedup,
 }

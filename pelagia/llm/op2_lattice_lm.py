@@ -31,7 +31,7 @@ from .common import drop, keyed, map_arrow, partitions, staged, table, texts
 from .lattice import Lattice
 from .op3_language import held_out
 
-VOCABULARY, LONGEST, ROUNDS, BLOCK = "/opt/tokenizers/piece_bpe_32k.model", 16, 2, 12 << 20
+VOCABULARY, LONGEST, ROUNDS, BLOCK = "/opt/tokenizers/piece_bpe_32k.model", 16, 3, 12 << 20
 
 
 def packed(data) -> bytes:

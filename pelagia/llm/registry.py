@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op3_language, op6_suffix_array, op7_substring_dedup, op9_simhash, op10_exact_dedup
+from . import op2_lattice_lm, op3_language, op4_decontaminate, op5_html_text, op6_suffix_array, op7_substring_dedup, op8_packing, op9_simhash, op10_exact_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lattice_likelihood": op2_lattice_lm.op2_lattice_likelihood,
     "op3_language_id": op3_language.op3_language_id,
+    "op4_decontamination": op4_decontaminate.op4_decontamination,
+    "op5_html_text": op5_html_text.op5_html_text,
     "op6_suffix_array_dedup": op6_suffix_array.op6_suffix_array_dedup,
     "op7_substring_dedup": op7_substring_dedup.op7_substring_dedup,
+    "op8_length_buckets": op8_packing.op8_length_buckets,
     "op9_simhash_near_dedup": op9_simhash.op9_simhash_near_dedup,
     "op10_exact_dedup": op10_exact_dedup.op10_exact_dedup,
 }

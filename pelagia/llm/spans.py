@@ -52,6 +52,15 @@ def anchored(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.
     return at[first], first, np.diff(np.append(first, n))
 
 
+def periodic(h: np.ndarray, sw: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Neighbouring runs that agree in h, sw and length are one row, with their number: in a text that repeats itself every few units, all of it is."""
+    if not len(h):
+        return h, sw, lo, n, n
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (sw[1:] != sw[:-1]) | (n[1:] != n[:-1])))
+    at = np.flatnonzero(new)
+    return h[at], sw[at], lo[at], n[at], np.diff(np.append(at, len(h)))
+
+
 def merged(lo: np.ndarray, count: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of units that windows ``lo .. lo + count - 1`` cover."""
     if not len(lo):
@@ -78,22 +87,22 @@ class Units:
 
 
 def anchor_rows(docs: DataFrame, u: Units) -> DataFrame:
-    """h, sw, id, th, lo, n of keyed documents."""
-    names = ["h", "sw", "id", "th", "lo", "n"]
+    """h, sw, id, th, lo, n (windows of a run) and m (runs in a row) of keyed documents."""
+    names = ["h", "sw", "id", "th", "lo", "n", "m"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [u.anchors(u.split(t)) for t in texts(b)]
+            found = [periodic(*u.anchors(u.split(t))) for t in texts(b)]
             rows = pa.array(np.repeat(np.arange(b.num_rows), [len(f[0]) for f in found]))
-            h, sw, lo, n = (np.concatenate([f[i] for f in found]) for i in range(4))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(sw.view(np.int64)), b.column("id").take(rows), b.column("th").take(rows), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], names=names)
+            h, sw, lo, n, m = (np.concatenate([f[i] for f in found]) for i in range(5))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(sw.view(np.int64)), b.column("id").take(rows), b.column("th").take(rows), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(m.astype(np.int32))], names=names)
 
-    return map_arrow(docs, run, "h bigint, sw bigint, id bigint, th bigint, lo int, n int")
+    return map_arrow(docs, run, "h bigint, sw bigint, id bigint, th bigint, lo int, n int, m int")
 
 
 def entries(rows: DataFrame) -> DataFrame:
     """For each anchor: how often it occurs, and the least and the largest ``sw``. Entries of several batches merge by sum, least and greatest."""
-    return rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("sw").alias("s0"), F.max("sw").alias("s1"))
+    return rows.groupBy("h").agg(F.sum(F.col("m").cast("long")).alias("c"), F.min("sw").alias("s0"), F.max("sw").alias("s1"))
 
 
 def repeated(df: DataFrame, id_col: str, text_col: str, u: Units, index: Callable[[DataFrame], DataFrame], digest: bool) -> DataFrame:
@@ -101,16 +110,17 @@ def repeated(df: DataFrame, id_col: str, text_col: str, u: Units, index: Callabl
     in lower-case hex if ``digest``) and n_spans. ``index`` gets the anchor rows and gives their entries."""
     docs = keyed(df, id_col, text_col)
     rows = staged(anchor_rows(docs, u), "anchors")
-    known = index(rows).filter("c > 1").select("h", (F.col("s0") != F.col("s1")).alias("mixed"))
+    # staged, so that it has no buckets and adaptive execution can split a hot anchor's rows
+    known = staged(index(rows).filter("c > 1").select("h", (F.col("s0") != F.col("s1")).alias("mixed")), "known")
     found = staged(rows.join(known, "h"), "repeated")
-    drop(rows)
+    drop(rows, known)
 
     mixed = found.filter("mixed")
     mark = F.xxhash64("id", "th", "lo")
-    by = mixed.groupBy("h", "sw").agg(F.count(F.lit(1)).alias("c"), F.min(mark).alias("one"))
-    mixed = mixed.join(by, ["h", "sw"]).select("h", "id", "th", "lo", "n", (F.col("c") == 1).alias("single"), (mark == F.col("one")).alias("send"))
-    whole = found.filter("not mixed").select("h", "id", "th", "lo", "n", F.lit(False).alias("single"), F.lit(False).alias("send"))
-    lists = mixed.unionByName(whole).groupBy("id", "th").agg(F.collect_list(F.struct("h", "lo", "n", "single", "send")).alias("runs"))
+    by = mixed.groupBy("h", "sw").agg(F.sum(F.col("m").cast("long")).alias("c"), F.min(mark).alias("one"))
+    mixed = mixed.join(by, ["h", "sw"]).select("h", "id", "th", "lo", "n", "m", (F.col("c") == 1).alias("single"), (mark == F.col("one")).alias("send"))
+    whole = found.filter("not mixed").select("h", "id", "th", "lo", "n", "m", F.lit(False).alias("single"), F.lit(False).alias("send"))
+    lists = mixed.unionByName(whole).groupBy("id", "th").agg(F.collect_list(F.struct("h", "lo", "n", "m", "single", "send")).alias("runs"))
 
     names = ["kind", "id", "th", "text", "n_units", "lo", "n", "h", "single"]
     own = "kind int, id bigint, th bigint, text binary, n_units int, lo array<int>, n array<int>, h bigint, single boolean"
@@ -127,11 +137,12 @@ def repeated(df: DataFrame, id_col: str, text_col: str, u: Units, index: Callabl
                 x = u.split(t)
                 one = runs[i].values if runs[i].is_valid else None
                 col = (lambda k, one=one: np.asarray(one.field(k).to_numpy(zero_copy_only=False))) if one is not None else (lambda k: np.zeros(0, np.int64))
-                lo, n, single, send = col("lo").astype(np.int64), col("n").astype(np.int64), col("single").astype(bool), col("send").astype(bool)
+                lo, n, m, single, send = *(col(k).astype(np.int64) for k in ("lo", "n", "m")), *(col(k).astype(bool) for k in ("single", "send"))
                 for k in np.flatnonzero(send).tolist():
                     p = u.payload(x, int(lo[k]), int(n[k]))
                     out.append((2, key, th, p, None, [int(lo[k])], [int(n[k])], one.field("h")[k].as_py(), bool(single[k])))
                     size += len(p)
+                n = n * m
                 if single.any():
                     out.append((1, key, th, t, None, lo[~single].tolist(), n[~single].tolist(), None, None))
                     size += len(t)

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_lattice_lm, op3_language, op4_decontaminate, op5_html_text, op6_suffix_array, op7_substring_dedup, op8_packing, op9_simhash, op10_exact_dedup
+from . import op1_warc, op2_lattice_lm, op3_language, op4_decontaminate, op5_html_text, op6_suffix_array, op7_substring_dedup, op8_packing, op9_simhash, op10_exact_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_index": op1_warc.op1_warc_index,
     "op2_lattice_likelihood": op2_lattice_lm.op2_lattice_likelihood,
     "op3_language_id": op3_language.op3_language_id,
     "op4_decontamination": op4_decontaminate.op4_decontamination,
@@ -20,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup.op10_exact_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc_index": op1_warc.ORACLE,
     "op10_exact_dedup": op10_exact_dedup.ORACLE,
 }

@@ -44,12 +44,12 @@ def nearest_on_axis(points: DataFrame, axis: DataFrame, value: str, idx: str, co
             return pd.Series(indices[np.where((da < db) | ((da == db) & (indices[a] < indices[b])), a, b)].astype(np.int32))
 
         return points.withColumn(idx, search(clamped))
-    lookup = F.broadcast(axis.sparkSession.createDataFrame([(0, [float(x) for x in values])], "k int, axis array<float>"))
+    lookup = F.broadcast(axis.sparkSession.createDataFrame([(0, [float(x) for x in values])], "_k int, _axis array<float>"))
     place = F.floor((clamped.cast("double") - F.lit(float(low))) / F.lit(step)).cast("int")
     near = lambda k: F.greatest(F.lit(0), F.least(F.lit(n - 1), place + k))
-    best = F.array_min(F.array(*(F.struct(F.abs(F.get("axis", near(k)) - clamped).alias("d"), (near(k) + first).alias("i")) for k in (-1, 0, 1, 2))))
+    best = F.array_min(F.array(*(F.struct(F.abs(F.get("_axis", near(k)) - clamped).alias("d"), (near(k) + first).alias("i")) for k in (-1, 0, 1, 2))))
     # one row on the right: a join on a constant, not a product of rows
-    return points.withColumn("k", F.lit(0)).join(lookup, "k").withColumn(idx, best["i"].cast("int")).drop("k", "axis")
+    return points.withColumn("_k", F.lit(0)).join(lookup, "_k").withColumn(idx, best["i"].cast("int")).drop("_k", "_axis")
 
 
 def nearest_cells(points: DataFrame, lon_axis: DataFrame, lat_axis: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,29 @@ def write_days(cells: DataFrame, root: str, config: GridConfig | None = None, re
     return days
 
 
+@contextmanager
+def single_writer(spark: SparkSession, path: str) -> Iterator[bool]:
+    """Whether this is the only writer: a lock file in the store's own file system, made only if it isn't there, and removed in the end."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        fs.mkdirs(hadoop.getParent())
+        won = fs.createNewFile(hadoop)
+    except Exception:
+        won = False
+    try:
+        yield won
+    finally:
+        if won:
+            fs.delete(hadoop, False)
+
+
+def write_attributes(spark: SparkSession, root: str, source: str = "") -> None:
+    """What the store's columns mean, beside it."""
+    rows = [("sst", "degrees Celsius"), ("sst_anomaly", "degrees Celsius"), ("sea_ice", "fraction, 0 to 1"), ("lon", "degrees east"), ("lat", "degrees north")]
+    spark.createDataFrame([(n, u, "lat,lon", source) for n, u in rows], "name string, units string, dims string, source string").coalesce(1).write.mode("overwrite").json(f"{root}/attributes")
+
+
 def ingest(granules: DataFrame, root: str, index_path: str | None = None, config: GridConfig | None = None, replace: bool = False, check: bool = True, strict: bool = False) -> tuple[list[dt.date], str]:
     """Source cells to store days: normalise, write, verify, then bring the index up to date. Returns the days written and the verifier's word. A failed check stops
     the index only if ``strict``."""
@@ -76,11 +100,13 @@ def pending(spark: SparkSession, start: str, end: str, days: DataFrame) -> DataF
 
 
 def backfill(spark: SparkSession, start: str, end: str, root: str, source: Callable[[dt.date], DataFrame], index_path: str | None = None, config: GridConfig | None = None) -> list[dt.date]:
-    """Ingests each missing day in turn, and stops at the first that fails. ``source`` gives a day's granule."""
+    """Ingests each missing day in turn, and stops at the first that fails. ``source`` gives a day's granule. A day that another writer is at is left out of the result."""
     done = []
     for r in pending(spark, start, end, known_days(spark, root)).orderBy("date").collect():  # calendar days
-        ingest(source(r["date"]), root, index_path, config)
-        done.append(r["date"])
+        with single_writer(spark, f"{root}/_lock") as alone:
+            if alone:
+                ingest(source(r["date"]), root, index_path, config)
+                done.append(r["date"])
     return done
 
 

@@ -69,6 +69,25 @@ def test_backfill(spark, tmp_path):
             pipe.backfill(spark, a, b, root, lambda d: granule(spark, d))
 
 
+def test_single_writer(spark, tmp_path):
+    lock = str(tmp_path / "s" / "_lock")
+    with pipe.single_writer(spark, lock) as a, pipe.single_writer(spark, lock) as b:
+        assert a and not b
+        assert pipe.backfill(spark, "2024-01-01", "2024-01-01", str(tmp_path / "s"), lambda d: granule(spark, d)) == []
+    with pipe.single_writer(spark, lock) as a:
+        assert a
+    pipe.write_attributes(spark, str(tmp_path / "s"), "test")
+    assert spark.read.json(str(tmp_path / "s" / "attributes")).count() == 5
+
+
+def test_netcdf_needs_its_package(spark):
+    from pelagia.sources import netcdf
+
+    if netcdf.netCDF4 is None:
+        with pytest.raises(BadRequest, match="netCDF4"):
+            netcdf.read_granules(spark, "x")
+
+
 def test_parity(spark):
     a = normalise(granule(spark, D(2024, 1, 1)))
     assert parity.verify(a, a)[0] == "PASS"

@@ -5,7 +5,8 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from ..errors import BadRequest
 from ..functions import params
@@ -54,10 +55,17 @@ def plan_box(store: GridStore, lon0: float, lat0: float, lon1: float, lat1: floa
 
 def box(store: GridStore, lon0: float, lat0: float, lon1: float, lat1: float, start: str | None = None, end: str | None = None, append: str | None = None, sample: int = 1, mode: str | None = None) -> DataFrame:
     """The cells of a box on one day: lon, lat, date and fields."""
+    return box_served(store, lon0, lat0, lon1, lat1, start, end, append, sample, mode)[0]
+
+
+def box_served(store: GridStore, lon0: float, lat0: float, lon1: float, lat1: float, start: str | None = None, end: str | None = None, append: str | None = None, sample: int = 1, mode: str | None = None) -> tuple[DataFrame, Box, Observation]:
+    """A box's cells with its plan, and an observation that has ``served``, the number of rows, once the cells have been read: no second pass."""
     params.finite(lon0, lat0, lon1, lat1)
     fields, modes = params.request_fields(append, store.config.fields), params.request_modes(mode)
     b = plan_box(store, lon0, lat0, lon1, lat1, start, end, sample)
-    return extract.box_rows(extract.box_cells(store.grid, b.day, b.i0, b.i1, b.j0, b.j1, b.stride), fields, "truncate" in modes)
+    seen = Observation()
+    rows = extract.box_rows(extract.box_cells(store.grid, b.day, b.i0, b.i1, b.j0, b.j1, b.stride), fields, "truncate" in modes)
+    return rows.observe(seen, F.count(F.lit(1)).alias("served")), b, seen  # after the sort, which reads its input twice
 
 
 def point(store: GridStore, lon0: float, lat0: float, start: str | None = None, end: str | None = None, append: str | None = None, mode: str | None = None) -> DataFrame:

@@ -41,6 +41,11 @@ class GridStore:
         """A store over a table of cells; its manifest and axes are taken from the cells."""
         return cls(grid, grid.select("date").distinct(), grid.select("lon_idx", "lon").distinct(), grid.select("lat_idx", "lat").distinct(), config)
 
+    def views(self, prefix: str = "") -> None:
+        """Temporary views for SQL: grid, days, lon_axis and lat_axis."""
+        for name in ("grid", "days", "lon_axis", "lat_axis"):
+            getattr(self, name).createOrReplaceTempView(f"{prefix}{name}")
+
     def bounds(self) -> DataFrame:
         return self.days.agg(F.min("date").alias("earliest"), F.max("date").alias("latest"))
 

@@ -153,3 +153,10 @@ def test_json_rows(two):
     df = requests.read(two, 135, 15, append="sst,sea_ice")
     assert json_rows(df).first()[0] == '{"lon":135.0,"lat":15.0,"date":"2025-11-03","sst":21.0,"sea_ice":null}'
     assert "sea_ice" not in json_rows(df, omit_null=True).first()[0]
+
+
+def test_served_rows_and_views(spark, two):
+    df, box, seen = requests.box_served(two, 135, 15, 136, 16, sample=1)
+    assert len(df.collect()) == box.cells == seen.get["served"] == 4
+    two.views("t_")
+    assert spark.sql("SELECT count(*) FROM t_grid WHERE date = (SELECT max(date) FROM t_days)").first()[0] == 4

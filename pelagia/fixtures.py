@@ -30,7 +30,14 @@ def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def store(spark: SparkSession, sf_dir: str, config: GridConfig | None = None) -> GridStore:
-    return GridStore.of_cells(cube(spark, sf_dir), config)
+    """The cube with its manifest and axes, which come from narrow scans and not from the cells."""
+    events = table(spark, sf_dir, "events")
+    user = events.select("user_id").distinct()
+    place = user.select(F.expr("cast(user_id div 5 as int)").alias("lat_idx"), (F.col("user_id") % 5).cast("int").alias("lon_idx"))
+    lon = place.select("lon_idx").distinct().withColumn("lon", ((12000 + F.col("lon_idx")) / F.lit(100.0)).cast("float"))
+    lat = place.select("lat_idx").distinct().withColumn("lat", ((2000 + F.col("lat_idx")) / F.lit(100.0)).cast("float"))
+    days = events.select(F.col("ts").cast("date").alias("date")).filter(F.dayofmonth("date") % 7 != 0).distinct()
+    return GridStore(cube(spark, sf_dir), days, lon, lat, config)
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import COORD_DIGITS, FIELD_DIGITS, half_even
 
 
+ONE_PLACE = 1_000_000
+
+
 def output(fields: list[str], truncate: bool) -> list[Column]:
     """Coordinates and fields as doubles, perhaps rounded; a field that is asked for twice comes once."""
     coord = (lambda x: half_even(x, COORD_DIGITS)) if truncate else (lambda x: F.col(x).cast("double"))
@@ -20,7 +23,7 @@ def output(fields: list[str], truncate: bool) -> list[Column]:
 def point_cells(grid: DataFrame, days: list[dt.date], lon_idx: int, lat_idx: int, fields: list[str], truncate: bool = False) -> DataFrame:
     """A cell on some days, ascending by date."""
     found = grid.filter(F.col("date").isin(days) & (F.col("lat_idx") == lat_idx) & (F.col("lon_idx") == lon_idx))
-    return found.select(*output(fields, truncate)).orderBy("date")
+    return found.select(*output(fields, truncate)).repartition(1).sortWithinPartitions("date")  # some days
 
 
 def box_cells(grid: DataFrame, day: dt.date, i0: int, i1: int, j0: int, j1: int, stride: int = 1) -> DataFrame:
@@ -31,9 +34,11 @@ def box_cells(grid: DataFrame, day: dt.date, i0: int, i1: int, j0: int, j1: int,
     return found
 
 
-def box_rows(cells: DataFrame, fields: list[str], truncate: bool = False) -> DataFrame:
-    """Latitude by latitude, then by longitude, both ascending."""
-    return cells.orderBy("lat_idx", "lon_idx").select(*output(fields, truncate))
+def box_rows(cells: DataFrame, fields: list[str], truncate: bool = False, count: int | None = None) -> DataFrame:
+    """Latitude by latitude, then by longitude, both ascending. Up to ONE_PLACE cells (by plan) are sorted in one place, since a range sort would read them twice."""
+    small = count is not None and count <= ONE_PLACE
+    sort = cells.repartition(1).sortWithinPartitions("lat_idx", "lon_idx") if small else cells.orderBy("lat_idx", "lon_idx")
+    return sort.select(*output(fields, truncate))
 
 
 def box_mean(cells: DataFrame, fields: list[str]) -> DataFrame:

@@ -11,21 +11,16 @@ from ..functions.columns import clamp
 from ..sources.store import LONGEST_AXIS
 
 
-def axis_info(axis: DataFrame, idx: str, value: str) -> tuple[int, float, float, int]:
-    """Number of cells, lowest and highest coordinate, and the least index."""
-    r = axis.agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.min(idx).alias("first")).first()
-    return r["n"], r["low"], r["high"], r["first"]
-
-
 def nearest_on_axis(points: DataFrame, axis: DataFrame, value: str, idx: str, coord: str) -> DataFrame:
     """``points`` with column ``idx``: the index of the axis cell nearest to column ``value``, by 32-bit distance, the lower index of two equally near ones.
 
     On an ascending, even axis the nearest cell is among the four around the value's place, so each value is joined with four candidates by index, against
     a broadcast axis (its length is checked); the least (distance, index) of the four is taken by position in the same row. Other axes are searched in numpy by batches."""
-    n, low, high, first = axis_info(axis, idx, coord)
+    rows = sorted({(r[0], r[1]) for r in axis.select(idx, F.col(coord).cast("float")).limit(LONGEST_AXIS + 1).collect()})
+    n = len(rows)
     if not n or n > LONGEST_AXIS:
         raise ValueError(f"an axis of {n} cells can't be used")
-    rows = sorted((r[0], r[1]) for r in axis.select(idx, F.col(coord).cast("float")).collect())
+    first, low, high = rows[0][0], min(r[1] for r in rows), max(r[1] for r in rows)
     values = np.array([r[1] for r in rows], np.float32)
     indices = np.array([r[0] for r in rows], np.int64)
     clamped = clamp(F.col(value), F.lit(float(low)).cast("double"), F.lit(float(high)).cast("double")).cast("float")

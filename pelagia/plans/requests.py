@@ -40,9 +40,10 @@ def left(first: int, last: int, stride: int) -> int:
 
 def plan_box(store: GridStore, lon0: float, lat0: float, lon1: float, lat1: float, start: str | None = None, end: str | None = None, sample: int = 1) -> Box:
     """``start`` counts if both dates are given, and then ``end`` isn't read; without a date the latest day is taken."""
-    earliest, latest = store.span()
+    days = store.calendar()
+    earliest, latest = days[0], days[-1]
     day = params.request_date(start or end) if start or end else latest
-    if not earliest <= day <= latest or not store.existing([day]):
+    if day not in days:
         raise BadRequest(f"BBOX query only allows single-day data. Requested {day} is unavailable; available range is {earliest}/{latest}.")
     i0, i1, j0, j1 = box_indices(store, lon0, lat0, lon1, lat1)
     if sample < 1:
@@ -64,7 +65,7 @@ def box_served(store: GridStore, lon0: float, lat0: float, lon1: float, lat1: fl
     fields, modes = params.request_fields(append, store.config.fields), params.request_modes(mode)
     b = plan_box(store, lon0, lat0, lon1, lat1, start, end, sample)
     seen = Observation()
-    rows = extract.box_rows(extract.box_cells(store.grid, b.day, b.i0, b.i1, b.j0, b.j1, b.stride), fields, "truncate" in modes)
+    rows = extract.box_rows(extract.box_cells(store.grid, b.day, b.i0, b.i1, b.j0, b.j1, b.stride), fields, "truncate" in modes, b.cells)
     return rows.observe(seen, F.count(F.lit(1)).alias("served")), b, seen  # after the sort, which reads its input twice
 
 
@@ -72,8 +73,9 @@ def point(store: GridStore, lon0: float, lat0: float, start: str | None = None,
     """The nearest cell on each existing day of a range: lon, lat, date and fields, ascending by date."""
     params.finite(lon0, lat0)
     fields, modes = params.request_fields(append, store.config.fields), params.request_modes(mode)
-    earliest, latest = store.span()
-    days = store.existing(params.point_dates(params.request_date(start), params.request_date(end), earliest, latest, store.config.max_days))
+    known = store.calendar()
+    earliest, latest = known[0], known[-1]
+    days = sorted(set(known) & set(params.point_dates(params.request_date(start), params.request_date(end), earliest, latest, store.config.max_days)))
     if not days:
         raise BadRequest(f"Data not exist for requested period; available date range is {earliest}/{latest}.")
     i, j = store.nearest(lon0, lat0)

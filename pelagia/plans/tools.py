@@ -17,8 +17,9 @@ from .requests import box_indices, left
 
 def _standing_in(store: GridStore, asked: dt.date, nearest: bool) -> tuple[dt.date, bool]:
     """The day to read and whether it stands in for the one asked. Only the two bounds can stand in, and only within the tolerance."""
-    earliest, latest = store.span()
-    if store.existing([asked]):
+    days = store.calendar()
+    earliest, latest = days[0], days[-1]
+    if asked in days:
         return asked, False
     if not nearest:
         raise NotFound(f"Data not exist for requested period; available date range is {earliest}/{latest}.")
@@ -26,7 +27,7 @@ def _standing_in(store: GridStore, asked: dt.date, nearest: bool) -> tuple[dt.da
     away = abs((other - asked).days)
     if away > most:
         raise NotFound(f"No data for {asked}; nearest available date {other} is {away} days away (tolerance {most} days).")
-    if other == asked or not store.existing([other]):
+    if other == asked:
         raise NotFound(f"No data for {asked}; nearest available date {other} is also unavailable.")
     return other, True
 

@@ -58,29 +58,30 @@ class GridStore:
         calendar = self.bounds().filter("earliest is not null").select(F.explode(F.sequence("earliest", "latest")).alias("date"))
         return calendar.join(self.days, "date", "left_anti")
 
-    def span(self) -> tuple[dt.date, dt.date]:
-        """The bounds, read anew for each request, so new days are seen at once."""
-        row = self.bounds().first()
-        if row["earliest"] is None:
+    def calendar(self) -> list[dt.date]:
+        """All days that exist, ascending; a row for each, so a century is 36,525. Read anew for each request, so new days are seen at once."""
+        found = sorted({r["date"] for r in self.days.select("date").collect()} - {None})
+        if not found:
             raise Unavailable("No available dates.")
-        return row["earliest"], row["latest"]
+        return found
 
-    def existing(self, asked: list[dt.date]) -> list[dt.date]:
-        """Those of some days (a month of them at most) that exist, ascending."""
-        rows = self.days.filter(F.col("date").isin(asked)).distinct().collect() if asked else []
-        return sorted(r["date"] for r in rows)
+    def span(self) -> tuple[dt.date, dt.date]:
+        found = self.calendar()
+        return found[0], found[-1]
 
     @cached_property
     def axes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """lon_idx, lon, lat_idx, lat, each ascending by index, as 32-bit values. An axis is the edge of the grid, so its length is bounded."""
+        pick = lambda k, table, idx, value: table.select(F.lit(k).alias("k"), F.col(idx).cast("long").alias("i"), F.col(value).cast("float").alias("v")).limit(LONGEST_AXIS + 1)
+        rows = pick(0, self.lon_axis, "lon_idx", "lon").unionByName(pick(1, self.lat_axis, "lat_idx", "lat")).collect()
         out = []
-        for table, idx, value in ((self.lon_axis, "lon_idx", "lon"), (self.lat_axis, "lat_idx", "lat")):
-            rows = sorted(table.select(idx, F.col(value).cast("float")).limit(LONGEST_AXIS + 1).collect())
-            if not rows:
+        for k, name in enumerate(("lon", "lat")):
+            own = sorted({(r["i"], r["v"]) for r in rows if r["k"] == k})
+            if not own:
                 raise BadRequest("No existing daily groups in the requested span.")
-            if len(rows) > LONGEST_AXIS:
-                raise BadRequest(f"The {value} axis has over {LONGEST_AXIS:,} cells.")
-            out += [np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float32)]
+            if len(own) > LONGEST_AXIS:
+                raise BadRequest(f"The {name} axis has over {LONGEST_AXIS:,} cells.")
+            out += [np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], np.float32)]
         return tuple(out)
 
     def nearest(self, lon: float, lat: float) -> tuple[int, int]:

@@ -1,6 +1,6 @@
 """Exact dedup by deterministic block naming.
 
-Normalised texts are cut into fixed-size blocks. All blocks are range-sorted by their content, and each distinct one gets the
+Normalised texts are cut into fixed-size blocks. All blocks are sorted, by a hash and then their whole content, and each distinct one gets the
 integer of its place in that order. Then adjacent pairs of names are sorted and named in the same way, level by level, until a document
 has one name. Names come from comparisons of whole contents, so no hash can collide: two texts get one identity exactly if they
 are equal.
@@ -21,13 +21,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, map_arrow, only, partitions, staged, table, texts
+from .common import drop, keyed, map_arrow, only, partitions, staged, table, texts
 
 BLOCK = 4096
 
 
-def named(df: DataFrame, keys: list[str], carry: str) -> DataFrame:
-    """``df``'s carried columns (a DDL string) and ``name`` (long): the dense rank of its key columns in their sort order; staged."""
+def named(df: DataFrame, keys: list[str], carry: str, ranged: list[str] | None = None) -> DataFrame:
+    """``df``'s carried columns (a DDL string) and ``name`` (long): the dense rank of its key columns in their sort order; staged.
+
+    ``ranged``: the first key columns, by which the ranges are cut; with short ones the driver's sample of keys is small. If ranges are cut between two keys that agree in
+    them, which the edges show, the work is done again with ranges by whole keys."""
+    ranged = ranged or keys
     spark = df.sparkSession
     cols = [c.split()[0] for c in carry.split(", ")]
     kinds = dict(df.dtypes)
@@ -64,7 +68,7 @@ def named(df: DataFrame, keys: list[str], carry: str) -> DataFrame:
                 arrays[f"e_{k}"] = pa.concat_arrays([e.slice(0, len(e) - 1), pa.array([v], e.type)])
             yield pa.RecordBatch.from_arrays([arrays[f] for f in fields], names=fields)
 
-    spread = df.withColumn("salt", F.xxhash64(*cols)).repartitionByRange(partitions(spark), *keys, "salt").sortWithinPartitions(*keys)
+    spread = df.withColumn("salt", F.xxhash64(*cols)).repartitionByRange(partitions(spark), *ranged, "salt").sortWithinPartitions(*keys)
     done = staged(map_arrow(spread.select(*keys, *cols), name_sorted, out_schema), "names")
     edges = done.filter(F.col(f"e_{keys[0]}").isNotNull()).select("part", "local", *(f"e_{k}" for k in keys)).collect()  # two rows a range at most
     ends: dict[int, list] = {}
@@ -75,6 +79,9 @@ def named(df: DataFrame, keys: list[str], carry: str) -> DataFrame:
         key = lambda r: tuple(r[f"e_{k}"] for k in keys)
         if before is not None and key(rows[0]) == before:
             base -= 1
+        elif before is not None and ranged != keys and key(rows[0])[: len(ranged)] == before[: len(ranged)]:
+            drop(done)
+            return named(df, keys, carry)
         offsets.append((part, base))
         base, before = base + rows[-1]["local"] + 1, key(rows[-1])
     offset = F.broadcast(spark.createDataFrame(offsets, "part int, base long"))  # a row for each range
@@ -112,7 +119,8 @@ def identities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
         yield flush()
 
     rows = map_arrow(keyed(df, id_col, text_col), cut, "id bigint, th bigint, sha binary, n int, idx int, block binary")
-    level0 = named(rows, ["block"], "id bigint, th bigint, sha binary, n int, idx int")
+    rows = rows.withColumn("h", F.xxhash64("block"))
+    level0 = named(rows, ["h", "block"], "id bigint, th bigint, sha binary, n int, idx int", ["h"])
     whole = level0.filter("n = 1").select("id", "th", F.lit(0).alias("level"), "name").distinct()
     now, level = level0.filter("n > 1"), 0
     while True:

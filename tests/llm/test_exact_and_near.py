@@ -79,6 +79,14 @@ def test_hot_blocks_span_ranges(spark):
     assert sorted((tuple(r) for r in found.select("id", "keep_id", "group_size", "kept", "text_sha256").collect()), key=repr) == by_norm(rows)
 
 
+def test_names_when_ranges_cut_colliding_keys(spark):
+    """All rows have one hash, so ranges by the hash would cut between contents."""
+    rows = [(i, 7, f"block {i % 5}") for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, h long, block string").repartition(5)
+    found = exact.named(df, ["h", "block"], "id bigint", ["h"]).collect()
+    assert sorted((r["id"], r["name"]) for r in found) == [(i, i % 5) for i in range(600)]
+
+
 def test_keep_first(spark):
     df = spark.createDataFrame(odd_rows(), SCHEMA)
     kept = exact.keep_first(df)

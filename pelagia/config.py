@@ -7,6 +7,7 @@ from dataclasses import dataclass, fields
 from typing import Self
 
 from .errors import ToolError
+from .messages import BAD_ENV
 
 
 @dataclass(frozen=True)
@@ -39,5 +40,5 @@ class GridConfig:
                 try:
                     found[f.name] = kind(raw)
                 except ValueError as e:
-                    raise ToolError(f"Invalid {kind.__name__} value for {prefix}{f.name.upper()}: {raw}") from e
+                    raise ToolError(BAD_ENV.format(kind=kind.__name__, name=f"{prefix}{f.name.upper()}", raw=raw)) from e
         return cls(**found)

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Messages of a tide answer, in their order.
-ZONE_NOTE = "Timezone not provided; times shown are in UTC (+00:00). Convert to your local time if needed."
-SKY_NOTE = "Sun/Moon data unavailable at this time (USNO service error). Tide extrema are provided below."
-TIDE_NOTE = "Note: Tide heights are relative to NTDE 1983–2001 MSL and provided for reference only."
+from ..messages import SKY_NOTE, TIDE_NOTE, ZONE_NOTE
 
 #: Digits kept of coordinates and of fields when a result is truncated.
 COORD_DIGITS, FIELD_DIGITS = 5, 3

@@ -7,6 +7,7 @@ import math
 import re
 from zoneinfo import ZoneInfo
 
+from .. import messages as say
 from ..errors import BadRequest, ToolError
 
 _DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}\Z")
@@ -29,13 +30,13 @@ def request_date(text: str | None) -> dt.date | None:
     if text is None:
         return None
     if (found := calendar_date(text)) is None:
-        raise BadRequest("Invalid date format. Use YYYY-MM-DD.")
+        raise BadRequest(say.BAD_DATE)
     return found
 
 
 def tool_date(text: str) -> dt.date:
     if (found := calendar_date(text)) is None:
-        raise ToolError(f"Invalid date (expected YYYY-MM-DD): {text}")
+        raise ToolError(say.TOOL_BAD_DATE.format(text=text))
     return found
 
 
@@ -49,14 +50,14 @@ def request_fields(append: str | None, allowed: tuple[str, ...]) -> list[str]:
         return [allowed[0]]
     asked = comma_list(append)
     if bad := [x for x in asked if x not in allowed]:
-        raise BadRequest(f"Unsupported field(s): {','.join(bad)}. Allowed: {','.join(allowed)}")
+        raise BadRequest(say.BAD_FIELDS.format(bad=",".join(bad), allowed=",".join(allowed)))
     return asked
 
 
 def request_modes(mode: str | None) -> set[str]:
     asked = [x.lower() for x in comma_list(mode or "")]
     if bad := [x for x in asked if x not in MODES]:
-        raise BadRequest(f"Unsupported mode(s): {','.join(bad)}. Allowed: {','.join(MODES)}")
+        raise BadRequest(say.BAD_MODES.format(bad=",".join(bad), allowed=",".join(MODES)))
     return set(asked)
 
 
@@ -65,14 +66,14 @@ def tool_fields(fields: list[str] | None, allowed: tuple[str, ...]) -> list[str]
     asked = list(dict.fromkeys(fields or [allowed[0]]))
     for x in asked:
         if x not in allowed:
-            raise ToolError(f"Unsupported field '{x}'. Allowed: {sorted(allowed)}")
+            raise ToolError(say.TOOL_BAD_FIELD.format(field=x, allowed=sorted(allowed)))
     return asked
 
 
 def tool_method(method: str) -> bool:
     """Whether a nearest day may stand in."""
     if method not in ("exact", "nearest"):
-        raise ToolError(f"Unsupported method '{method}'. Allowed: ['exact', 'nearest'].")
+        raise ToolError(say.TOOL_BAD_METHOD.format(method=method))
     return method == "nearest"
 
 
@@ -84,21 +85,21 @@ def finite(*values: float) -> None:
 
 def tool_point(lon: float, lat: float) -> None:
     if not -180 <= lon <= 180:
-        raise ToolError(f"Longitude {lon} out of bounds [-180, 180].")
+        raise ToolError(say.LON_OUT.format(lon=lon))
     if not -90 <= lat <= 90:
-        raise ToolError(f"Latitude {lat} out of bounds [-90, 90].")
+        raise ToolError(say.LAT_OUT.format(lat=lat))
 
 
 def tool_bbox(bbox: list[float] | tuple[float, ...]) -> tuple[float, float, float, float]:
     """Corners in ascending order; each must lie on the globe, and the box must have an area."""
     if len(bbox) != 4:
-        raise ToolError("bbox must contain exactly four numbers: [lon0, lat0, lon1, lat1].")
+        raise ToolError(say.BOX_SHAPE)
     lon0, lat0, lon1, lat1 = map(float, bbox)
     tool_point(lon0, lat0)
     tool_point(lon1, lat1)
     (lon0, lon1), (lat0, lat1) = sorted((lon0, lon1)), sorted((lat0, lat1))
     if lon0 == lon1 or lat0 == lat1:
-        raise ToolError("bbox must cover a non-zero area.")
+        raise ToolError(say.BOX_AREA)
     return lon0, lat0, lon1, lat1
 
 
@@ -123,7 +124,7 @@ def fitting_stride(first: int, nx: int, ny: int, limit: int, attempts: int) -> i
         s = first << k
         if ((nx - 1) // s + 1) * ((ny - 1) // s + 1) <= limit:
             return s
-    raise ToolError("Too many points")
+    raise ToolError(say.RETRIES_SPENT)
 
 
 def fallback_date(asked: dt.date, earliest: dt.date, latest: dt.date) -> dt.date:
@@ -135,7 +136,7 @@ def iso_datetime(text: str) -> dt.datetime:
     try:
         return dt.datetime.fromisoformat(re.sub(r"[zZ]\Z", "+00:00", text.strip()))
     except ValueError as e:
-        raise ToolError(f"Invalid query_time format: {text}") from e
+        raise ToolError(say.BAD_TIME.format(text=text)) from e
 
 
 def offset_text(delta: dt.timedelta) -> str:
@@ -146,7 +147,7 @@ def offset_text(delta: dt.timedelta) -> str:
 def timezone(text: str | None) -> tuple[dt.tzinfo, str | None, bool]:
     """The zone, its name if one was given, and whether the text was Z, which stands for none chosen."""
     if not text or not text.strip():
-        raise ToolError("timezone (tz) required (use IANA name or numeric offset)")
+        raise ToolError(say.ZONE_REQUIRED)
     raw = text.strip()
     if raw.upper() == "Z":
         return dt.timezone.utc, None, True
@@ -156,11 +157,11 @@ def timezone(text: str | None) -> tuple[dt.tzinfo, str | None, bool]:
         try:
             return ZoneInfo(raw), raw, False
         except Exception as e:
-            raise ToolError(f"Unknown timezone '{raw}'.") from e
+            raise ToolError(say.ZONE_UNKNOWN.format(raw=raw)) from e
     m = re.fullmatch(r"([+-]?)([0-9]+)(?::([0-9]{1,2})|(\.[0-9]*))?", raw)
     minutes = int(m[2]) * 60 + (int(m[3]) if m[3] else round(float("0" + m[4]) * 60) if m[4] else 0) if m else 24 * 60
     if minutes >= 24 * 60:
-        raise ToolError(f"Invalid timezone '{raw}'.")
+        raise ToolError(say.ZONE_INVALID.format(raw=raw))
     return dt.timezone(dt.timedelta(minutes=-minutes if m[1] == "-" else minutes)), None, False
 
 

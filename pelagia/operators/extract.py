@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import COORD_DIGITS, FIELD_DIGITS, half_even
+from ..messages import BAD_VALUES
 
 
 ONE_PLACE = 1_000_000
@@ -44,5 +45,5 @@ def box_rows(cells: DataFrame, fields: list[str], truncate: bool = False, count:
 def box_mean(cells: DataFrame, fields: list[str]) -> DataFrame:
     """One row: the unweighted mean of the non-null values of each field. Infinite values are an error; NaN is null in the store."""
     bad = lambda f: F.max(F.when(F.isnan(f) | (F.abs(F.col(f)) == float("inf")), True))
-    mean = lambda f: F.when(bad(f), F.raise_error(F.lit(f"{f} values contains invalid values."))).otherwise(F.avg(F.col(f).cast("double")))
+    mean = lambda f: F.when(bad(f), F.raise_error(F.lit(BAD_VALUES.format(field=f)))).otherwise(F.avg(F.col(f).cast("double")))
     return cells.agg(*(mean(f).cast("double").alias(f) for f in fields))

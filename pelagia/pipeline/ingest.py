@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import messages as say
 from ..config import GridConfig
 from ..errors import BadRequest
 from ..functions.params import calendar_date
@@ -90,11 +91,11 @@ def pending(spark: SparkSession, start: str, end: str, days: DataFrame) -> DataF
     """Calendar days from start to end that don't exist yet."""
     a, b = calendar_date(start), calendar_date(end)
     if a is None:
-        raise BadRequest(f"Invalid START_DATE: {start}")
+        raise BadRequest(say.BAD_START.format(text=start))
     if b is None:
-        raise BadRequest(f"Invalid END_DATE: {end}")
+        raise BadRequest(say.BAD_END.format(text=end))
     if a > b:
-        raise BadRequest("START_DATE must be <= END_DATE")
+        raise BadRequest(say.BAD_ORDER)
     calendar = spark.range(1).select(F.explode(F.sequence(F.lit(a), F.lit(b))).alias("date"))
     return calendar.join(days, "date", "left_anti")
 

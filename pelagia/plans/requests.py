@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from .. import messages as say
 from ..errors import BadRequest
 from ..functions import params
 from ..operators import extract
@@ -44,13 +45,13 @@ def plan_box(store: GridStore, lon0: float, lat0: float, lon1: float, lat1: floa
     earliest, latest = days[0], days[-1]
     day = params.request_date(start or end) if start or end else latest
     if day not in days:
-        raise BadRequest(f"BBOX query only allows single-day data. Requested {day} is unavailable; available range is {earliest}/{latest}.")
+        raise BadRequest(say.BOX_DAY_MISSING.format(day=day, earliest=earliest, latest=latest))
     i0, i1, j0, j1 = box_indices(store, lon0, lat0, lon1, lat1)
     if sample < 1:
-        raise BadRequest("Parameter 'sample' must be >= 1.")
+        raise BadRequest(say.SAMPLE_TOO_SMALL)
     cells = left(i0, i1, sample) * left(j0, j1, sample)
     if cells > store.config.point_limit:
-        raise BadRequest(f"Too many points ({cells:,}). Increase 'sample' or shrink bbox (limit {store.config.point_limit:,}).")
+        raise BadRequest(say.TOO_MANY_POINTS.format(cells=cells, limit=store.config.point_limit))
     return Box(day, i0, i1, j0, j1, sample, cells)
 
 
@@ -77,7 +78,7 @@ def point(store: GridStore, lon0: float, lat0: float, start: str | None = None,
     earliest, latest = known[0], known[-1]
     days = sorted(set(known) & set(params.point_dates(params.request_date(start), params.request_date(end), earliest, latest, store.config.max_days)))
     if not days:
-        raise BadRequest(f"Data not exist for requested period; available date range is {earliest}/{latest}.")
+        raise BadRequest(say.NO_DATA_IN_PERIOD.format(earliest=earliest, latest=latest))
     i, j = store.nearest(lon0, lat0)
     return extract.point_cells(store.grid, days, i, j, fields, "truncate" in modes)
 
@@ -89,5 +90,5 @@ def read(store: GridStore, lon0: float, lat0: float, lon1: float | None = None,
     params.request_fields(append, store.config.fields)
     params.request_modes(mode)
     if sample != 1:
-        raise BadRequest("Parameter 'sample' is only supported in BBox mode.")
+        raise BadRequest(say.SAMPLE_IN_POINT)
     return point(store, lon0, lat0, start, end, append, mode)

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import messages as say
 from ..errors import NotFound, ToolError
 from ..functions import params
 from ..operators import extract, tides
@@ -22,13 +23,13 @@ def _standing_in(store: GridStore, asked: dt.date, nearest: bool) -> tuple[dt.da
     if asked in days:
         return asked, False
     if not nearest:
-        raise NotFound(f"Data not exist for requested period; available date range is {earliest}/{latest}.")
+        raise NotFound(say.NO_DATA_IN_PERIOD.format(earliest=earliest, latest=latest))
     other, most = params.fallback_date(asked, earliest, latest), store.config.nearest_days
     away = abs((other - asked).days)
     if away > most:
-        raise NotFound(f"No data for {asked}; nearest available date {other} is {away} days away (tolerance {most} days).")
+        raise NotFound(say.TOO_FAR.format(asked=asked, other=other, away=away, most=most))
     if other == asked:
-        raise NotFound(f"No data for {asked}; nearest available date {other} is also unavailable.")
+        raise NotFound(say.ALSO_UNAVAILABLE.format(asked=asked, other=other))
     return other, True
 
 
@@ -66,7 +67,7 @@ def bbox_mean(store: GridStore, bbox: list[float], date: str, fields: list[str]
 def tide_forecast(spark: SparkSession, fetch: Callable[[dict], str], longitude: float, latitude: float, tz: str, date: str | None = None, query_time: str | None = None) -> DataFrame:
     """One row, as operators.tides.forecast gives it. ``fetch`` gets lon, lat, date and tz, and returns the backend's JSON document."""
     if not (-180 <= longitude <= 180 and -90 <= latitude <= 90):
-        raise ToolError("Longitude/latitude out of bounds.")
+        raise ToolError(say.COORDS_OUT)
     zone, name, unchosen = params.timezone(tz)
     at = params.iso_datetime(query_time) if query_time else None
     if at is not None:
@@ -78,7 +79,7 @@ def tide_forecast(spark: SparkSession, fetch: Callable[[dict], str], longitude:
     rows = spark.createDataFrame([row], "lon double, lat double, date date, query_time string, query_date date, offset string, tz_name string, zone_note boolean, document string")
     parsed = rows.select(F.size(F.from_json("document", tides.SCHEMA)["days"]).alias("n"), F.try_parse_json("document").isNull().alias("bad")).first()
     if parsed["bad"]:
-        raise ToolError("Invalid JSON from tide backend")
+        raise ToolError(say.TIDE_BAD_JSON)
     if not parsed["n"] or parsed["n"] < 1:
-        raise ToolError("Tide backend returned no data.")
+        raise ToolError(say.TIDE_EMPTY)
     return tides.forecast(rows)

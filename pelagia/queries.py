@@ -201,7 +201,7 @@ def kelvin_to_celsius(s: SparkSession, d: str) -> DataFrame:
 
 
 def granule_date_parse(s: SparkSession, d: str) -> DataFrame:
-    names = ("/in/20240105090000-JPL-L4_GHRSST.nc", "s3a://b/x-20240131090000.nc", "/in/plain.nc", "/in/2024010509000-short.nc", "/in/20249905090000-bad.nc/")
+    names = ("/in/20240105090000-L4-grid.nc", "s3a://b/x-20240131090000.nc", "/in/plain.nc", "/in/2024010509000-short.nc", "/in/20249905090000-bad.nc/")
     return _rows(s, "k int, path string", *enumerate(names)).select("k", fc.granule_date("path").alias("date"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import messages as say
 from ..errors import NotFound
 from ..functions.columns import parsed_date
 
@@ -34,5 +35,5 @@ def rebuilt(days: DataFrame) -> DataFrame:
     """Bounds from the manifest alone; an empty store is an error."""
     bounds = days.agg(F.min("date").alias("earliest"), F.max("date").alias("latest"))
     if bounds.filter("earliest is not null").isEmpty():
-        raise NotFound("No date groups found")
+        raise NotFound(say.NO_DAYS)
     return bounds

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, FloatType, IntegerType, StructField, StructType
 
+from .. import messages as say
 from ..config import GridConfig
 from ..errors import BadRequest, Unavailable
 
@@ -62,7 +63,7 @@ class GridStore:
         """All days that exist, ascending; a row for each, so a century is 36,525. Read anew for each request, so new days are seen at once."""
         found = sorted({r["date"] for r in self.days.select("date").collect()} - {None})
         if not found:
-            raise Unavailable("No available dates.")
+            raise Unavailable(say.NO_DATES)
         return found
 
     def span(self) -> tuple[dt.date, dt.date]:
@@ -78,7 +79,7 @@ class GridStore:
         for k, name in enumerate(("lon", "lat")):
             own = sorted({(r["i"], r["v"]) for r in rows if r["k"] == k})
             if not own:
-                raise BadRequest("No existing daily groups in the requested span.")
+                raise BadRequest(say.NO_GROUPS_IN_SPAN)
             if len(own) > LONGEST_AXIS:
                 raise BadRequest(f"The {name} axis has over {LONGEST_AXIS:,} cells.")
             out += [np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], np.float32)]

@@ -1,12 +1,13 @@
 """Subword lattice likelihood.
 
 A text is a sequence of words and one end. The model weights every segmentation of a word into pieces of an existing vocabulary, and besides gives each word
-that was seen in training an arc of its own; the forward recursion sums over all of them. So
+that was seen in training an arc of its own; the forward recursion sums over all of them. So, in a class of documents (a language, say),
 
     P(word) = a * count(word) / words + (1 - a) * sum over segmentations of the product of the piece probabilities,
 
 with a = words / (words + distinct words), as Witten and Bell weigh the unseen. Piece probabilities start from the vocabulary's own
-scores and are set by expectation maximisation over all distinct training words. The probabilities of all texts sum to one.
+scores and are set by expectation maximisation over the distinct training words of the class. A document's probability is the sum over the classes, weighted by
+their share of the training documents; its own label is not asked. The probabilities of all texts sum to one.
 
 Scale: consecutive documents form blocks of bounded size, each with its own word list. Only the lists are shuffled, compressed, by a hash of the word, and what
 comes back is a count and a probability for each place of a list; so a word travels once for a block, however often it is in it, and a word that is
@@ -17,7 +18,6 @@ vocabulary has pieces, reach the driver.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, keyed, map_arrow, partitions, staged, table, texts
+from .common import drop, map_arrow, partitions, staged, table, texts
 from .lattice import Lattice
 from .op3_language import held_out
 
 VOCABULARY, LONGEST, ROUNDS, BLOCK = "/opt/tokenizers/piece_bpe_32k.model", 16, 3, 12 << 20
+CLASSES = 7
 
 
 def packed(data) -> bytes:
@@ -43,6 +44,14 @@ def unpacked(data: bytes, kind=None):
     return raw if kind is None else np.frombuffer(raw, kind)
 
 
+class Places(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def planes(x: np.ndarray) -> bytes:
     """Four-byte integers, their bytes sorted by place, compressed."""
     return packed(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
@@ -72,23 +81,19 @@ def vocabulary(path: str = VOCABULARY, longest: int = LONGEST) -> tuple[list[byt
     return [*scores], np.log(weight / weight.sum())
 
 
-def blocks(docs: DataFrame, parts: int, block: int) -> DataFrame:
-    """kind 0: a block's documents (ids, held, sizes, n_tokens, places and times); kind 1: the part ``r`` of its word list with training counts. Staged.
+def blocks(docs: DataFrame, parts: int, block: int, classes: int) -> DataFrame:
+    """kind 0: a block's documents (ids, held, sizes, n_tokens, places and times); kind 1: the part ``r`` of its word list with training counts
+    by class. Staged. docs: id, held, cls and text.
 
     A block is some consecutive documents of a task with ``block`` bytes of text, or one longer document."""
     names = ["kind", "block", "r", "ids", "held", "tokens", "sizes", "a", "b"]
     types = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
 
-    class Places(dict):
-        def __missing__(self, word: bytes) -> int:
-            n = self[word] = len(self)
-            return n
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         at, size, part = Places(), 0, TaskContext.get().partitionId()
-        ids, held, tokens, places, times, number = [], [], [], [], [], 0
+        ids, held, cls, tokens, places, times, number = [], [], [], [], [], [], 0
 
         def close() -> pa.RecordBatch:
             words = [*at]
@@ -96,10 +101,10 @@ def blocks(docs: DataFrame, parts: int, block: int) -> DataFrame:
             order = np.argsort(r, kind="stable")
             new = np.empty(len(words), np.int64)
             new[order] = np.arange(len(words))
-            train = np.zeros(len(words), np.int64)
-            for h, p, t in zip(held, places, times, strict=True):
+            train = np.zeros((classes, len(words)), np.int64)
+            for h, k, p, t in zip(held, cls, places, times, strict=True):
                 if not h:
-                    np.add.at(train, new[p], t)
+                    train[k, new[p]] += t  # the places of a document are distinct
             key = (part << 24) + number
             a, b = [], []
             for p, t in zip(places, times, strict=True):
@@ -113,101 +118,140 @@ def blocks(docs: DataFrame, parts: int, block: int) -> DataFrame:
             for k in range(parts):
                 own = order[cut[k] : cut[k + 1]]
                 if len(own):
-                    rows.append((1, key, k, None, None, None, None, packed(b" ".join([words[i] for i in own.tolist()])), planes(train[cut[k] : cut[k + 1]])))
+                    rows.append((1, key, k, None, None, None, None, packed(b" ".join([words[i] for i in own.tolist()])), planes(train[:, cut[k] : cut[k + 1]].ravel())))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
         for b in batches:
-            for key, h, t in zip(b.column("id").to_pylist(), b.column("held").to_pylist(), texts(b), strict=True):
+            for key, h, k, t in zip(b.column("id").to_pylist(), b.column("held").to_pylist(), b.column("cls").to_pylist(), texts(b), strict=True):
                 words = t.lower().split()
                 p, n = np.unique(np.fromiter(map(at.__getitem__, words), np.int64, len(words)), return_counts=True)
-                ids.append(key), held.append(h), tokens.append(len(words) + 1), places.append(p.astype(np.int32)), times.append(n.astype(np.int32))
+                ids.append(key), held.append(h), cls.append(k), tokens.append(len(words) + 1), places.append(p.astype(np.int32)), times.append(n.astype(np.int32))
                 size += len(t)
                 if size >= block or len(ids) >= 50_000:
                     yield close()
                     at, size, number = Places(), 0, number + 1
-                    ids, held, tokens, places, times = [], [], [], [], []
+                    ids, held, cls, tokens, places, times = [], [], [], [], [], []
         if ids:
             yield close()
 
-    rows = docs.select("id", held_out("id", 7).alias("held"), "text")
-    return staged(map_arrow(rows, run, "kind int, block bigint, r int, ids array<bigint>, held array<boolean>, tokens array<bigint>, sizes array<bigint>, a binary, b binary"), "blocks")
+    return staged(map_arrow(docs, run, "kind int, block bigint, r int, ids array<bigint>, held array<boolean>, tokens array<bigint>, sizes array<bigint>, a binary, b binary"), "blocks")
 
 
-def gathered(t: pa.Table) -> tuple[list[list[bytes]], dict[bytes, int]]:
-    """The word lists of the blocks, and the training counts of all their words."""
-    lists, counts = [], defaultdict(int)
+def gathered(t: pa.Table, classes: int) -> tuple[list[np.ndarray], list[bytes], np.ndarray]:
+    """For each block's list the numbers of its words, all the words, and their training counts by class."""
+    at, picks, parts = Places(), [], []
     for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True):
         words = unpacked(a).split()
-        lists.append(words)
-        for w, c in zip(words, from_planes(b).tolist(), strict=True):
-            counts[w] += c
-    return lists, counts
+        picks.append(np.fromiter(map(at.__getitem__, words), np.int64, len(words)))
+        parts.append(from_planes(b).reshape(classes, -1))
+    counts = np.zeros((classes, len(at)), np.int64)
+    for i, c in zip(picks, parts, strict=True):
+        counts[:, i] += c  # the words of a list are distinct
+    return picks, [*at], counts
 
 
-def word_counts(lists: DataFrame) -> DataFrame:
+def word_counts(lists: DataFrame, classes: int) -> DataFrame:
     """Distinct training words of each part with their counts, in rows of some thousands; staged."""
 
     def run(t: pa.Table) -> pa.Table:
-        seen = [(w, c) for w, c in gathered(t)[1].items() if c]
+        _, words, counts = gathered(t, classes)
+        seen = np.flatnonzero(counts.sum(axis=0))
         rows = [seen[i : i + 16384] for i in range(0, len(seen), 16384)]
-        return pa.table({"words": pa.array([packed(b" ".join([w for w, _ in x])) for x in rows], pa.binary()), "n": pa.array([len(x) for x in rows], pa.int64()), "c": pa.array([sum(c for _, c in x) for x in rows], pa.int64())})
+        ints = pa.list_(pa.int64())
+        return pa.table({
+            "words": pa.array([packed(b" ".join([words[w] for w in x.tolist()])) for x in rows], pa.binary()),
+            "counts": pa.array([planes(counts[:, x].ravel()) for x in rows], pa.binary()),
+            "n": pa.array([len(x) for x in rows], pa.int64()),
+            "kinds": pa.array([(counts[:, x] > 0).sum(axis=1).tolist() for x in rows], ints),
+            "uses": pa.array([counts[:, x].sum(axis=1).tolist() for x in rows], ints),
+        })
 
-    return staged(lists.select("r", "a", "b").groupBy("r").applyInArrow(run, "words binary, n bigint, c bigint"), "words")
+    return staged(lists.select("r", "a", "b").groupBy("r").applyInArrow(run, "words binary, counts binary, n bigint, kinds array<bigint>, uses array<bigint>"), "words")
 
 
-def expected(counts: DataFrame, pieces: list[bytes], logp: np.ndarray) -> np.ndarray:
-    """How often each piece is used in all distinct training words, by the current probabilities: one number for each piece, summed on the executors."""
+def expected(counts: DataFrame, pieces: list[bytes], logp: list[np.ndarray]) -> np.ndarray:
+    """How often each piece is used in the distinct training words of each class, by the current probabilities: a number for each class and piece, summed on the
+    executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, total = Lattice(pieces, logp), np.zeros(len(pieces))
+        nets, total = [Lattice(pieces, p) for p in logp], np.zeros((len(logp), len(pieces)))
         for b in batches:
-            for w in b.column("words").to_pylist():
-                net.log_marginals([b" " + x for x in unpacked(w).split()], total)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["piece", "uses"])
-
-    found = np.zeros(len(pieces))
-    for r in map_arrow(counts.select("words"), run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
-        found[r["piece"]] = r["uses"]
+            for w, c in zip(b.column("words").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                words, of = unpacked(w).split(), from_planes(c).reshape(len(logp), -1)
+                for k, net in enumerate(nets):
+                    net.log_marginals([b" " + words[i] for i in np.flatnonzero(of[k]).tolist()], total[k])
+        k, some = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(some.astype(np.int32)), pa.array(total[k, some])], names=["k", "piece", "uses"])
+
+    found = np.zeros((len(logp), len(pieces)))
+    for r in map_arrow(counts.select("words", "counts"), run, "k int, piece int, uses double").groupBy("k", "piece").agg(F.sum("uses").alias("uses")).collect():
+        found[r["k"], r["piece"]] = r["uses"]
     return found
 
 
-def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pieces: list[bytes] | None = None, logp: np.ndarray | None = None, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
+def class_numbers(df: DataFrame, id_col: str, class_col: str | None, most: int):
+    """A Column with each row's class, the number of classes, and the training documents of each. The ``most`` most frequent labels of training rows are classes; all other rows,
+    and those without a label, are one more."""
+    if class_col is None:
+        return F.lit(0), 1
+    label = F.col(f"`{class_col}`").cast("string")
+    train = df.filter(~held_out(id_col, 7))
+    top = train.filter(label.isNotNull()).groupBy(label.alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "k").limit(most).collect()
+    if not top:
+        return F.lit(0), 1
+    number = F.create_map(*(F.lit(x) for i, r in enumerate(top) for x in (r["k"], i)))
+    return F.coalesce(F.element_at(number, label), F.lit(len(top))), len(top) + 1
+
+
+def score_texts(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = None, pieces: list[bytes] | None = None, logp: np.ndarray | None = None, rounds: int = ROUNDS, block: int = BLOCK, most_classes: int = CLASSES
+) -> DataFrame:
     """One row for each input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the probabilities of the add-one word model and of
-    the lattice). Learns from the rows whose crc32 of the id as text has another remainder by 7 than 2; a null id isn't held out.
+    the lattice). Learns from the rows whose crc32 of the id as text has another remainder by 7 than 2; a null id isn't held out. ``class_col`` has the training
+    rows' classes; without it there is one.
 
     Null and empty texts are one end. Repeated rows count each. If there is nothing to learn from, counts are zero and the vocabulary's scores alone weigh
     the pieces. An empty table gives an empty result. Other columns aren't read."""
     spark = df.sparkSession
     if pieces is None:
         pieces, logp = vocabulary()
-    size = df.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")).cast("long"))).first()[0] or 0
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    size = df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     parts = max(partitions(spark), -(-size // block))
-    made = blocks(keyed(df, id_col, text_col), parts, block)
+    cls, classes = class_numbers(df, id_col, class_col, most_classes)
+    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), cls.alias("cls"), text.alias("text")).select("id", held_out("id", 7).alias("held"), "cls", "text")
+    made = blocks(docs, parts, block, classes)
     lists = made.filter("kind = 1").select("block", "r", "a", "b")
-    counts = word_counts(lists)
-    seen = counts.agg(F.sum("n"), F.sum("c")).first()
-    distinct, words = seen[0] or 0, seen[1] or 0
-    ends = made.filter("kind = 0").agg(F.sum(F.expr("size(filter(held, x -> not x))").cast("long"))).first()[0] or 0
+    counts = word_counts(lists, classes)
+    each = [f"coalesce(sum({c}[{k}]), 0L)" for c in ("kinds", "uses") for k in range(classes)]
+    seen = counts.selectExpr("coalesce(sum(n), 0L) as n", *(f"{e} as x{i}" for i, e in enumerate(each))).first()
+    distinct, kinds_of, words_of = seen["n"], np.array(seen[1 : classes + 1], np.float64), np.array(seen[classes + 1 :], np.float64)
+    words = int(words_of.sum())
+    of_class = [0] * classes
+    for r in docs.filter("not held").groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect():
+        of_class[r["cls"]] = r["n"]
+    ends = sum(of_class)
     total, kinds = words + ends, distinct + (ends > 0)
+    logps = [logp] * classes
     for _ in range(rounds if distinct else 0):
-        uses = expected(counts, pieces, logp) + 0.01
-        logp = np.log(uses / uses.sum())
+        uses = expected(counts, pieces, logps) + 0.01
+        logps = [*np.log(uses / uses.sum(axis=1, keepdims=True))]
     drop(counts)
-    share = words / (words + distinct) if words else 0.0
+    share = np.divide(words_of, words_of + kinds_of, out=np.zeros(classes), where=words_of > 0)
     end = (ends + 0.5) / (total + 1)
+    weight = np.log10((np.array(of_class) + 0.5) / (ends + 0.5 * classes))
 
     def looked_up(t: pa.Table) -> pa.Table:
-        """For each block's part of the list: training counts and log10 probabilities, in the order of the list."""
-        lists, c = gathered(t)
-        every = [*c]
-        sub = Lattice(pieces, logp).log_marginals([b" " + w for w in every])
-        n = np.fromiter(c.values(), np.int64, len(every))
-        p = np.logaddexp(sub + math.log1p(-share), np.log(share * n / words, out=np.full(len(n), -np.inf), where=n > 0) if words else -np.inf)
+        """For each block's part of the list: training counts, and log10 probabilities by class, in the order of the list."""
+        picks, every, c = gathered(t, classes)
+        p = np.empty((classes, len(every)), np.float64)
+        for k in range(classes):
+            p[k] = Lattice(pieces, logps[k]).log_marginals([b" " + w for w in every]) + math.log1p(-share[k])
+            n = np.flatnonzero(c[k])
+            p[k, n] = np.logaddexp(p[k, n], np.log(share[k] * c[k, n] / max(1, words_of[k])))
         p = (p + math.log1p(-end)) / math.log(10)
-        at = {w: i for i, w in enumerate(every)}
-        picks = [np.fromiter(map(at.__getitem__, x), np.int64, len(x)) for x in lists]
-        return pa.table({"block": t.column("block"), "r": t.column("r"), "c": pa.array([planes(n[i]) for i in picks], pa.binary()), "p": pa.array([packed(p[i].astype("<f8").tobytes()) for i in picks], pa.binary())})
+        n = c.sum(axis=0)
+        return pa.table({"block": t.column("block"), "r": t.column("r"), "c": pa.array([planes(n[i]) for i in picks], pa.binary()), "p": pa.array([packed(p[:, i].astype("<f4").tobytes()) for i in picks], pa.binary())})
 
     values = lists.groupBy("r").applyInArrow(looked_up, "block bigint, r int, c binary, p binary")
     values = values.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("r", "c", "p"))).alias("v"))  # a block's word list is bounded by its size
@@ -220,7 +264,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
             for i in range(b.num_rows):
                 v = b.column("v")[i].as_py() or []
                 c = np.concatenate([from_planes(x["c"]) for x in v] or [np.zeros(0, np.int64)]).astype(np.float64)
-                p = np.concatenate([unpacked(x["p"], "<f8") for x in v] or [np.zeros(0)])
+                p = np.concatenate([unpacked(x["p"], "<f4").reshape(classes, -1) for x in v] or [np.zeros((classes, 0))], axis=1)
                 base = np.log10((c + 1) / norm)
                 sizes = np.array(b.column("sizes")[i].as_py(), np.int64)
                 step, t = from_planes(b.column("a")[i].as_py()).astype(np.int64), from_planes(b.column("b")[i].as_py()).astype(np.float64)
@@ -230,11 +274,14 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
                 at = run - np.repeat(before, sizes)
                 add = lambda x, starts=starts, sizes=sizes: np.where(sizes > 0, np.add.reduceat(np.append(x, 0.0), np.minimum(starts, len(x))), 0.0)
                 known = add(t * (c[at] > 0)).astype(np.int64) + (ends > 0)
+                of = np.stack([weight[k] + add(t * p[k][at]) for k in range(classes)])
+                most = of.max(axis=0)
+                score = most + np.log10((10.0 ** (of - most)).sum(axis=0)) + end_score
                 n = len(sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(b.column("ids")[i].as_py(), pa.int64()), pa.array(b.column("held")[i].as_py()), pa.array(b.column("tokens")[i].as_py(), pa.int64()), pa.array(known), pa.array([total] * n, pa.int64()), pa.array(add(t * base[at]) + end_base), pa.array(add(t * p[at]) + end_score)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(b.column("ids")[i].as_py(), pa.int64()), pa.array(b.column("held")[i].as_py()), pa.array(b.column("tokens")[i].as_py(), pa.int64()), pa.array(known), pa.array([total] * n, pa.int64()), pa.array(add(t * base[at]) + end_base), pa.array(score)], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return map_arrow(own, summed, "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op2_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_texts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return score_texts(table(spark, sf_dir, "documents"), class_col="lang").withColumnRenamed("id", "doc_id")

@@ -93,6 +93,29 @@ def test_score_of_a_word_is_the_mixture(spark):
         assert found[i]["score"] == pytest.approx(sum(math.log10(p(w) * (1 - end)) for w in ws) + math.log10(end))
 
 
+def test_classes_are_summed(spark):
+    """Each document's probability is the weighted sum over the classes, whatever its own label."""
+    rows = [(i, t, k) for i, (t, k) in enumerate([("aa bb aa", "x"), ("cc dd", "y"), ("cc cc", "y"), ("aa dd", None), ("bb", "x"), ("zz aa", "y"), ("aa", "w"), ("cc", "x")] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    pieces = [bytes([b]) for b in range(256)]
+    found = {r["id"]: r["score"] for r in lm.score_texts(df, class_col="lang", pieces=pieces, logp=np.full(256, -math.log(256)), rounds=0, most_classes=2).collect()}
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    top = [k for k, _ in sorted(collections.Counter(r[2] for r in train if r[2]).items(), key=lambda x: (-x[1], x[0]))[:2]]
+    groups = [[r for r in train if r[2] == k] for k in top] + [[r for r in train if r[2] not in top]]
+    tokens = sum(len(r[1].split()) + 1 for r in train)
+    end = (len(train) + 0.5) / (tokens + 1)
+    for i, t, _ in rows:
+        p = 0.0
+        for g in groups:
+            c = collections.Counter(w for r in g for w in r[1].split())
+            n, a = sum(c.values()), sum(c.values()) / (sum(c.values()) + len(c))
+            q = (len(g) + 0.5) / (len(train) + 1.5) * end
+            for w in t.split():
+                q *= (a * c[w] / n + (1 - a) * 256.0 ** -(len(w) + 1)) * (1 - end)
+            p += q
+        assert found[i] == pytest.approx(math.log10(p), rel=1e-5)
+
+
 def labelled(rng, n):
     syllables = {"xx": "ka ti mo ru".split(), "yy": "sch ung eit ver".split(), "zz": "ció ado ñas que".split()}
     return [(k, " ".join("".join(rng.choice(s) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(3, 90))), lang) for k, (lang, s) in enumerate(rng.choice(list(syllables.items())) for _ in range(n))]

@@ -34,12 +34,13 @@ def url_key(url):
 
 
 def classified(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least: int = LEAST) -> DataFrame:
-    """id, url, payload, bytes, digest, first (the smallest id of equal payloads of at least ``least`` bytes; null for smaller ones)."""
+    """id, url, payload, bytes, digest, first (the smallest id of several equal payloads of at least ``least`` bytes; null for others)."""
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit(""))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
-    first = rows.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min("id").alias("first"))
-    return rows.join(first, "digest", "left").withColumn("first", F.when(F.col("bytes") >= least, F.col("first")))
+    # payloads that occur more than once, staged: then both sides of the join are plain exchanges, and a hot payload can be split
+    first = rows.filter(F.col("bytes") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
+    return rows.join(staged(first, "payloads"), "digest", "left")
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = LEAST, start: str = START) -> None:

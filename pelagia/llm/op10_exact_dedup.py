@@ -146,8 +146,11 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that repeat an id with the same text count in group_size, and are reported alike. An empty table gives an empty result.
     Other columns aren't read."""
     rows = staged(identities(df, id_col, text_col, block), "ids")
-    best = rows.groupBy("level", "name").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(best, ["level", "name"]).select("id", "th", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    # groups of several rows, staged: then both sides of the join are plain exchanges, and a hot group can be split
+    best = staged(rows.groupBy("level", "name").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"), "groups")
+    keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
+    joined = rows.join(best, ["level", "name"], "left").withColumn("keep_id", keep)
+    return joined.select("id", "th", "keep_id", F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -114,21 +114,22 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """Connected components of ``edges`` (u, v longs) as (v, m): each node but the smallest of its component, with that smallest.
 
-    Alternating large-star and small-star steps, each staged; all state is in tables. Hot nodes are met by partial
-    aggregation and by joins that adaptive execution can split."""
+    Alternating large-star and small-star steps; all state is in staged tables. Hot nodes are met by partial
+    aggregation, and by joins of plain exchanges, which adaptive execution can split."""
     now = staged(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     before = None
     for _ in range(most):
         # large star: each neighbour larger than u is tied to the smallest of u and its neighbours
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
+        low = staged(both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m")), "cc")
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = staged(large, "cc")
         # small star: the smaller neighbours of u, and u itself, are tied to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        down = staged(large.groupBy("u").agg(F.min("v").alias("m")), "cc")
+        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
         after = staged(small.filter("u <> v").distinct(), "cc")
         printed = after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        drop(now)
+        drop(now, low, large, down)
         now = after
         if tuple(printed) == before:
             return now.select(F.col("u").alias("v"), F.col("v").alias("m"))

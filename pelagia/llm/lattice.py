@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,12 @@ class Lattice:
                 raise RuntimeError("the piece table is full")
         self.keys[:], self.ids[:] = keys, ids
 
+    def weighted(self, logp: np.ndarray) -> Lattice:
+        """The same pieces with other probabilities; the table is shared."""
+        other = copy.copy(self)
+        other.logp = np.asarray(logp, np.float64)
+        return other
+
     @staticmethod
     def _slot(key: int, side: int) -> int:
         if side:

@@ -174,7 +174,8 @@ def expected(counts: DataFrame, pieces: list[bytes], logp: list[np.ndarray]) ->
     executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nets, total = [Lattice(pieces, p) for p in logp], np.zeros((len(logp), len(pieces)))
+        one = Lattice(pieces, logp[0])
+        nets, total = [one.weighted(p) for p in logp], np.zeros((len(logp), len(pieces)))
         for b in batches:
             for w, c in zip(b.column("words").to_pylist(), b.column("counts").to_pylist(), strict=True):
                 words, of = unpacked(w).split(), from_planes(c).reshape(len(logp), -1)
@@ -244,9 +245,9 @@ def score_texts(
     def looked_up(t: pa.Table) -> pa.Table:
         """For each block's part of the list: training counts, and log10 probabilities by class, in the order of the list."""
         picks, every, c = gathered(t, classes)
-        p = np.empty((classes, len(every)), np.float64)
+        p, net = np.empty((classes, len(every)), np.float64), Lattice(pieces, logps[0])
         for k in range(classes):
-            p[k] = Lattice(pieces, logps[k]).log_marginals([b" " + w for w in every]) + math.log1p(-share[k])
+            p[k] = net.weighted(logps[k]).log_marginals([b" " + w for w in every]) + math.log1p(-share[k])
             n = np.flatnonzero(c[k])
             p[k, n] = np.logaddexp(p[k, n], np.log(share[k] * c[k, n] / max(1, words_of[k])))
         p = (p + math.log1p(-end)) / math.log(10)

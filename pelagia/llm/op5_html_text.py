@@ -37,8 +37,11 @@ UNSEEN = RAW | frozenset("applet audio button canvas datalist head map math nosc
 BOILER_TAGS = frozenset("aside dialog footer form menu nav search".split())
 BOILER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 BOILER_NAMES = frozenset(
-    "ad ads adsbygoogle adv advert advertisement advertising adverts banner breadcrumb breadcrumbs byline comment commentary commentlist comments consent cookie cookies copyright disqus dropdown footer gdpr legal login masthead menu menubar modal nav navbar navigation newsletter notice notices notification notifications pager pagination popup privacy promo promoted promotion recommended recommendations register related replies reply respond rss search share sharing sidebar sidenav signin signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar tracking widget widgets".split()
+    "ad ads adsbygoogle adv advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment commentary commentlist comments consent cookie cookies copyright disqus dropdown footer gdpr legal login masthead menu menubar modal nav navbar navigation newsletter notice notices notification notifications overlay pager pagination paywall popup privacy promo promoted promotion recommended recommendations register related replies reply respond rss search share sharing sidebar sidenav signin signup skip social sponsor sponsored subscribe subscription teaser toast toolbar topbar tracking widget widgets".split()
 )
+#: What alone can make an article or the main part boilerplate; and words that say that a name is about a layout.
+BOILER_ARTICLES = frozenset("ad ads advert advertisement comment comments promo related reply sponsored teaser".split())
+LAYOUT_NAMES = frozenset("has hide layout no open page with without wrapper".split())
 _TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^=>]|=\s*\"[^\"]{0,65536}\"|=\s*'[^']{0,65536}'|=)*+)>", re.DOTALL)
 _ATTR = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/]+)")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -67,6 +70,10 @@ def boiler(tag: str, attrs: str, inside: bool) -> bool:
         return True
     names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()
     tokens = set(re.split(r"[^a-z]+", names))
+    if tag in ("article", "main"):
+        return bool(tokens & BOILER_ARTICLES)
+    if tokens & LAYOUT_NAMES:
+        return False
     return bool(tokens & BOILER_NAMES) or ("header" in tokens and not inside and tag not in ("h1", "h2"))
 
 
@@ -163,12 +170,13 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
         own = boiler(tag, m[3], region > 0)
+        main = tag == "main" or ("role" in m[3] and bool(re.search(r"role\s*=\s*[\"']?main\b", m[3], re.IGNORECASE)))
         if own and not hide and text:
             close()
-        hide = hide or own
+        hide = own or (hide and not main)  # the main part isn't within boilerplate, whatever a wrapper is called
         if tag == "article":
             region = 2
-        elif (tag == "main" or "role" in m[3] and re.search(r"role\s*=\s*[\"']?main\b", m[3], re.IGNORECASE)) and not region:
+        elif main and not region:
             region = 1
         link = link or tag == "a"
         heading = heading or (len(tag) == 2 and tag[0] == "h" and tag[1] in "123456")

@@ -231,7 +231,7 @@ ARTICLE = "<h1>Title &amp; more</h1><p>This is the text of the article, and it i
 TEXT = "Title & more\n\nThis is the text of the article, and it is long enough to be decided by the rules as it stands.\n\nShort.\n\n*** XQZ %% VVRR ** long block without a single word that is frequent anywhere ***\n\nThe end of it is here, and a link is in the middle of the words that are kept."
 
 
-@pytest.mark.parametrize("frame", ["<article>{}</article>", "<main>{}</main>", "<div class='content'>{}</div>", "<div role='main'>{}</div>", "<article>{}<aside>More of the same</aside><div class='ad'>Buy the thing that is new</div></article>"])
+@pytest.mark.parametrize("frame", ["<article>{}</article>", "<main>{}</main>", "<div class='content'>{}</div>", "<div role='main'>{}</div>", "<article>{}<aside>More of the same</aside><div class='ad'>Buy the thing that is new</div></article>", "<div class='page with-sidebar no-comments'><article class='post has-sidebar'>{}</article></div>", "<div class='sidebar-right'><main id='content'>{}</main></div>", "<article>{}<div class='alert'>You have read all of the articles that are free</div></article><article class='comment'><p>It is the best of all the texts that I have read.</p></article>"])
 def test_main_text(frame):
     assert pages.main_text(PAGE.replace("{}", frame.replace("{}", ARTICLE)).replace("if(a<b){", "if(a<b){")) == TEXT
 

@@ -56,32 +56,30 @@ def _array(spark: SparkSession, path: str) -> np.ndarray:
 
 
 def read_days(spark: SparkSession, root: str, wanted: list[str]) -> DataFrame:
-    """Cells of some days as a store has them. A field that a day lacks is null; NaN is null. Chunks of all fields of a day are read together."""
+    """Cells of some days as a store has them, in one plan for any number of days. Axes, chunk sizes and codecs are those of the first day that has them: grids are taken to be the
+    same. A field that a day lacks is null, as is a chunk that isn't stored; NaN is null."""
     root = root.rstrip("/")
-    out: DataFrame | None = None
-    for day in wanted:
-        group = f"{root}/{day.replace('-', '/')}"
-        names = set(_folders(spark, group))
-        found = {k: next((a for a in ALIASES[k] if a in names), None) for k in ALIASES}
-        lon, lat = _array(spark, f"{group}/{found['lon']}"), _array(spark, f"{group}/{found['lat']}")
-        metas = {f: json.loads(_read(spark, f"{group}/{found[f]}/zarr.json")) for f in FIELDS if found[f]}
-        one = _cells(spark, group, day, {f: found[f] for f in metas}, metas, lon, lat)
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], SCHEMA)
-
-
-def _cells(spark: SparkSession, group: str, day: str, names: dict[str, str], metas: dict[str, dict], lon: np.ndarray, lat: np.ndarray) -> DataFrame:
+    groups = {d: f"{root}/{d.replace('-', '/')}" for d in wanted}
+    inside = {d: set(_folders(spark, g)) for d, g in groups.items()}
+    first = next((d for d in wanted if inside[d]), None)
+    if first is None:
+        return spark.createDataFrame([], SCHEMA)
+    pick = lambda k, d: next((a for a in ALIASES[k] if a in inside[d]), None)
+    lon, lat = (_array(spark, f"{groups[first]}/{pick(k, first)}") for k in ("lon", "lat"))
+    folders = {f: [f"{groups[d]}/{n}" for d in wanted if (n := pick(f, d))] for f in FIELDS}
+    metas = {f: json.loads(_read(spark, f"{x[0]}/zarr.json")) for f, x in folders.items() if x}
     if not metas:
         return spark.createDataFrame([], SCHEMA)
-    first = next(iter(metas.values()))
-    lead = len(first["shape"]) - 2  # a time axis of length one may stand before the two others
-    rows, cols = first["chunk_grid"]["configuration"]["chunk_shape"][lead:]
-    places = [(a, b) for a in range(-(-len(lat) // rows)) for b in range(-(-len(lon) // cols))]
-    tiles = spark.createDataFrame(places, "a int, b int")
-    for f, name in names.items():
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!z]*").load(f"{group}/{name}")
-        at = F.regexp_extract("path", r"([0-9]+)[/.]([0-9]+)$", 1).cast("int"), F.regexp_extract("path", r"([0-9]+)[/.]([0-9]+)$", 2).cast("int")
-        tiles = tiles.join(files.select(at[0].alias("a"), at[1].alias("b"), F.col("content").alias(f)), ["a", "b"], "left")
+    lead = next(iter(metas.values()))["chunk_grid"]["configuration"]["chunk_shape"]
+    rows, cols = lead[-2:]  # a time axis of length one may stand before the two others
+    tiles = spark.createDataFrame([(d,) for d in wanted], "date string")
+    tiles = tiles.select("date", F.explode(F.sequence(F.lit(0), F.lit(-(-len(lat) // rows) - 1))).alias("a")).select("date", "a", F.explode(F.sequence(F.lit(0), F.lit(-(-len(lon) // cols) - 1))).alias("b"))
+    for f in metas:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!z]*").load(folders[f])
+        part = lambda pattern, k: F.regexp_extract("path", pattern, k)
+        date = F.concat_ws("-", *(part(r"/([0-9]{4})/([0-9]{2})/([0-9]{2})/[^0-9/]+/c/", k) for k in (1, 2, 3)))
+        place = [part(r"([0-9]+)[/.]([0-9]+)$", k).cast("int") for k in (1, 2)]
+        tiles = tiles.join(files.select(date.alias("date"), place[0].alias("a"), place[1].alias("b"), F.col("content").alias(f)), ["date", "a", "b"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,15 +87,15 @@ def _cells(spark: SparkSession, group: str, day: str, names: dict[str, str], met
                 a, b = batch.column("a")[k].as_py(), batch.column("b")[k].as_py()
                 j, i = np.arange(a * rows, min((a + 1) * rows, len(lat))), np.arange(b * cols, min((b + 1) * cols, len(lon)))
                 jj, ii = (x.ravel() for x in np.meshgrid(j, i, indexing="ij"))
-                cols_out = {"date": pa.array([day] * len(jj)), "lat_idx": pa.array(jj.astype(np.int32)), "lon_idx": pa.array(ii.astype(np.int32)), "lat": pa.array(lat[jj]), "lon": pa.array(lon[ii])}
+                out = {"date": pa.array([batch.column("date")[k].as_py()] * len(jj)), "lat_idx": pa.array(jj.astype(np.int32)), "lon_idx": pa.array(ii.astype(np.int32)), "lat": pa.array(lat[jj]), "lon": pa.array(lon[ii])}
                 for f in FIELDS:
-                    if f not in metas:
-                        cols_out[f] = pa.nulls(len(jj), pa.float32())
+                    data = batch.column(f)[k].as_py() if f in metas else None
+                    if data is None and (f not in metas or metas[f].get("fill_value") in (None, "NaN")):
+                        out[f] = pa.nulls(len(jj), pa.float32())
                         continue
-                    data = batch.column(f)[k].as_py()
                     grid = (decoded(data, metas[f]) if data is not None else fill(metas[f])).reshape(rows, cols)[: len(j), : len(i)].astype(np.float32).ravel()
-                    cols_out[f] = pa.array(grid, mask=np.isnan(grid))
-                yield pa.RecordBatch.from_pydict(cols_out)
+                    out[f] = pa.array(grid, mask=np.isnan(grid))
+                yield pa.RecordBatch.from_pydict(out)
 
     schema = "date string, lat_idx int, lon_idx int, lat float, lon float, " + ", ".join(f"{f} float" for f in FIELDS)
     return tiles.mapInArrow(run, schema).withColumn("date", F.col("date").cast("date")).select(*SCHEMA.names)

@@ -117,8 +117,10 @@ def repeated(df: DataFrame, id_col: str, text_col: str, u: Units, index: Callabl
 
     mixed = found.filter("mixed")
     mark = F.xxhash64("id", "th", "lo")
-    by = mixed.groupBy("h", "sw").agg(F.sum(F.col("m").cast("long")).alias("c"), F.min(mark).alias("one"))
-    mixed = mixed.join(by, ["h", "sw"]).select("h", "id", "th", "lo", "n", "m", (F.col("c") == 1).alias("single"), (mark == F.col("one")).alias("send"))
+    # runs that occur more than once, staged: then both sides of the join are plain exchanges, and a hot run can be split
+    by = staged(mixed.groupBy("h", "sw").agg(F.sum(F.col("m").cast("long")).alias("c"), F.min(mark).alias("one")).filter("c > 1"), "runs")
+    single = F.col("c").isNull()
+    mixed = mixed.join(by, ["h", "sw"], "left").select("h", "id", "th", "lo", "n", "m", single.alias("single"), (single | (mark == F.col("one"))).alias("send"))
     whole = found.filter("not mixed").select("h", "id", "th", "lo", "n", "m", F.lit(False).alias("single"), F.lit(False).alias("send"))
     lists = mixed.unionByName(whole).groupBy("id", "th").agg(F.collect_list(F.struct("h", "lo", "n", "m", "single", "send")).alias("runs"))
 

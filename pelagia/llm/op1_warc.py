@@ -78,7 +78,12 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record: file, at (its place in the file), id, url, date, type, refers_to, digest, bytes and payload (null for revisits).
 
-    Raises if a record is cut short or its payload differs from its digest. An empty folder gives an empty result."""
+    Raises if a record is cut short or its payload differs from its digest. An empty folder gives an empty result. Archives are gzipped, so Spark doesn't split them; a plain one
+    must be smaller than the least split."""
+    least_split = int(spark._jsparkSession.sessionState().conf().filesOpenCostInBytes())
+    plain = spark.read.format("binaryFile").load(path).select("path", "length").filter(~F.col("path").endswith(".gz") & (F.col("length") > least_split)).first()
+    if plain:
+        raise ValueError(f"{plain['path']}: an archive of over {least_split} bytes must be gzipped")
     names = ["file", "at", "id", "url", "date", "type", "refers_to", "digest", "bytes", "payload"]
     types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
     number = lambda x: int(x) if (x := (x or "").rpartition(":")[2].rstrip(">")).lstrip("-").isdigit() else None

@@ -294,3 +294,6 @@ def test_a_damaged_archive_is_an_error(spark, tmp_path):
         (tmp_path / name / "x.warc").write_bytes(bad.encode())
         with pytest.raises(Exception, match="cut short|differs|doesn't end"):
             warc.read_archives(spark, str(tmp_path / name)).collect()
+    (tmp_path / "cut" / "x.warc").write_bytes(text.encode() * 20000)
+    with pytest.raises(ValueError, match="must be gzipped"):
+        warc.read_archives(spark, str(tmp_path / "cut"))

@@ -25,6 +25,24 @@ def half_even(x: Column | str, digits: int) -> Column:
     return F.bround(c(x).cast("double"), digits)
 
 
+def hundredths(x: Column) -> Column:
+    """A double rounded to two digits by its exact binary value, ties to even, as Python does; bround goes by the decimal text, and takes 2.675 for a tie.
+
+    200 x is 128 x + 64 x + 8 x, each exact; two-sums keep what the additions lose, so the side of the tie (an odd whole number) is exact. Values of 2**43 and more have
+    no digits to round at that precision."""
+    v = F.abs(x)
+    a, b, e = v * 128, v * 64, v * 8
+    s = a + b
+    lost1 = (a - (s - (s - a))) + (b - (s - a))
+    t = s + e
+    lost = lost1 + (s - (t - (t - s))) + (e - (t - s))
+    low = F.floor(t / 2)  # whole hundredths below, or one too many if the sum was rounded up
+    low = F.when((t - low * 2) + lost < 0, low - 1).otherwise(low)
+    side = (t - (low * 2 + 1)) + lost
+    up = (side > 0) | ((side == 0) & (low % 2 == 1))
+    return F.when(v < 2.0**43, F.signum(x) * (F.when(up, low + 1).otherwise(low) / F.lit(100.0))).otherwise(x)
+
+
 def parsed_date(x: Column | str) -> Column:
     """A date of exactly the form YYYY-MM-DD, else null."""
     return F.when(c(x).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(c(x), "yyyy-MM-dd"))
@@ -125,7 +143,7 @@ def offset_at_noon(zone: Column, day: Column) -> Column:
 
 def height(height_cm: Column, fallback: Column) -> Column:
     """Centimetres to two digits; null if the text is no number."""
-    return F.bround(F.coalesce(height_cm, fallback).try_cast("double"), 2)
+    return hundredths(F.coalesce(height_cm, fallback).try_cast("double"))
 
 
 def tide_messages(sky_status: Column, zone_note: Column) -> Column:

@@ -109,3 +109,17 @@ def test_nan_is_refused():
     with pytest.raises(BadRequest):
         p.finite(1.0, float("nan"))
     p.finite(np.float64(1))
+
+
+def test_hundredths_round_as_python_does(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from pelagia.functions.columns import hundredths
+
+    rng = random.Random(8)
+    values = [2.675, 1.005, 0.125, 0.375, -2.675, -0.125, 0.0, 1e12 + 0.125, 123456.785, 5e-324, 0.005, 0.015, 1e15 + 0.5]
+    values += [k / 1000 for k in range(-4000, 4000, 5)] + [rng.uniform(-1e4, 1e4) for _ in range(3000)] + [rng.randint(-(10**6), 10**6) / 8 for _ in range(1000)] + [rng.randint(-(10**9), 10**9) / 1000 for _ in range(2000)]
+    found = [tuple(r) for r in spark.createDataFrame([(v,) for v in values], "x double").select("x", hundredths(F.col("x"))).collect()]
+    assert [(x, y) for x, y in found if y != round(x, 2)] == []

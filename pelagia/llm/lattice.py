@@ -115,6 +115,28 @@ class Lattice:
                 b[i] = np.logaddexp.reduce(on)
         return float(a[n])
 
+    def log_marginals_of(self, words: list[bytes], logps: list[np.ndarray], block: int = 4096) -> np.ndarray:
+        """Natural log of each word's probability under several sets of piece probabilities (rows): pieces are looked up once for all."""
+        out = np.empty((len(logps), len(words)))
+        by_piece = np.ascontiguousarray(np.stack(logps, axis=1))
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        for same in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+            n = int(lengths[same[0]]) if len(same) else 0
+            if n > LONG:
+                for k, p in enumerate(logps):
+                    net = self.weighted(p)
+                    out[k, same] = [net.forward_long(words[w]) for w in same.tolist()]
+                continue
+            for part in (same[i : i + block] for i in range(0, len(same), block)):
+                x = np.frombuffer(b"".join([words[w] for w in part.tolist()]), np.uint8).reshape(len(part), n)
+                a = np.full((n + 1, len(x), len(logps)), -np.inf)
+                a[0] = 0
+                for i, k, rows, ids in self.arcs(x):
+                    a[i + k, rows] = np.logaddexp(a[i + k, rows], a[i, rows] + by_piece[ids])
+                out[:, part] = a[n].T
+        return out
+
     def log_marginals(self, words: list[bytes], counts: np.ndarray | None = None, block: int = 4096) -> np.ndarray:
         """Natural log of each word's probability, summed over all segmentations."""
         out = np.empty(len(words))

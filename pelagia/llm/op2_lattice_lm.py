@@ -31,7 +31,7 @@ from .common import drop, map_arrow, partitions, staged, table, texts
 from .lattice import Lattice
 from .op3_language import held_out
 
-VOCABULARY, LONGEST, ROUNDS, BLOCK = "/opt/tokenizers/piece_bpe_32k.model", 16, 3, 12 << 20
+VOCABULARY, LONGEST, ROUNDS, BLOCK = "/opt/tokenizers/piece_bpe_32k.model", 16, 2, 12 << 20
 CLASSES = 7
 
 
@@ -191,17 +191,19 @@ def expected(counts: DataFrame, pieces: list[bytes], logp: list[np.ndarray]) ->
 
 
 def class_numbers(df: DataFrame, id_col: str, class_col: str | None, most: int):
-    """A Column with each row's class, the number of classes, and the training documents of each. The ``most`` most frequent labels of training rows are classes; all other rows,
-    and those without a label, are one more."""
+    """A Column with each row's class, and the number of classes. The ``most`` most frequent labels of training rows are classes; all other rows,
+    and those without a label, are one more, if there are any."""
     if class_col is None:
         return F.lit(0), 1
     label = F.col(f"`{class_col}`").cast("string")
     train = df.filter(~held_out(id_col, 7))
-    top = train.filter(label.isNotNull()).groupBy(label.alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "k").limit(most).collect()
+    found = train.groupBy(label.alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("k").isNull(), F.desc("n"), "k").limit(most + 1).collect()
+    top = [r["k"] for r in found[:most] if r["k"] is not None]
     if not top:
         return F.lit(0), 1
-    number = F.create_map(*(F.lit(x) for i, r in enumerate(top) for x in (r["k"], i)))
-    return F.coalesce(F.element_at(number, label), F.lit(len(top))), len(top) + 1
+    others = len(top) < len(found)  # a class for the rest, if training rows are in it; else other rows count as of the first, which only held-out ones can be
+    number = F.create_map(*(F.lit(x) for i, k in enumerate(top) for x in (k, i)))
+    return F.coalesce(F.try_element_at(number, label), F.lit(len(top) if others else 0)), len(top) + others
 
 
 def score_texts(
@@ -245,9 +247,9 @@ def score_texts(
     def looked_up(t: pa.Table) -> pa.Table:
         """For each block's part of the list: training counts, and log10 probabilities by class, in the order of the list."""
         picks, every, c = gathered(t, classes)
-        p, net = np.empty((classes, len(every)), np.float64), Lattice(pieces, logps[0])
+        p = Lattice(pieces, logps[0]).log_marginals_of([b" " + w for w in every], logps)
         for k in range(classes):
-            p[k] = net.weighted(logps[k]).log_marginals([b" " + w for w in every]) + math.log1p(-share[k])
+            p[k] += math.log1p(-share[k])
             n = np.flatnonzero(c[k])
             p[k, n] = np.logaddexp(p[k, n], np.log(share[k] * c[k, n] / max(1, words_of[k])))
         p = (p + math.log1p(-end)) / math.log(10)

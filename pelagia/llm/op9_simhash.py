@@ -26,6 +26,8 @@ from .common import components, keyed, map_arrow, only, staged, table, texts
 from .spans import mix
 
 RADIUS, SHINGLE, SEED, TILE, SUB = 4, 4, 42, 16384, 256
+#: Rows of a tile from which one, two and three counts cut its sub-tiles.
+LEAD = (512, 4096, 1 << 20)
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -70,13 +72,19 @@ def quarter_counts(a: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count((a >> np.uint64(s)) & np.uint64(0xFFFF)) for s in (48, 32, 16, 0)], axis=1).astype(np.int16)
 
 
-def ordered(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The fingerprints by their quarter counts, and for each sub-tile the least and the largest counts."""
+def ordered(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The fingerprints by their quarter counts, the starts of the sub-tiles and their end, and for each sub-tile the least and the largest counts.
+
+    A sub-tile has SUB rows at most, and is cut where the leading counts change: none, one, two or three of them, by how many rows there are."""
     q = quarter_counts(a)
     order = np.lexsort(q.T[::-1])
     a, q = a[order], q[order]
-    at = np.arange(0, len(a), SUB)
-    return a, np.minimum.reduceat(q, at), np.maximum.reduceat(q, at)
+    lead = q[:, : int(np.searchsorted(LEAD, len(a)))]
+    new = np.concatenate(([True], (lead[1:] != lead[:-1]).any(axis=1)))
+    first = np.flatnonzero(new)
+    new |= (np.arange(len(a)) - first[np.cumsum(new) - 1]) % SUB == 0
+    at = np.flatnonzero(new)
+    return a, np.append(at, len(a)), np.minimum.reduceat(q, at), np.maximum.reduceat(q, at)
 
 
 def forest(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -93,8 +101,8 @@ def forest(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def links(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of all links within ``a`` (b is None) or between ``a`` and ``b``, as two arrays of fingerprints."""
-    a, alo, ahi = ordered(a)
-    (c, clo, chi) = (a, alo, ahi) if b is None else ordered(b)
+    a, at, alo, ahi = ordered(a)
+    (c, ct, clo, chi) = (a, at, alo, ahi) if b is None else ordered(b)
     nodes = a if b is None else np.concatenate((a, c))
     shift = 0 if b is None else len(a)
     labels = np.arange(len(nodes))
@@ -102,13 +110,13 @@ def links(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> tuple[np
     for x, y in zip(*np.nonzero(far <= radius), strict=True):
         if b is None and y < x:
             continue
-        s, t = a[x * SUB : (x + 1) * SUB], c[y * SUB : (y + 1) * SUB]
+        s, t = a[at[x] : at[x + 1]], c[ct[y] : ct[y + 1]]
         i, j = np.nonzero(np.bitwise_count(s[:, None] ^ t[None]) <= radius)
-        i, j = i + x * SUB, j + y * SUB + shift
+        i, j = i + at[x], j + ct[y] + shift
         if len(i) and not (labels[i] == labels[j]).all():
             labels = forest(labels, i, j)
-    at = np.nonzero(labels != np.arange(len(nodes)))[0]
-    return nodes[at], nodes[labels[at]]
+    tied = np.nonzero(labels != np.arange(len(nodes)))[0]
+    return nodes[tied], nodes[labels[tied]]
 
 
 def counts_of(fps: DataFrame) -> dict[int, int]:

@@ -75,8 +75,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     sorted_run.select(F.concat(head, F.col("block"), F.lit("\r\n\r")).alias("value")).write.option("compression", "gzip").option("lineSep", "\n").text(path)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record: file, at (its place in the file), id, url, date, type, refers_to, digest, bytes and payload (null for revisits).
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """A row for each record: file, at (its place in the file), id, url, date, type, refers_to, digest, bytes and payload (null for revisits, and without
+    ``payloads``: then they are only measured and compared with their digests).
 
     Raises if a record is cut short or its payload differs from its digest. An empty folder gives an empty result. Archives are gzipped, so Spark doesn't split them; a plain one
     must be smaller than the least split."""
@@ -95,7 +96,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         digest = head["warc-payload-digest"].removeprefix("sha256:")
         if payload is not None and hashlib.sha256(payload).hexdigest() != digest:
             raise ValueError(f"{file}: the payload of the record at {at} differs from its digest")
-        return file, at, number(head.get("warc-record-id")), head.get("warc-target-uri"), head.get("warc-date"), head["warc-type"], number(head.get("warc-refers-to")), digest, None if payload is None else len(payload), payload
+        return file, at, number(head.get("warc-record-id")), head.get("warc-target-uri"), head.get("warc-date"), head["warc-type"], number(head.get("warc-refers-to")), digest, None if payload is None else len(payload), payload if payloads else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, at, head, lines, held, want, out, size = None, 0, {}, [], 0, None, [], 0
@@ -212,7 +213,8 @@ def resolved(captures: DataFrame) -> DataFrame:
 def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    captures = staged(merged_index(read_archives(spark, path).drop("payload")), "index")
+    records = staged(read_archives(spark, path, payloads=False).drop("payload"), "captures")  # the range sort reads its input twice
+    captures = staged(merged_index(records), "index")
     done = resolved(captures)
     return done.select(F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
 

@@ -19,11 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, keyed, map_arrow, only, staged, table, texts
-from .spans import mix
+from .common import components, drop, keyed, map_arrow, only, staged, table, texts
 
 RADIUS, SHINGLE, SEED, TILE, SUB = 4, 4, 42, 16384, 256
 #: Rows of a tile from which one, two and three counts cut its sub-tiles.
@@ -175,109 +174,88 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     return only(df, kept.groupBy("id", "component").agg(F.min("th").alias("th")), id_col, text_col)
 
 
-# Near copies by similarity: the fingerprint's radius is taken wide enough for all pairs of the similarity asked for, and a pair must pass
-# a longer fingerprint and the exact comparison of its shingles.
-WIDE, LOOSE, LOOSE_WIDE, SIMILARITY = 3, 20, 68, 0.8
-
-
-def sketch(text: bytes, shingle: int) -> tuple[int, bytes]:
-    """The fingerprint and WIDE more of 64 bits, from hashes mixed anew."""
-    h = shingle_hashes(text, shingle)
-    return majority(h), b"".join(majority(mix(h ^ np.uint64(0x9E3779B97F4A7C15 * k % 2**64))).to_bytes(8, "little") for k in range(1, WIDE + 1))
-
-
-def lightest(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Places of the edges of a minimum spanning forest, so that it joins what edges up to any weight join."""
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    kept = []
-    for e in np.argsort(w, kind="stable").tolist():
-        a, b = root(int(i[e])), root(int(j[e]))
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            kept.append(e)
-    return np.array(kept, np.int64)
-
-
-def loose_links(a: np.ndarray, b: np.ndarray | None, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
-    """A minimum spanning forest of the pairs within both radii. Rows: fingerprint, WIDE more, node number."""
-    nodes = a if b is None else np.concatenate((a, b))
-    shift, c = (0, a) if b is None else (len(a), b)
-    held = [np.zeros(0, np.int64)] * 3
-    size = 0
-
-    def reduced(parts: list) -> list:
-        i, j, w = (np.concatenate(x) for x in zip(*parts, strict=True))
-        e = lightest(len(nodes), i, j, w)
-        return [i[e], j[e], w[e]]
-
-    parts = [held]
-    for x in range(0, len(a), SUB):
-        s = a[x : x + SUB, 0]
-        for y in range(x if b is None else 0, len(c), 4 * SUB):
-            i, j = np.nonzero(np.bitwise_count(s[:, None] ^ c[y : y + 4 * SUB, 0][None]) <= LOOSE)
-            i, j = i + x, j + y
-            if b is None:
-                up = j > i
-                i, j = i[up], j[up]
-            if len(i):
-                w = np.bitwise_count(a[i, : WIDE + 1] ^ c[j, : WIDE + 1]).sum(axis=1, dtype=np.int64)
-                ok = w <= LOOSE_WIDE
-                parts.append([i[ok], j[ok] + shift, w[ok]])
-                if (size := size + int(ok.sum())) > most:
-                    parts, size = [reduced(parts)], 0
-    i, j, _ = reduced(parts)
-    return nodes[i, WIDE + 1], nodes[j, WIDE + 1]
-
-
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = SIMILARITY, tile: int = TILE) -> DataFrame:
-    """One row for each input row: id, th and component (the smallest id reachable by pairs whose sets of ``shingle``-word shingles have a Jaccard
-    similarity of ``least`` at least).
-
-    Candidates are all pairs within 20 of 64 and 68 of 256 fingerprint bits, found by the tiled comparison: a similar pair differs in about 11 of 64 bits, so
-    few can be farther apart (none of 1,966 measured). Of the candidates a minimum spanning forest of each tile pair is compared exactly. Rows of one sketch stand for each other. Nulls,
+# Near copies by similarity: an exact join of shingle sets. All pairs that can have the similarity share a shingle of their prefixes, and each of
+# them is verified, unless verified pairs join its ends already.
+SIMILARITY, HOT, SAMPLE, ROUNDS, OPEN = 0.8, 1 << 16, 16, 6, 4096
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes in order."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def prefix(s: np.ndarray, hot: np.ndarray, rank: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles of a set, in an order that all sets share: by hash, then the frequent ones by rank. Two sets of the similarity ``least``
+    have one of them in common, as they share ``least`` times the larger set at least. hot is sorted."""
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+        known = hot[at] == s
+        s = np.concatenate((s[~known], s[known][np.argsort(rank[at[known]])]))
+    return s[: prefix_size(len(s), least)]
+
+
+def prefix_size(n: int, least: float) -> int:
+    return n - int(np.ceil(least * n - 1e-6)) + 1 if n else 0
+
+
+def frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, sorted, and their ranks from rare to frequent: of every SAMPLE-th text, HOT shingles at most. They only order the prefixes; any choice gives the same pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in texts(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, shingle).view(np.int64))], names=["s"])
+
+    counted = map_arrow(docs.filter(F.pmod("th", F.lit(SAMPLE)) == 0).select("text"), run, "s bigint").groupBy("s").agg(F.count(F.lit(1)).alias("c"))
+    found = counted.filter("c > 2").orderBy(F.desc("c"), "s").limit(HOT).collect()
+    hot = np.array([r["s"] for r in found], np.int64).view(np.uint64)
+    order = np.argsort(hot)
+    return hot[order], (len(hot) - np.arange(len(hot)))[order]
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = SIMILARITY, tile: int = OPEN) -> DataFrame:
+    """One row for each input row: id, th, component (the smallest id reachable by pairs whose sets of ``shingle``-word shingles have a Jaccard
+    similarity of ``least`` at least) and m (the component's own number, which differs where ids don't).
+
+    Rows of one shingle set (128 bits of hash) are one node. No similar pair is missed: prefixes give all candidates. Rounds that compare the nodes
+    of a shingle with one of them join large groups first, while more pairs are open than a tile of ``tile`` nodes has; then all pairs are compared whose
+    ends aren't joined by verified pairs. Nulls,
     repeated rows and empty tables are treated as in near_groups."""
     docs = keyed(df, id_col, text_col)
-    parts = ", ".join(f"e{k} bigint" for k in range(WIDE))
+    hot, rank = frequent(docs, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(t, shingle) for t in texts(batch)]
-            fp = np.array([f for f, _ in found], np.uint64).view(np.int64)
-            more = np.frombuffer(b"".join(e for _, e in found), np.int64).reshape(len(found), WIDE)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), pa.array(fp), *(pa.array(np.ascontiguousarray(more[:, k])) for k in range(WIDE))], names=["id", "th", "fp", *(f"e{k}" for k in range(WIDE))])
-
-    key = ["fp", *(f"e{k}" for k in range(WIDE))]
-    rows = staged(map_arrow(docs, run, f"id bigint, th bigint, fp bigint, {parts}"), "sketches")
-    one = rows.groupBy(*key).agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th")).alias("r"))
-    nodes = staged(one.select(*key, "r.id", "r.th", F.monotonically_increasing_id().alias("node")), "nodes")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows_of = lambda x: np.stack([np.asarray(x.values.field(k)) for k in range(WIDE + 2)], axis=1).view(np.uint64)
+            found = [shingle_set(t, shingle) for t in texts(batch)]
+            names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in found), np.int64).reshape(len(found), 2)
+            cut = [prefix(s, hot, rank, least).tobytes() for s in found]
+            columns = [batch.column("id"), batch.column("th"), *(pa.array(np.ascontiguousarray(names[:, k])) for k in (0, 1)), pa.array([len(s) for s in found], pa.int32()), pa.array(cut, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "k1", "k2", "n", "prefix"])
+
+    mapped = map_arrow(docs, run, "id bigint, th bigint, k1 bigint, k2 bigint, n int, prefix binary")
+    full = staged(mapped.withColumn("row", F.monotonically_increasing_id()), "sets")
+    rows = staged(full.drop("prefix"), "rows")
+    one = rows.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "th", "row", "n")).alias("r"))
+    nodes = staged(one.select("k1", "k2", "r.id", "r.th", F.col("r.row").alias("node"), "r.n"), "nodes")
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                u, v = loose_links(rows_of(a), rows_of(b) if b.is_valid else None)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+            cut = [np.frombuffer(p, np.int64) for p in batch.column("prefix").to_pylist()]
+            size = np.array([len(p) for p in cut], np.int64)
+            repeated = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), size)) for c in ("node", "n")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *cut])), *repeated], names=["s", "node", "n"])
 
-    pairs = tile_pairs(nodes, LOOSE, tile, f"struct(fp, {', '.join(f'e{k}' for k in range(WIDE))}, node)")
-    edges = staged(map_arrow(pairs, compare, "u bigint, v bigint").distinct(), "candidates")
+    # shingles that the prefixes of two or more nodes have
+    own = full.filter("n > 0").select(F.col("row").alias("node"), "n", "prefix").join(nodes.select("node"), "node", "left_semi")
+    posts = map_arrow(own, exploded, "s bigint, node bigint, n int")
+    shared = staged(posts.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("s"))).filter("c > 1").select("s", "node", "n"), "shared")
+    drop(full)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts(batch)]
+            found = [shingle_set(t, shingle).tobytes() for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "s"])
 
-    used = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
-    used = nodes.join(used, "node", "left_semi").select("node", F.col("id").alias("i"), F.col("th").alias("t"))
-    with_text = docs.join(used, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("node", "text")
-    shingles = staged(map_arrow(with_text, sets, "node bigint, s binary").dropDuplicates(["node"]), "shingles")
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -287,11 +265,49 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 keep.append(both >= least * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    sided = edges.join(shingles.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(shingles.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
-    label = components(map_arrow(sided.select("u", "v", "a", "b"), verify, "u bigint, v bigint"))
-    tied = nodes.join(label, nodes["node"] == label["v"], "left").select(*key, "id", F.coalesce("m", "node").alias("m"))
+    # two prefixes share so many shingles that the sets can have the similarity: a set has ceil(least * n) - 1 shingles beyond its prefix
+    rest = "ceil({least} * {n} - 1e-6) - 1"
+    bound = f"c + greatest({rest.format(least=least, n='n')}, {rest.format(least=least, n='k')}) >= {least / (1 + least)} * (n + k) - 1e-6"
+
+    def verified(met: DataFrame) -> DataFrame:
+        """Of pairs (u, v, of k and n shingles), one row for each shingle that both have been met by, those that are similar."""
+        pairs = staged(met.groupBy("u", "v", "n", "k").agg(F.count(F.lit(1)).alias("c")).filter(bound).select("u", "v"), "pairs")
+        used = nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("id").alias("i"), F.col("th").alias("t"))
+        with_text = docs.join(used, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("node", "text")
+        held = staged(map_arrow(with_text, sets, "node bigint, s binary").dropDuplicates(["node"]), "held")
+        sided = pairs.join(held.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
+        similar = staged(map_arrow(sided.select("u", "v", "a", "b"), verify, "u bigint, v bigint"), "verified")
+        drop(pairs, held)
+        return similar
+
+    def labelled(found: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        """The components of verified pairs, the shared shingles whose nodes lie in several of them, and the pairs these have to compare."""
+        label = components(found)
+        of = shared.join(label.select(F.col("v").alias("node"), "m"), "node", "left").withColumn("m", F.coalesce("m", "node"))
+        per = Window.partitionBy("s")
+        left = staged(of.withColumn("several", F.min("m").over(per) < F.max("m").over(per)).filter("several").drop("several"), "open")
+        counted = left.groupBy("s", "m").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(F.sum("c").alias("c"), F.sum(F.expr("c * c")).alias("q"))
+        return label, left, counted.agg(F.sum(F.expr("(c * c - q) div 2"))).first()[0] or 0
+
+    far = f"least(n, k) < {least} * greatest(n, k) - 1e-6"
+    left, found, work = shared.withColumn("m", F.col("node")), None, None
+    for turn in range(ROUNDS):
+        first = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("u"), F.col("n").alias("k"), F.col("m").alias("l"))).over(Window.partitionBy("s"))
+        star = left.withColumn("f", first).select("f.*", F.col("node").alias("v"), "n", "m").filter(f"l <> m and not ({far})")
+        new = verified(star)
+        found = new if found is None else staged(found.unionByName(new), "links")
+        before = work
+        label, left, work = labelled(found)
+        if work <= tile * tile // 2 or (before is not None and work > 0.9 * before):
+            break
+    # every other pair
+    a, b = left.withColumnRenamed("node", "u"), left.select("s", F.col("node").alias("v"), F.col("n").alias("k"), F.col("m").alias("l"))
+    new = verified(a.join(b, "s").filter(f"u < v and m <> l and not ({far})"))
+    if not new.isEmpty():
+        label = components(found.unionByName(new))
+    tied = nodes.join(label, nodes["node"] == label["v"], "left").select("k1", "k2", "id", F.coalesce("m", "node").alias("m"))
     least_id = tied.groupBy("m").agg(F.min("id").alias("component"))
-    return rows.join(tied.join(least_id, "m").select(*key, "component"), key).select("id", "th", "component")
+    return rows.select("id", "th", "k1", "k2").join(tied.join(least_id, "m").select("k1", "k2", "component", "m"), ["k1", "k2"]).select("id", "th", "component", "m")
 
 
 def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = SIMILARITY) -> DataFrame:

@@ -159,3 +159,23 @@ def test_components_of_a_chain_and_a_star(spark):
     label = {r["v"]: r["m"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert label == {i: 0 for i in range(1, 61)} | {1000 + k: 1000 for k in range(1, 40)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def stay(spark, rows, keep=near.keep_one_similar):
+    return keep(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+
+
+def test_every_candidate_is_verified(spark):
+    """Groups of variants of an absent text, with similarities on both sides of 0.8: a forest of the nearest pairs isn't enough."""
+    rng, rows = random.Random(11), []
+    for g in range(6):
+        text = words(rng, 200).split()
+        for k in range(40):
+            copy = text[:]
+            for at in rng.sample(range(200), 2 + k % 2):
+                copy[at] = f"own{g}x{k}x{at}"
+            rows.append((100 * g + k, " ".join(copy)))
+    linked = [(a, b) for a in range(len(rows)) for b in range(a) if jaccard(rows[a][1], rows[b][1]) >= 0.8]
+    want = sorted(min(rows[q][0] for q in g) for g in classes(len(rows), linked))
+    assert sorted(r["doc_id"] for r in stay(spark, rows)) == want
+    assert sorted({r["component"] for r in near.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), tile=2).collect()}) == want

@@ -179,3 +179,10 @@ def test_every_candidate_is_verified(spark):
     want = sorted(min(rows[q][0] for q in g) for g in classes(len(rows), linked))
     assert sorted(r["doc_id"] for r in stay(spark, rows)) == want
     assert sorted({r["component"] for r in near.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), tile=2).collect()}) == want
+
+
+def test_a_repeated_line_makes_no_copies(spark):
+    """The line decides every bit of a fingerprint that counts repeats."""
+    rng = random.Random(12)
+    rows = [(k, "one two three four five six seven\n" * 60 + words(rng, 100)) for k in range(12)]
+    assert sorted(r["doc_id"] for r in stay(spark, rows)) == list(range(12))

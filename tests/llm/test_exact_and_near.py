@@ -186,3 +186,17 @@ def test_a_repeated_line_makes_no_copies(spark):
     rng = random.Random(12)
     rows = [(k, "one two three four five six seven\n" * 60 + words(rng, 100)) for k in range(12)]
     assert sorted(r["doc_id"] for r in stay(spark, rows)) == list(range(12))
+
+
+def test_similar_sets_far_apart_in_bits(spark):
+    """One of two texts of one set repeats a line; and short texts against the same with a word more, of which some differ in many bits."""
+    rng, rows = random.Random(13), []
+    for k in range(8):
+        text = words(rng, 200)
+        rows += [(2 * k, text), (2 * k + 1, " ".join(text.split()[:40]) + "\n" + " ".join(text.split()[:7] * 60) + "\n" + text)]
+    for k in range(600):
+        text = words(rng, 8)
+        rows += [(100 + 2 * k, text), (101 + 2 * k, f"{text} w{k}")]
+    linked = [(q, q + 1) for q in range(0, len(rows), 2) if jaccard(rows[q][1], rows[q + 1][1]) >= 0.8]
+    assert len(linked) > 600
+    assert {rows[b][0] for _, b in linked}.isdisjoint(r["doc_id"] for r in stay(spark, rows))

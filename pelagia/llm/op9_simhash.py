@@ -152,7 +152,8 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, tile: int = TILE) -> DataFrame:
-    """One row for each input row: id, th, fp and component (the smallest id reachable by links of ``radius`` bits at most).
+    """One row for each input row: id, th, fp, component (the smallest id reachable by links of ``radius`` bits at most) and m (the component's own
+    number, which differs where ids don't).
 
     Null texts count as empty; all texts without words share the fingerprint zero, which links like any other. Null ids take part, but are never
     the smallest unless the component has no other. Repeated rows are members like others. An empty table gives an empty result."""
@@ -162,16 +163,18 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     label = components(forest_edges)
     tied = best.join(label, best["fp"] == label["v"], "left").select("fp", F.coalesce("m", "fp").alias("m"), "least")
     least = tied.groupBy("m").agg(F.min("least").alias("component"))
-    of = tied.join(least, "m").select("fp", "component")
-    return rows.join(of, "fp").select("id", "th", "fp", "component")
+    of = tied.join(least, "m").select("fp", "component", "m")
+    return rows.join(of, "fp").select("id", "th", "fp", "component", "m")
+
+
+def first_of_each(groups: DataFrame) -> DataFrame:
+    """Keys (id, th) of one row for each component m: the one with the smallest id, null ids last."""
+    return groups.groupBy("m").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "th")).alias("r")).select("r.id", "r.th")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``df`` that stay: of each component the row with the smallest id, once if it is repeated. All columns are kept."""
-    groups = near_groups(df, id_col, text_col, radius, shingle)
-    kept = groups.filter(F.col("id").eqNullSafe(F.col("component")))
-    # an id that is repeated with other texts of the same component stays with one of them
-    return only(df, kept.groupBy("id", "component").agg(F.min("th").alias("th")), id_col, text_col)
+    return only(df, first_of_each(near_groups(df, id_col, text_col, radius, shingle)), id_col, text_col)
 
 
 # Near copies by similarity: an exact join of shingle sets. All pairs that can have the similarity share a shingle of their prefixes, and each of
@@ -312,8 +315,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_one_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``df`` that stay: of each group of near copies the row with the smallest id, once if it is repeated. All columns are kept."""
-    kept = similar_groups(df, id_col, text_col, shingle, least).filter(F.col("id").eqNullSafe(F.col("component")))
-    return only(df, kept.groupBy("id", "component").agg(F.min("th").alias("th")), id_col, text_col)
+    return only(df, first_of_each(similar_groups(df, id_col, text_col, shingle, least)), id_col, text_col)
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,3 +200,13 @@ def test_similar_sets_far_apart_in_bits(spark):
     linked = [(q, q + 1) for q in range(0, len(rows), 2) if jaccard(rows[q][1], rows[q + 1][1]) >= 0.8]
     assert len(linked) > 600
     assert {rows[b][0] for _, b in linked}.isdisjoint(r["doc_id"] for r in stay(spark, rows))
+
+
+@pytest.mark.parametrize("keep", [near.keep_one, near.keep_one_similar])
+def test_unrelated_texts_of_one_id_stay(spark, keep):
+    """Without an id, or with the same; a copy of one of them goes."""
+    rng = random.Random(14)
+    own = [words(rng, 60) for _ in range(7)]
+    rows = [(None, own[0]), (None, own[1]), (7, own[2]), (7, own[3]), (None, own[4]), (8, own[4]), (None, own[5]), (None, own[5]), (9, own[6])]
+    got = stay(spark, rows, keep)
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([(None, own[0]), (None, own[1]), (7, own[2]), (7, own[3]), (8, own[4]), (None, own[5]), (9, own[6])], key=repr)

@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. The first pass decides what it can from the block alone: blocks in menus, headers, footers, sidebars, forms, notices,
 adverts and reader comments, and blocks made of links, are boilerplate; long blocks with enough stop words are text. The second pass gives
-the rest, short blocks and those without stop words, the label of the nearest decided neighbours of the same region.
+the rest, short blocks and those without stop words, the label of the nearest decided neighbours of the same region. Stop words are those of four
+languages; on a page where they decide no block as text, long blocks with few links are text.
 
 Scale: one scan, a page at a time, no shuffle. The scanner reads a page once from left to right.
 """
@@ -210,6 +211,9 @@ def main_text(page: str) -> str:
         if own:
             break
     labels = [first_pass(b) for b in own]
+    if True not in labels:
+        # no stop words known: another language, a table or code; long blocks without many links are text
+        labels = [True if x is None and len(b.text) >= LONG and not b.heading else x for b, x in zip(own, labels, strict=True)]
     decided = [i for i, x in enumerate(labels) if x is not None]
     kept = []
     for i, b in enumerate(own):

@@ -236,6 +236,15 @@ def test_main_text(frame):
     assert pages.main_text(PAGE.replace("{}", frame.replace("{}", ARTICLE)).replace("if(a<b){", "if(a<b){")) == TEXT
 
 
+@pytest.mark.parametrize("after", ["<ul><li><a href=a>Первая ссылка</a></li><li><a href=b>Вторая ссылка</a></li></ul>", "<p>© 2024</p>"])
+def test_main_text_of_another_language(after):
+    """Its stop words aren't known; a list of links, or a line of rights, is the only block that is decided by itself."""
+    body = ["Старый маяк", "Маяк на северном берегу построили рыбаки, и каждую осень его огонь видели корабли далеко в открытом море.", "Теперь внутри небольшой музей, куда летом приезжают школьники из соседних деревень и приморских городов."]
+    text = pages.main_text(f"<body><h1>{body[0]}</h1><p>{body[1]}</p><p>{body[2]}</p>{after}</body>")
+    assert text == "\n\n".join(body)
+
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [("", ""), ("plain", "plain"), ("<p>a<p>b", "a\n\nb"), ("<div>x<!-- open", "x"), ("<p>x</p><a href='", "x"), ("a<br>b<br><br>c", "a b\n\nc"), ("<p>1 < 2 &lt; 3&nbsp;</p>", "1 < 2 < 3"), ("<article><p>Hm.</p></article>", "Hm."), ("<script>x", ""), ("<b>a</b>b", "ab")],

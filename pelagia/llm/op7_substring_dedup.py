@@ -1,7 +1,7 @@
 """Substring dedup with a log-structured fingerprint index.
 
-The index keeps fingerprints of 35-word windows in immutable runs: bucketed tables, sorted by fingerprint, one for each batch of documents. A new batch is
-merge-joined with the runs bucket by bucket, without a shuffle of what is indexed; runs are compacted into one by merging their
+The index keeps fingerprints of 35-word windows in immutable runs: bucketed tables, sorted by fingerprint, one for each batch of documents. ``match``
+merge-joins a new batch with the runs bucket by bucket, without a shuffle of what is indexed; the query doesn't use it, and joins a staged copy of the compacted index. Runs are compacted into one by merging their
 sorted entries. Consecutive windows that share an anchor are one entry (see spans), so the index has one entry for about sixteen words.
 
 A matched fingerprint is verified: rows agree on the hash of the anchor's words and on a second, independent hash over all words of the run;

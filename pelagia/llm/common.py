@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,6 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 _made: list[tuple[SparkSession, str]] = []
+_local: dict[SparkSession, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where it is unset, a local one is made (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local one is made if all runs in this process
+    (``local[n]``, as in tests); on a cluster that is an error, since executors wouldn't see each other's files."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or _local.get(spark)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="pelagia-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = _local[spark] = "file://" + tempfile.mkdtemp(prefix="pelagia-")
     return found.rstrip("/")
 
 
@@ -48,9 +52,23 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, tag: str, *keys: str, sort: bool = False) -> DataFrame:
+    """``df`` written to the shared folder as a table with a bucket for each shuffle partition: joins on all of ``keys`` read it without an exchange. sort: rows of a file
+    are in the order of the keys."""
+    spark = df.sparkSession
+    path, name = new_path(spark, tag), f"pelagia_{tag}_{uuid.uuid4().hex}"
+    write = df.write.bucketBy(partitions(spark), *keys)
+    (write.sortBy(*keys) if sort else write).option("compression", "zstd").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._pelagia_path, out._pelagia_table = path, name
+    return out
+
+
 def drop(*frames: DataFrame) -> None:
-    """Removes staged tables that no later plan reads."""
+    """Removes staged and bucketed tables that no later plan reads."""
     for df in frames:
+        if hasattr(df, "_pelagia_table"):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._pelagia_table}")
         remove(df.sparkSession, df._pelagia_path)
 
 

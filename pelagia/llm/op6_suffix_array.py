@@ -1,26 +1,22 @@
 """Suffix-array dedup of byte strings.
 
-Repeated 400-byte strings are found in the runs of windows that the anchors leave open (see spans). The runs of one anchor are cut into
-blocks of sixteen bytes, counted from the anchor, so equal strings have equal blocks; the blocks of many runs are one integer sequence, whose suffix array is
-built by linear grouping (suffix_array). Neighbours in it that agree in 24 blocks form a class; a string is that class together with
-the sixteen bytes around it, so strings are compared byte by byte, not by hashes.
+Texts are reduced to runs of 400-byte strings that share an anchor, and runs whose anchor occurs once are done with (see spans). All others are decided by
+suffix arrays: runs are cut into blocks of sixteen bytes, counted from the anchor, so equal strings have equal blocks; the blocks of many runs are one integer sequence, whose
+suffix array is built by linear grouping (suffix_array). Neighbours in it that agree in 24 blocks form a class; a string is that class together with
+the sixteen bytes around it, so strings are compared byte by byte, not by hashes. An array holds two places of each different run at most.
 
-Scale: a suffix array covers a bounded batch of whole anchor groups, about a megabyte of text. Groups of more than ``MOST`` different runs are matched
-window by window instead, with counts that aggregate before the shuffle: exact, and without a group in one task.
+Scale: a suffix array covers a bounded batch of anchor groups, about a megabyte of text; groups of more than ``MOST`` different runs are cut into several batches (see spans).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, partitions, table
-from .spans import CHUNK, Units, anchored, entries, mix, repeated, windows_elsewhere
+from .common import table
+from .spans import CHUNK, Units, anchored, mix, often, repeated
 from .suffix_array import suffix_array
 
 WINDOW, GRAM, BLOCK, MOST, SYMBOLS = 400, 64, 16, 2048, 1 << 16
@@ -59,8 +55,9 @@ def byte_anchors(text: bytes, window: int, gram: int):
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
-def repeated_starts(runs: list[bytes], window: int = WINDOW, gram: int = GRAM) -> list[np.ndarray]:
-    """For each run the places whose ``window`` bytes are also found at another place of these runs. The last place of a run is its length less the window."""
+def classes(runs: list[bytes], window: int = WINDOW, gram: int = GRAM) -> list[np.ndarray]:
+    """For each run a number for each of its places, the same for two places exactly if the ``window`` bytes there are equal. The last place of a run is its
+    length less the window."""
     deep = (window - BLOCK) // BLOCK  # blocks that lie in a string wherever it starts
     inner = deep * BLOCK
     skip, symbols = [], []
@@ -91,7 +88,7 @@ def repeated_starts(runs: list[bytes], window: int = WINDOW, gram: int = GRAM) -
     buffer = np.frombuffer(b"".join(runs), np.uint8)
     base = np.cumsum([0, *map(len, runs)])
     base_symbol = np.concatenate(([0], ends[:-1]))
-    keys, owner, starts = [], [], []
+    keys = []
     j = np.arange(window - inner)[None]
     for k, r in enumerate(runs):
         q = np.arange(len(r) - window + 1)
@@ -99,80 +96,29 @@ def repeated_starts(runs: list[bytes], window: int = WINDOW, gram: int = GRAM) -
         block = (q + t - skip[k]) // BLOCK
         at = base[k] + q[:, None] + j + np.where(j >= t[:, None], inner, 0)
         keys.append(np.concatenate((buffer[at], t[:, None].astype(np.uint8), cluster[base_symbol[k] + block].astype("<i8").view(np.uint8).reshape(-1, 8)), axis=1))
-        owner.append(np.full(len(q), k))
-        starts.append(q)
     rows = np.ascontiguousarray(np.concatenate(keys))
-    _, inverse, counts = np.unique(rows.view(f"V{rows.shape[1]}").ravel(), return_inverse=True, return_counts=True)
-    owner, starts, twice = np.concatenate(owner), np.concatenate(starts), counts[inverse] > 1
-    cut = np.searchsorted(owner, np.arange(len(runs) + 1))
-    return [starts[a:b][twice[a:b]] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-
-
-def consecutive(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and length of each run of consecutive places."""
-    if not len(at):
-        return at, at
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1] + 1)))
-    return at[first], np.diff(np.append(first, len(at)))
-
-
-def by_suffix_array(window: int, gram: int, most: int, symbols: int):
-    def resolve(sent: DataFrame) -> DataFrame:
-        names = ["id", "th", "lo", "n"]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Rows come sorted by h; whole groups are gathered until their blocks are enough for one suffix array."""
-            held, size, last = [], 0, None
-
-            def solve() -> pa.RecordBatch:
-                out: list[tuple] = []
-                for (key, th, lo, single), at in zip([x[:4] for x in held], repeated_starts([x[4] for x in held], window, gram), strict=True):
-                    if single:
-                        out += [(key, th, lo + s, n) for s, n in zip(*(v.tolist() for v in consecutive(at)), strict=True)]
-                cols = zip(*out, strict=True) if out else [[]] * 4
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=names)
-
-            for b in batches:
-                for h, key, th, lo, single, p in zip(*(b.column(c).to_pylist() for c in ("h", "id", "th", "lo", "single", "payload")), strict=True):
-                    if h != last and size > symbols * BLOCK:
-                        yield solve()
-                        held, size = [], 0
-                    held.append((key, th, lo, single, p))
-                    size, last = size + len(p), h
-            if held:
-                yield solve()
-
-        large = sent.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > most).select("h")
-        few = sent.join(large, "h", "left_anti").repartition(partitions(sent.sparkSession), "h").sortWithinPartitions("h")
-        found = map_arrow(few.select("h", "id", "th", "lo", "single", "payload"), run, "id bigint, th bigint, lo int, n int")
-
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for h, key, th, lo, n, single, p in zip(*(b.column(c).to_pylist() for c in ("h", "id", "th", "lo", "n", "single", "payload")), strict=True):
-                    w = [xxhash.xxh3_128_digest(p[k : k + window]) for k in range(n)]
-                    yield pa.RecordBatch.from_arrays([pa.array([h] * n, pa.int64()), pa.array(w, pa.binary()), pa.array([key] * n, pa.int64()), pa.array([th] * n, pa.int64()), pa.array(range(lo, lo + n), pa.int32()), pa.array([single] * n)], names=["h", "w", "id", "th", "lo", "single"])
-
-        many = map_arrow(sent.join(large, "h", "left_semi").select("h", "id", "th", "lo", "n", "single", "payload"), each, "h bigint, w binary, id bigint, th bigint, lo int, single boolean")
-        return found.unionByName(windows_elsewhere(many))
-
-    return resolve
-
-
-def byte_units(window: int, gram: int, most: int, symbols: int) -> Units:
+    inverse = np.unique(rows.view(f"V{rows.shape[1]}").ravel(), return_inverse=True)[1].ravel()
+    return np.split(inverse, np.cumsum([len(r) - window + 1 for r in runs])[:-1])
+
+
+def byte_units(window: int, gram: int) -> Units:
     def kept(x: bytes, s: np.ndarray, e: np.ndarray) -> bytes:
         return b"".join(x[a:b] for a, b in zip([0, *e.tolist()], [*s.tolist(), len(x)], strict=True))
 
-    return Units(window, lambda t: t, len, lambda t: byte_anchors(t, window, gram), lambda t, lo, n: t[lo : lo + n + window - 1], kept, by_suffix_array(window, gram, most, symbols))
+    def cut(p: bytes) -> list[bytes]:
+        return [p[k : k + window] for k in range(len(p) - window + 1)]
+
+    return Units(window, lambda t: t, len, lambda t: byte_anchors(t, window, gram), lambda t, lo, n: t[lo : lo + n + window - 1], kept, lambda runs: classes(runs, window, gram), cut)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, most: int = MOST, symbols: int = SYMBOLS, digest: bool = False) -> DataFrame:
-    """One row for each input row: id, th, n_units (bytes), n_removed, n_spans, spans (byte places) and kept (the remaining bytes, which may split a character, or
+    """One row for each input row: id, n_units (bytes), n_removed, n_spans, spans (byte places) and kept (the remaining bytes, which may split a character, or
     their digest). A byte goes if a string of ``window`` bytes over it also starts anywhere else, in the same document or another one; strings are
     judged on the input, and never cross documents. ``window`` is a multiple of 16 and at least 16 more than ``gram``.
 
     Null and empty texts have no bytes; texts shorter than a window keep all. Repeated rows are copies of each other, so their strings go. Null ids are
     ids like others. An empty table gives an empty result. Other columns aren't read."""
-    return repeated(df, id_col, text_col, byte_units(window, gram, most, symbols), entries, digest)
+    return repeated(df, id_col, text_col, byte_units(window, gram), often, digest, most, symbols * BLOCK)
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

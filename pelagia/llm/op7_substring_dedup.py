@@ -1,26 +1,23 @@
 """Substring dedup with a log-structured fingerprint index.
 
-The index keeps fingerprints of 35-word windows in immutable runs: bucketed tables, sorted by fingerprint, one for each batch of documents. ``match``
-merge-joins a new batch with the runs bucket by bucket, without a shuffle of what is indexed; the query doesn't use it, and joins a staged copy of the compacted index. Runs are compacted into one by merging their
-sorted entries. Consecutive windows that share an anchor are one entry (see spans), so the index has one entry for about sixteen words.
+The index keeps the fingerprints of historical 35-word windows in immutable runs: tables sorted and bucketed by fingerprint, one for each batch of documents. A new
+batch is written as a run of its own and merge-joined with the earlier ones, bucket by bucket, without a shuffle of what is indexed; runs are compacted by merging their
+sorted entries. Consecutive windows that share an anchor have one entry (see spans), about sixteen words.
 
-A matched fingerprint is verified: rows agree on the hash of the anchor's words and on a second, independent hash over all words of the run;
-where runs of windows differ, their windows are matched one by one.
+A fingerprint that a batch shares with history, or that it has twice, is a match, no more: all windows behind it are compared word by word.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table
-from .spans import CHUNK, Units, anchored, entries, mix, repeated, windows_elsewhere
+from .common import bucketed, drop, staged, table
+from .spans import CHUNK, Units, anchored, counted, mix, repeated
 
-WINDOW, GRAM, BATCHES = 35, 5, 3
+WINDOW, GRAM, BATCHES, MOST, BYTES = 35, 5, 3, 2048, 4 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,7 +46,19 @@ class Words:
         return self._h
 
 
-def word_units(window: int, gram: int, resolve) -> Units:
+def windows_of(p: bytes, window: int) -> list[bytes]:
+    """Each ``window`` words of words joined by one space."""
+    ends = [*np.flatnonzero(np.frombuffer(p, np.uint8) == 32).tolist(), len(p)]
+    return [p[a:b] for a, b in zip([0, *(e + 1 for e in ends)], ends[window - 1 :], strict=False)]
+
+
+def classes(runs: list[bytes], window: int) -> list[np.ndarray]:
+    """For each run a number for each of its windows, the same for two windows exactly if their words are."""
+    numbers: dict[bytes, int] = {}
+    return [np.fromiter((numbers.setdefault(w, len(numbers)) for w in windows_of(p, window)), np.int64) for p in runs]
+
+
+def word_units(window: int, gram: int) -> Units:
     def anchors(x: Words):
         parts = []
         for a in range(0, len(x.words) - window + 1, CHUNK):
@@ -68,8 +77,7 @@ def word_units(window: int, gram: int, resolve) -> Units:
         return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
     def payload(x: Words, lo: int, n: int) -> bytes:
-        raw = memoryview(np.ascontiguousarray(x.h[lo : lo + n + window - 1])).cast("B")
-        return b"".join(xxhash.xxh3_64_digest(raw[8 * k : 8 * (k + window)]) for k in range(n))
+        return b" ".join(x.words[lo : lo + n + window - 1])
 
     def kept(x: Words, s: np.ndarray, e: np.ndarray) -> bytes:
         if not len(s):
@@ -77,75 +85,70 @@ def word_units(window: int, gram: int, resolve) -> Units:
         cuts = zip([0, *e.tolist()], [*s.tolist(), len(x.words)], strict=True)
         return b" ".join(w for a, b in cuts for w in x.words[a:b])
 
-    return Units(window, Words, lambda x: len(x.words), anchors, payload, kept, resolve)
-
-
-def by_window(sent: DataFrame) -> DataFrame:
-    """The payload holds eight bytes for each window."""
-    each = F.expr("transform(sequence(0, n - 1), k -> struct(lo + k as lo, substring(payload, 8 * k + 1, 8) as w))")
-    return windows_elsewhere(sent.select("h", "id", "th", "single", F.explode(each).alias("x")).select("h", "id", "th", "single", "x.lo", F.col("x.w").alias("w")))
+    return Units(window, Words, lambda x: len(x.words), anchors, payload, kept, lambda runs: classes(runs, window), lambda p: windows_of(p, window))
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints. ``add`` writes a run for a batch; ``match`` merge-joins a batch with what is indexed; ``compact`` merges all runs
-    into one. Entries are (h, c, s0, s1), see spans.entries; runs are bucketed by h into as many buckets as there are shuffle
-    partitions when the index is made, so that merges and joins read them side by side."""
+    """Sorted immutable runs of fingerprints. ``add`` takes a batch of anchor rows, writes its run, and returns the batch's matches; ``compact`` merges all runs into one.
+    Entries are (h, c): a fingerprint and how often it occurs. Runs are bucketed by h into as many buckets as there are shuffle
+    partitions, so that matching and merging read them side by side."""
 
     def __init__(self, spark: SparkSession, most_runs: int = 4):
-        self.spark, self.buckets, self.most, self.runs = spark, partitions(spark), most_runs, []
+        self.spark, self.most, self.runs = spark, most_runs, []
 
-    def _write(self, df: DataFrame) -> None:
-        name = f"pelagia_run_{uuid.uuid4().hex}"
-        df.write.bucketBy(self.buckets, "h").sortBy("h").option("compression", "zstd").saveAsTable(name)
-        self.runs.append(name)
-
-    def add(self, rows: DataFrame) -> None:
-        self._write(entries(rows))
+    def add(self, rows: DataFrame) -> DataFrame:
+        """The fingerprints of ``rows`` that occur more than once, history counted; staged."""
+        run = bucketed(counted(rows), "run", "h", sort=True)
+        found = staged(self.match(run), "matches")
+        self.runs.append(run)
         if len(self.runs) > self.most:
             self.compact()
+        return found
+
+    def match(self, run: DataFrame) -> DataFrame:
+        """Merge-joins a run with the earlier ones: its fingerprints (h) that occur more than once in all."""
+        total = F.col("c")
+        for k, old in enumerate(self.runs):
+            run = run.join(old.select("h", F.col("c").alias(f"c{k}")), "h", "left")
+            total = total + F.coalesce(f"c{k}", F.lit(0))
+        return run.filter(total > 1).select("h")
 
     def compact(self) -> DataFrame:
         """One run for all; the old ones are dropped after it is written."""
         old = self.runs
         if len(old) > 1:
-            all_ = self.spark.table(old[0])
-            for name in old[1:]:
-                b = self.spark.table(name).toDF("h", "c_", "s0_", "s1_")
+            all_ = old[0].select("h", "c")
+            for one in old[1:]:
                 sums = (F.coalesce("c", F.lit(0)) + F.coalesce("c_", F.lit(0))).alias("c")
-                all_ = all_.join(b, "h", "full_outer").select("h", sums, F.least("s0", "s0_").alias("s0"), F.greatest("s1", "s1_").alias("s1"))
-            self.runs = []
-            self._write(all_)
-            for name in old:
-                self.spark.sql(f"DROP TABLE {name}")
-        return self.spark.table(self.runs[0])
-
-    def match(self, rows: DataFrame) -> DataFrame:
-        """Anchor rows of a batch whose fingerprint is in the index, verified by their second hash unless the entry has several (``sure``)."""
-        known = self.compact()
-        return rows.join(known, "h").filter("s0 <> s1 or sw = s0").withColumn("sure", F.col("s0") == F.col("s1"))
+                all_ = all_.join(one.select("h", F.col("c").alias("c_")), "h", "full_outer").select("h", sums)
+            self.runs = [bucketed(all_, "run", "h", sort=True)]
+            drop(*old)
+        return self.runs[0]
 
     def close(self) -> None:
-        for name in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop(*self.runs)
         self.runs = []
 
 
-def indexed(rows: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """The entries of all rows, through an index that takes them in batches of documents."""
-    index = FingerprintIndex(rows.sparkSession)
-    for k in range(batches):
-        index.add(rows.filter(F.pmod(F.xxhash64("id", "th"), F.lit(batches)) == k))
-    return index.compact()
+def matched(rows: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """The anchors that occur more than once, by an index that takes the texts in batches, one after the other: what occurs twice is met when it comes for the second time."""
+    index = FingerprintIndex(rows.sparkSession, most_runs=2)
+    found = [index.add(rows.filter(F.pmod(F.xxhash64("t1", "t2"), F.lit(batches)) == k)) for k in range(batches)]
+    index.close()
+    every = found[0]
+    for one in found[1:]:
+        every = every.unionByName(one)
+    return every.distinct()
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, digest: bool = False) -> DataFrame:
-    """One row for each input row: id, th, n_units (words), n_removed, n_spans, spans (word places) and kept (the remaining words joined by one space, or their
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, most: int = MOST, size: int = BYTES, digest: bool = False) -> DataFrame:
+    """One row for each input row: id, n_units (words), n_removed, n_spans, spans (word places) and kept (the remaining words joined by one space, or their
     digest). A word goes if a window of ``window`` words over it also starts anywhere else, in the same document or another one; windows are judged on
-    the input. Words are taken unchanged.
+    the input. Words are taken unchanged. The number of ``batches`` that the index takes the documents in doesn't change the result.
 
     Null and empty texts have no words; texts shorter than a window keep all. Repeated rows are copies of each other, so their windows go. Null ids are
     ids like others. An empty table gives an empty result. Other columns aren't read."""
-    return repeated(df, id_col, text_col, word_units(window, gram, by_window), indexed, digest)
+    return repeated(df, id_col, text_col, word_units(window, gram), lambda rows: matched(rows, batches), digest, most, size)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

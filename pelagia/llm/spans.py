@@ -2,14 +2,17 @@
 
 A window is a fixed number of units (bytes or words). Its anchor is the gram (a shorter run of units) with the smallest hash in it, so equal windows have
 equal anchors at equal places, and consecutive windows mostly share one. The run of windows that share an anchor is one row: the anchor's
-hash ``h``, a hash ``sw`` of all units the run covers, and where it starts. Two windows can only be equal if their rows agree in ``h``:
+hash ``h``, a hash ``sw`` of all units the run covers, and where it starts. Two windows can only be equal if their rows agree in ``h``, so rows whose ``h``
+occurs once are done with. Hashes only group: of all other rows, two places of each (h, sw), or its only one, go to the operator's own
+method (``Units.classes``), which compares units and says which windows of a group are equal. A window is repeated if its class occurs more than once; what is
+found holds for all places of the (h, sw).
 
-* rows whose ``h`` occurs once have no repeated window;
-* rows that agree in ``h`` and ``sw`` repeat as a whole; no unit has to be looked at;
-* the rest, at the edges of what repeats, are settled window by window by the operator's own method (``resolve``).
+Equal texts (by SHA-256) are one row with a number from the start, so copies cost nothing more. Texts move once, into a table bucketed by
+their key; what is asked of them later, and what is found, joins it there without another exchange of texts.
 
-So the corpus is reduced to a row for each half window before anything is shuffled, texts are moved once, and a passage that a
-third of all documents share costs no more than one that two share.
+A batch for ``classes`` holds whole groups and is bounded. A group of more than ``most`` different runs is cut into several batches, each of them solved in the same way;
+windows that are alone in their batch are then counted over the batches of their group by a 128-bit digest. Counts are
+aggregated before they are shuffled, so no group has to fit a task.
 """
 
 from __future__ import annotations
@@ -20,10 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, keyed, map_arrow, staged, texts
+from .common import bucketed, drop, map_arrow, partitions, staged, texts
 
 CHUNK = 1 << 20
 _LOW = np.uint64(CHUNK * 2 - 1)
@@ -71,11 +75,19 @@ def merged(lo: np.ndarray, count: np.ndarray, window: int) -> tuple[np.ndarray,
     return s[new], e[np.append(np.flatnonzero(new)[1:] - 1, len(e) - 1)]
 
 
+def consecutive(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and length of each run of consecutive places."""
+    if not len(at):
+        return at, at
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1] + 1)))
+    return at[first], np.diff(np.append(first, len(at)))
+
+
 @dataclass
 class Units:
-    """How an operator sees a text. split: its units; anchors: of split units, the arrays h, sw, lo, count; payload: what
-    ``resolve`` needs of the run of windows at lo; kept: the text without the units in the runs; resolve: of rows h, id, th, lo, count, single, payload,
-    the windows of single rows that occur elsewhere, as id, th, lo, count."""
+    """How an operator sees a text. split: its units; size: their number; anchors: of split units, the arrays h, sw, lo, count; payload: what
+    ``classes`` needs of the run of windows at lo; kept: the text without the units in the spans; classes: of payloads, a number for each window of each of them, equal
+    for two windows exactly if their units are; cut: the bytes of each window of a payload."""
 
     window: int
     split: Callable[[bytes], object]
@@ -83,109 +95,167 @@ class Units:
     anchors: Callable[[object], tuple[np.ndarray, ...]]
     payload: Callable[[object, int, int], bytes]
     kept: Callable[[object, np.ndarray, np.ndarray], bytes]
-    resolve: Callable[[DataFrame], DataFrame]
+    classes: Callable[[list[bytes]], list[np.ndarray]]
+    cut: Callable[[bytes], list[bytes]]
+
+
+def keys_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, t1, t2 (128 bits of the text's SHA-256) and text; null texts count as empty. Other columns are left out, so names can't clash."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text")).withColumn("sha", F.sha2("text", 256))
+    return rows.select("id", *(F.conv(F.substring("sha", a, 16), 16, -10).cast("long").alias(k) for k, a in (("t1", 1), ("t2", 17))), "text")
+
+
+def distinct_texts(keyed: DataFrame) -> DataFrame:
+    """t1, t2, text and k (its copies), bucketed by key. Copies are collapsed before the exchange."""
+    return bucketed(keyed.groupBy("t1", "t2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("k")), "texts", "t1", "t2")
 
 
 def anchor_rows(docs: DataFrame, u: Units) -> DataFrame:
-    """h, sw, id, th, lo, n (windows of a run) and m (runs in a row) of keyed documents."""
-    names = ["h", "sw", "id", "th", "lo", "n", "m"]
+    """h, sw, t1, t2, lo, n (windows of a run), m (runs in a row) and w (its occurrences, with those in copies of the text) of distinct texts."""
+    names = ["h", "sw", "t1", "t2", "lo", "n", "m", "w"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [periodic(*u.anchors(u.split(t))) for t in texts(b)]
-            rows = pa.array(np.repeat(np.arange(b.num_rows), [len(f[0]) for f in found]))
+            sizes = [len(f[0]) for f in found]
+            rows = pa.array(np.repeat(np.arange(b.num_rows), sizes))
             h, sw, lo, n, m = (np.concatenate([f[i] for f in found]) for i in range(5))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(sw.view(np.int64)), b.column("id").take(rows), b.column("th").take(rows), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(m.astype(np.int32))], names=names)
+            w = m * np.repeat(b.column("k").to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(sw.view(np.int64)), b.column("t1").take(rows), b.column("t2").take(rows), *(pa.array(x.astype(np.int32)) for x in (lo, n, m)), pa.array(w.astype(np.int64))], names=names)
+
+    return map_arrow(docs.select("t1", "t2", "text", "k"), run, "h bigint, sw bigint, t1 bigint, t2 bigint, lo int, n int, m int, w bigint")
+
 
-    return map_arrow(docs, run, "h bigint, sw bigint, id bigint, th bigint, lo int, n int, m int")
+def counted(rows: DataFrame) -> DataFrame:
+    """For each anchor how often it occurs."""
+    return rows.groupBy("h").agg(F.sum("w").alias("c"))
 
 
-def entries(rows: DataFrame) -> DataFrame:
-    """For each anchor: how often it occurs, and the least and the largest ``sw``. Entries of several batches merge by sum, least and greatest."""
-    return rows.groupBy("h").agg(F.sum(F.col("m").cast("long")).alias("c"), F.min("sw").alias("s0"), F.max("sw").alias("s1"))
+def often(rows: DataFrame) -> DataFrame:
+    return counted(rows).filter("c > 1").select("h")
 
 
-def repeated(df: DataFrame, id_col: str, text_col: str, u: Units, index: Callable[[DataFrame], DataFrame], digest: bool) -> DataFrame:
-    """One row for each input row: id, th, n_units, n_removed, spans (start and end of the maximal removed runs), kept (the remaining text, or its SHA-256
-    in lower-case hex if ``digest``) and n_spans. ``index`` gets the anchor rows and gives their entries."""
-    docs = keyed(df, id_col, text_col)
+def solved(asked: DataFrame, u: Units, size: int) -> DataFrame:
+    """Of runs h, sw, c (copies of the text), salt, parts (batches that the group is cut into) and payload, the repeated windows as h, sw, a and b (arrays of first window and number)."""
+    schema = "h bigint, sw bigint, a array<int>, b array<int>, w binary, c bigint, at int"
+    names = ["h", "sw", "a", "b", "w", "c", "at"]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.int64(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group; whole groups are gathered until they are enough for one call."""
+        held, held_size, last = [], 0, None
+
+        def solve() -> pa.RecordBatch:
+            found = u.classes([x[4] for x in held])
+            flat, sizes = np.concatenate(found), np.array([len(x) for x in found])
+            owner = np.repeat(np.arange(len(held)), sizes)
+            total = np.bincount(flat, np.array([x[2] for x in held], np.float64)[owner])
+            twice, ends, out = total[flat] > 1, np.cumsum(sizes), []
+            told = np.zeros(len(total), bool)
+            for (h, sw, c, parts, p), e, n in zip(held, ends.tolist(), sizes.tolist(), strict=True):
+                own = twice[e - n : e]
+                if own.any():
+                    a, b = consecutive(np.flatnonzero(own))
+                    out.append((h, sw, a, b, None, None, None))
+                if parts > 1:  # what other batches of the group have to know: each class once, and where those are that are alone here
+                    of = flat[e - n : e]
+                    new = np.flatnonzero(~told[of])
+                    new = new[np.sort(np.unique(of[new], return_index=True)[1])] if len(new) else new
+                    told[of] = True
+                    w = u.cut(p) if len(new) else []
+                    out += [(h, sw, None, None, xxhash.xxh3_128_digest(w[k]), 2 if own[k] else c, None if own[k] else k) for k in new.tolist()]
+            cols = zip(*out, strict=True) if out else [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=names)
+
+        for b in batches:
+            for h, sw, c, salt, parts, p in zip(*(b.column(k).to_pylist() for k in ("h", "sw", "c", "salt", "parts", "payload")), strict=True):
+                if (h, salt) != last and held_size > size:
+                    yield solve()
+                    held, held_size = [], 0
+                held.append((h, sw, c, parts, p))
+                held_size, last = held_size + len(p), (h, salt)
+        if held:
+            yield solve()
+
+    dealt = asked.repartition(partitions(asked.sparkSession), "h", "salt").sortWithinPartitions("h", "salt")
+    done = staged(map_arrow(dealt.select("h", "sw", "c", "salt", "parts", "payload"), run, schema), "solved")
+    over = done.filter("w is not null")
+    again = over.groupBy("h", "w").agg(F.sum("c").alias("c")).filter("c > 1").select("h", "w")
+    alone = over.filter("at is not null").select("h", "sw", "w", "at").join(again, ["h", "w"]).select("h", "sw", F.array("at").alias("a"), F.array(F.lit(1)).alias("b"))
+    return done.filter("w is null").select("h", "sw", "a", "b").unionByName(alone)
+
+
+def repeated(df: DataFrame, id_col: str, text_col: str, u: Units, known: Callable[[DataFrame], DataFrame], digest: bool, most: int, size: int) -> DataFrame:
+    """One row for each input row: id, n_units, n_removed, n_spans, spans (start and end of the maximal removed runs) and kept (the remaining text, or its SHA-256
+    in lower-case hex if ``digest``). ``known`` gets the anchor rows and gives the anchors that occur more than once. most: different runs of a group in
+    a batch; size: bytes of a batch."""
+    docs = distinct_texts(keys_of(df, id_col, text_col))
     rows = staged(anchor_rows(docs, u), "anchors")
     # staged, so that it has no buckets and adaptive execution can split a hot anchor's rows
-    known = staged(index(rows).filter("c > 1").select("h", (F.col("s0") != F.col("s1")).alias("mixed")), "known")
-    found = staged(rows.join(known, "h"), "repeated")
-    drop(rows, known)
-
-    mixed = found.filter("mixed")
-    mark = F.xxhash64("id", "th", "lo")
-    # runs that occur more than once, staged: then both sides of the join are plain exchanges, and a hot run can be split
-    by = staged(mixed.groupBy("h", "sw").agg(F.sum(F.col("m").cast("long")).alias("c"), F.min(mark).alias("one")).filter("c > 1"), "runs")
-    single = F.col("c").isNull()
-    mixed = mixed.join(by, ["h", "sw"], "left").select("h", "id", "th", "lo", "n", "m", single.alias("single"), (single | (mark == F.col("one"))).alias("send"))
-    whole = found.filter("not mixed").select("h", "id", "th", "lo", "n", "m", F.lit(False).alias("single"), F.lit(False).alias("send"))
-    lists = mixed.unionByName(whole).groupBy("id", "th").agg(F.collect_list(F.struct("h", "lo", "n", "m", "single", "send")).alias("runs"))
-
-    names = ["kind", "id", "th", "text", "n_units", "lo", "n", "h", "single"]
-    own = "kind int, id bigint, th bigint, text binary, n_units int, lo array<int>, n array<int>, h bigint, single boolean"
-    digested = lambda t: hashlib.sha256(t).hexdigest().encode() if digest else t
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.bool_()]
-    batch = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 9, types, strict=True)], names=names)
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """kind 0: done, text is what is kept, lo and n the ends of the removed runs; 1: waits for its single runs; 2: a run for ``resolve``."""
-        out, size = [], 0
+    twice = staged(known(rows), "known")
+    found = staged(rows.join(twice, "h"), "repeated")
+    drop(rows, twice)
+
+    # two places of each run, if it has as many; the first two of runs in a row
+    place = F.struct("t1", "t2", "lo", "n", F.expr("w div m").alias("c"), "m")
+    two = found.groupBy("h", "sw").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+    places = F.expr("explode(if(a.m > 1, array(a, named_struct('t1', a.t1, 't2', a.t2, 'lo', a.lo + a.n, 'n', a.n, 'c', a.c, 'm', a.m)), array_distinct(array(a, b))))")
+    runs = staged(two.select("h", "sw", places.alias("x")).select("h", "sw", "x.t1", "x.t2", "x.lo", "x.n", "x.c"), "runs")
+    large = staged(runs.groupBy("h").agg(F.count(F.lit(1)).alias("r")).filter(F.col("r") > most).select("h", F.ceil(F.col("r") / most).cast("int").alias("parts")), "large")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = runs.join(large, "h", "left").withColumn("parts", parts).withColumn("salt", F.pmod(F.xxhash64("sw"), F.col("parts")).cast("int"))
+    lists = dealt.groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "sw", "c", "lo", "n", "salt", "parts")).alias("runs"))  # a text's own runs: as many as its length allows
+
+    names = ["h", "sw", "c", "salt", "parts", "payload"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+    def payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(names), types, strict=True)], names=names)
         for b in batches:
-            runs = b.column("runs")
-            for i, (key, th, t) in enumerate(zip(b.column("id").to_pylist(), b.column("th").to_pylist(), texts(b), strict=True)):
+            for t, asked in zip(texts(b), b.column("runs"), strict=True):
                 x = u.split(t)
-                one = runs[i].values if runs[i].is_valid else None
-                col = (lambda k, one=one: np.asarray(one.field(k).to_numpy(zero_copy_only=False))) if one is not None else (lambda k: np.zeros(0, np.int64))
-                lo, n, m, single, send = *(col(k).astype(np.int64) for k in ("lo", "n", "m")), *(col(k).astype(bool) for k in ("single", "send"))
-                for k in np.flatnonzero(send).tolist():
-                    p = u.payload(x, int(lo[k]), int(n[k]))
-                    out.append((2, key, th, p, None, [int(lo[k])], [int(n[k])], one.field("h")[k].as_py(), bool(single[k])))
-                    size += len(p)
-                n = n * m
-                if single.any():
-                    out.append((1, key, th, t, None, lo[~single].tolist(), n[~single].tolist(), None, None))
-                    size += len(t)
-                else:
-                    s, e = merged(lo, n, u.window)
-                    kept = digested(u.kept(x, s, e))
-                    out.append((0, key, th, kept, u.size(x), s.tolist(), e.tolist(), None, None))
-                    size += len(kept)
-                if size > 1 << 21 or len(out) > 4096:
-                    yield batch(out)
-                    out, size = [], 0
-        yield batch(out)
-
-    lists = lists.withColumnsRenamed({"id": "id2", "th": "th2"})
-    joined = docs.join(lists, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left").select("id", "th", "text", "runs")
-    parts = staged(map_arrow(joined, first, own), "parts")
-    drop(found)
-
-    sent = parts.filter("kind = 2").select("h", "id", "th", F.col("lo")[0].alias("lo"), F.col("n")[0].alias("n"), "single", F.col("text").alias("payload"))
-    more = u.resolve(sent).groupBy("id", "th").agg(F.collect_list("lo").alias("lo2"), F.collect_list("n").alias("n2")).withColumnsRenamed({"id": "id2", "th": "th2"})
-    waits = parts.filter("kind = 1").select("id", "th", "text", "lo", "n")
-    waits = waits.join(more, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left").select("id", "th", "text", "lo", "n", "lo2", "n2")
-
-    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for r in asked.as_py():
+                    p = u.payload(x, r["lo"], r["n"])
+                    out.append((r["h"], r["sw"], r["c"], r["salt"], r["parts"], p))
+                    held += len(p)
+                if held > 1 << 21:
+                    yield batch()
+                    out, held = [], 0
+        yield batch()
+
+    asked = map_arrow(docs.join(lists, ["t1", "t2"]).select("text", "runs"), payloads, "h bigint, sw bigint, c bigint, salt int, parts int, payload binary")
+    hits = staged(solved(asked, u, size), "hits")
+    # of several runs in a row all windows are repeated
+    at = F.expr("explode(arrays_zip(a, b))").alias("x")
+    windows = found.join(hits, ["h", "sw"]).select("t1", "t2", "lo", "n", "m", at)
+    windows = windows.select("t1", "t2", (F.col("lo") + F.col("x.a")).alias("lo"), F.expr("if(m > 1, n * m, x.b)").alias("n"))
+    spans = windows.groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+
+    out_names = ["t1", "t2", "n_units", "start", "end", "kept"]
+    out_types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            lists = [b.column(k).to_pylist() for k in ("lo", "n", "lo2", "n2")]
-            for key, th, t, lo, n, lo2, n2 in zip(b.column("id").to_pylist(), b.column("th").to_pylist(), b.column("text").to_pylist(), *lists, strict=True):
+            out: list[list] = [[] for _ in out_names]
+            column, held = b.column("spans"), 0
+            for i, (t1, t2, t) in enumerate(zip(b.column("t1").to_pylist(), b.column("t2").to_pylist(), texts(b), strict=True)):
                 x = u.split(t)
-                s, e = merged(np.array(lo + (lo2 or []), np.int64), np.array(n + (n2 or []), np.int64), u.window)
-                out.append((0, key, th, digested(u.kept(x, s, e)), u.size(x), s.tolist(), e.tolist(), None, None))
-            yield batch(out)
-
-    done = parts.filter("kind = 0").select("id", "th", "text", "n_units", "lo", "n")
-    done = done.unionByName(map_arrow(waits, last, own).select("id", "th", "text", "n_units", "lo", "n"))
-    total = "aggregate(zip_with(lo, n, (a, b) -> b - a), 0L, (x, y) -> x + y)"
-    return done.select("id", "th", F.col("n_units").cast("long").alias("n_units"), F.expr(total).alias("n_removed"), F.size("lo").cast("long").alias("n_spans"), F.arrays_zip(F.col("lo").alias("start"), F.col("n").alias("end")).alias("spans"), F.col("text").cast("string").alias("kept"))
-
-
-def windows_elsewhere(windows: DataFrame) -> DataFrame:
-    """Of rows h, w (a window's hash), id, th, lo and single: those of single runs whose window occurs more than once, as id, th, lo, n. Exact for groups of
-    any size: counts are aggregated before they are shuffled."""
-    often = windows.groupBy("h", "w").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    return windows.filter("single").join(often, ["h", "w"], "left_semi").select("id", "th", "lo", F.lit(1).alias("n"))
+                lo, n = (column[i].values.field(k).to_numpy().astype(np.int64) for k in ("lo", "n")) if column[i].is_valid else (np.zeros(0, np.int64),) * 2
+                s, e = merged(lo, n, u.window)
+                kept = u.kept(x, s, e)
+                kept = hashlib.sha256(kept).hexdigest().encode() if digest else kept
+                for c, v in zip(out, (t1, t2, u.size(x), s.tolist(), e.tolist(), kept), strict=True):
+                    c.append(v)
+                if (held := held + len(kept)) > 1 << 21:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, out_types, strict=True)], names=out_names)
+                    out, held = [[] for _ in out_names], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, out_types, strict=True)], names=out_names)
+
+    of_text = docs.join(spans, ["t1", "t2"], "left").select("t1", "t2", "text", "spans")
+    done = staged(map_arrow(of_text, cleaned, "t1 bigint, t2 bigint, n_units bigint, start array<bigint>, end array<bigint>, kept binary"), "cleaned")
+    drop(docs, found, runs, large, hits)
+    total = "aggregate(zip_with(start, end, (a, b) -> b - a), 0L, (x, y) -> x + y)"
+    ids = keys_of(df, id_col, text_col).select("id", "t1", "t2")
+    return ids.join(done, ["t1", "t2"]).select("id", "n_units", F.expr(total).alias("n_removed"), F.size("start").cast("long").alias("n_spans"), F.arrays_zip("start", "end").alias("spans"), F.col("kept").cast("string").alias("kept"))

@@ -85,10 +85,11 @@ def got(df):
     return sorted(((r["id"], r["n_units"], r["n_removed"], r["n_spans"], r["kept"]) for r in df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_words(spark, seed):
+@pytest.mark.parametrize(("seed", "most", "batches"), [(1, 2048, 1), (2, 2048, 3), (2, 3, 2)])
+def test_words(spark, seed, most, batches):
+    """With a small ``most`` large groups are cut into several batches."""
     rows = corpus(seed)
-    found = lsm_op.remove_repeats(frame(spark, rows), window=12, gram=3)
+    found = lsm_op.remove_repeats(frame(spark, rows), window=12, gram=3, batches=batches, most=most, size=2000)
     assert got(found) == model(rows, 12, str.split, " ".join)
     spans = {(r["id"], sum(s["end"] - s["start"] for s in r["spans"])) for r in found.collect()}
     assert spans == {(r["id"], r["n_removed"]) for r in found.collect()}
@@ -96,7 +97,6 @@ def test_words(spark, seed):
 
 @pytest.mark.parametrize(("seed", "most"), [(1, 2048), (2, 2048), (2, 3)])
 def test_bytes(spark, seed, most):
-    """With a small ``most`` the large groups go the other way."""
     rows = corpus(seed)
     found = sa_op.remove_repeats(frame(spark, rows), window=48, gram=8, most=most, symbols=200, digest=True)
     import hashlib
@@ -105,28 +105,63 @@ def test_bytes(spark, seed, most):
     assert got(found) == [(*w[:4], hashlib.sha256(w[4]).hexdigest()) for w in want]
 
 
+def test_nothing_goes_without_the_suffix_array(spark):
+    """With classes that are all different nothing is repeated: hashes only group."""
+    rows = list({t: (i, t) for i, t in corpus(4)}.values())
+    whole = sa_op.remove_repeats(frame(spark, rows), window=48, gram=8)
+    assert whole.agg({"n_removed": "sum"}).first()[0] > 1000
+    units = sa_op.byte_units(48, 8)
+    apart = lambda runs, window=48: np.split(np.arange(sum(len(r) - window + 1 for r in runs)), np.cumsum([len(r) - window + 1 for r in runs])[:-1])
+    units.classes = apart
+    assert sa_op.repeated(frame(spark, rows), "doc_id", "text", units, sa_op.often, False, 2048, 4096).agg({"n_removed": "sum"}).first()[0] == 0
+
+
 def test_empty(spark):
     none = frame(spark, [(1, "a")]).limit(0)
     assert lsm_op.remove_repeats(none).count() == sa_op.remove_repeats(none).count() == 0
 
 
 def test_index_matches_across_batches_and_compacts(spark):
-    from pelagia.llm.common import keyed
-    from pelagia.llm.spans import anchor_rows
+    from pelagia.llm.spans import anchor_rows, counted, distinct_texts, keys_of
 
-    u = lsm_op.word_units(12, 3, lsm_op.by_window)
+    u = lsm_op.word_units(12, 3)
     rows = corpus(3)
-    a, b = (anchor_rows(keyed(frame(spark, part), "doc_id", "text"), u) for part in (rows[:20], rows[20:]))
-    index = lsm_op.FingerprintIndex(spark, most_runs=2)
-    index.add(a)
-    assert index.match(a).count() == a.count()  # everything is known
-    before = index.match(b).count()
-    index.add(b)
-    index.add(a)
-    assert len(index.runs) == 1 or len(index.runs) == 2
+    a, b = (anchor_rows(distinct_texts(keys_of(frame(spark, part), "doc_id", "text")), u) for part in (rows[:20], rows[20:]))
+    index = lsm_op.FingerprintIndex(spark, most_runs=1)
+    first = {r["h"] for r in index.add(a).collect()}
+    assert first == {r["h"] for r in counted(a).filter("c > 1").collect()}
+    second = {r["h"] for r in index.add(b).collect()}
+    both = a.unionByName(b)
+    assert first | second == {r["h"] for r in counted(both).filter("c > 1").collect()}
+    assert len(index.runs) == 1
     total = index.compact()
-    assert len(index.runs) == 1 and total.groupBy().sum("c").first()[0] == sum(x.groupBy().sum("m").first()[0] for x in (a, b, a))
-    assert index.match(b).count() >= before
-    plan = total.join(total.withColumnRenamed("c", "c2").select("h", "c2"), "h")._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, total.collect())) == sorted(map(tuple, counted(both).collect()))
+    plan = index.match(total)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
     index.close()
+
+
+def test_no_table_stays(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    lsm_op.remove_repeats(frame(spark, corpus(5)), window=12, gram=3).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_many_copies_of_one_row(spark):
+    """Copies are one text with a number: no list of all their runs."""
+    rng = random.Random(1)
+    text = " ".join(str(rng.randrange(10**9)) for _ in range(3000))
+    rows = spark.range(2000).selectExpr("id % 3 as doc_id").withColumn("text", sa_op.F.lit(text))
+    for op in (sa_op, lsm_op):
+        assert [tuple(r) for r in op.remove_repeats(rows).selectExpr("n_units = n_removed", "n_spans").distinct().collect()] == [(True, 1)]
+
+
+def test_long_texts(spark):
+    """A text of more than CHUNK bytes: runs that the chunks cut are compared like others."""
+    rng = random.Random(2)
+    body = "".join(rng.choice("abcdefgh ") for _ in range(2_300_000))
+    rows = [(1, "xy" + body), (2, body[1_000_000:1_100_000]), (3, "other text")]
+    found = {r["id"]: (r["n_removed"], r["n_spans"]) for r in sa_op.remove_repeats(frame(spark, rows)).collect()}
+    assert found == {1: (100_000, 1), 2: (100_000, 1), 3: (0, 0)}
+    found = {r["id"]: (r["n_spans"], r["n_units"] - r["n_removed"]) for r in lsm_op.remove_repeats(frame(spark, rows)).collect()}
+    assert found[2][0] == 1 and found[2][1] <= 2 and found[3] == (0, 2)

@@ -19,7 +19,7 @@ from .common import table
 from .spans import CHUNK, Units, anchored, mix, often, repeated
 from .suffix_array import suffix_array
 
-WINDOW, GRAM, BLOCK, MOST, SYMBOLS = 400, 64, 16, 2048, 1 << 16
+WINDOW, GRAM, BLOCK, MOST, SYMBOLS = 400, 64, 16, 256, 1 << 16
 _BASE = 0x2545F4914F6CDD1D
 _BYTE = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}

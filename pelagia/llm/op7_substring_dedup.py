@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import bucketed, drop, staged, table
 from .spans import CHUNK, Units, anchored, counted, mix, repeated
 
-WINDOW, GRAM, BATCHES, MOST, BYTES = 35, 5, 3, 2048, 4 << 20
+WINDOW, GRAM, BATCHES, MOST, BYTES = 35, 5, 3, 256, 4 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -7,40 +7,73 @@ from collections.abc import Iterator
 
 import numpy as np
 
-_BASE = np.uint64(0x100000001B3)
-_SIDE, _SLOTS = np.uint64(0x9E3779B97F4A7C15), 1 << 17
+_BASE, _SIDE, _OTHER = 0x100000001B3, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 LONG = 64
 
 
-def piece_hash(b: bytes) -> int:
-    h = 0
-    for x in b:
-        h = (h * 0x100000001B3 + x + 1) & (2**64 - 1)
-    return h
+class Table:
+    """A two-table cuckoo hash of all prefixes of the pieces, by their polynomial hashes: a piece's number, -1 for what only begins pieces."""
 
-
-class Lattice:
-    """pieces: byte strings, all single bytes among them; logp: their natural log probabilities. Lookup is by a two-table cuckoo hash of the pieces'
-    polynomial hashes, for many strings at once."""
-
-    def __init__(self, pieces: list[bytes], logp: np.ndarray):
-        self.pieces, self.logp = pieces, np.asarray(logp, np.float64)
-        self.longest = max(map(len, pieces))
-        self.keys = np.zeros(2 * _SLOTS, np.uint64)
-        self.ids = np.full(2 * _SLOTS, -1, np.int32)
-        keys, ids = [0] * (2 * _SLOTS), [-1] * (2 * _SLOTS)
+    def __init__(self, pieces: list[bytes]):
+        known: dict[int, int] = {}
         for i, p in enumerate(pieces):
-            key, at, side = piece_hash(p), i, 0
-            for _ in range(1000):
+            h = 0
+            for x in p:
+                h = (h * _BASE + x + 1) & (2**64 - 1)
+                known.setdefault(h, -1)
+            known[h] = i
+        self.bits = max(8, len(known).bit_length())
+        while not self._filled(known):
+            self.bits += 1
+
+    def _slot(self, key: int, side: int) -> int:
+        if side:
+            return (1 << self.bits) + (((key ^ (key >> 32)) * _OTHER) % 2**64 >> (64 - self.bits))
+        return (key * _SIDE) % 2**64 >> (64 - self.bits)
+
+    def _filled(self, known: dict[int, int]) -> bool:
+        slots = 2 << self.bits
+        keys, ids = [0] * slots, [-2] * slots
+        for key, at in known.items():
+            side = 0
+            for _ in range(500):
                 slot = self._slot(key, side)
                 keys[slot], key = key, keys[slot]
                 ids[slot], at = at, ids[slot]
-                if at < 0:
+                if at == -2:
                     break
-                side = 1 if slot < _SLOTS else 0
+                side = 1 if slot < slots // 2 else 0
             else:
-                raise RuntimeError("the piece table is full")
-        self.keys[:], self.ids[:] = keys, ids
+                return False
+        self.keys, self.ids = np.array(keys, np.uint64), np.array(ids, np.int32)
+        return True
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Piece numbers, -1 for a mere prefix, -2 for none."""
+        shift = np.uint64(64 - self.bits)
+        a = (h * np.uint64(_SIDE)) >> shift
+        b = (((h ^ (h >> np.uint64(32))) * np.uint64(_OTHER)) >> shift) + np.uint64(1 << self.bits)
+        return np.where(self.keys[a] == h, self.ids[a], np.where(self.keys[b] == h, self.ids[b], -2))
+
+
+_tables: dict[tuple[bytes, ...], Table] = {}
+
+
+def table_of(pieces: list[bytes]) -> Table:
+    """The table of a vocabulary; the last one is kept, since a Python worker meets the same one in task after task."""
+    key = tuple(pieces)
+    if key not in _tables:
+        _tables.clear()
+        _tables[key] = Table(pieces)
+    return _tables[key]
+
+
+class Lattice:
+    """pieces: byte strings, all single bytes among them; logp: their natural log probabilities. Pieces are looked up for many strings at once."""
+
+    def __init__(self, pieces: list[bytes], logp: np.ndarray):
+        self.pieces, self.logp, self.table = pieces, np.asarray(logp, np.float64), table_of(pieces)
+        self.longest = max(map(len, pieces))
 
     def weighted(self, logp: np.ndarray) -> Lattice:
         """The same pieces with other probabilities; the table is shared."""
@@ -48,30 +81,24 @@ class Lattice:
         other.logp = np.asarray(logp, np.float64)
         return other
 
-    @staticmethod
-    def _slot(key: int, side: int) -> int:
-        if side:
-            return _SLOTS + ((key ^ (key >> 32)) * 0xD6E8FEB86659FD93) % 2**64 // 2**47
-        return (key * 0x9E3779B97F4A7C15) % 2**64 // 2**47
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Piece numbers, -1 for none."""
-        a = (h * _SIDE) >> np.uint64(47)
-        b = ((((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93))) >> np.uint64(47)) + np.uint64(_SLOTS)
-        return np.where(self.keys[a] == h, self.ids[a], np.where(self.keys[b] == h, self.ids[b], -1))
-
     def arcs(self, x: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """For strings of one length, rows of ``x``: start, length, the rows that have a piece there, and the pieces."""
-        x = x.astype(np.uint64) + np.uint64(1)
-        n = x.shape[1]
+        """For strings of one length, rows of ``x``: start, length, the rows that have a piece there, and the pieces. A row is followed as long as a piece
+        begins with what was read."""
+        x = np.ascontiguousarray(x.T).astype(np.uint64) + np.uint64(1)
+        n = len(x)
         for i in range(n):
-            h = np.zeros(len(x), np.uint64)
+            rows, h = np.arange(x.shape[1]), np.zeros(x.shape[1], np.uint64)
             for k in range(1, min(self.longest, n - i) + 1):
-                h = h * _BASE + x[:, i + k - 1]
-                ids = self.find(h)
-                rows = np.flatnonzero(ids >= 0)
-                if len(rows):
-                    yield i, k, rows, ids[rows]
+                h = h * np.uint64(_BASE) + x[i + k - 1, rows]
+                ids = self.table.find(h)
+                alive = np.flatnonzero(ids > -2)
+                if len(alive) < len(rows):
+                    rows, h, ids = rows[alive], h[alive], ids[alive]
+                if not len(rows):
+                    break
+                on = np.flatnonzero(ids >= 0)
+                if len(on):
+                    yield i, k, rows[on], ids[on]
 
     def forward(self, x: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
         """Log marginals of the rows of ``x``. With ``counts``, the expected number of uses of each piece is added to it."""
@@ -98,8 +125,8 @@ class Lattice:
         n = len(x)
         h, at = np.zeros(n, np.uint64), np.full((n, self.longest), -1, np.int32)
         for k in range(1, min(self.longest, n) + 1):
-            h = h[: n - k + 1] * _BASE + x[k - 1 :]
-            at[: n - k + 1, k - 1] = self.find(h)
+            h = h[: n - k + 1] * np.uint64(_BASE) + x[k - 1 :]
+            at[: n - k + 1, k - 1] = self.table.find(h)
         a = np.full(n + 1, -np.inf)
         a[0] = 0
         for i in range(n):

@@ -83,7 +83,7 @@ def test_score_of_a_word_is_the_mixture(spark):
     df = spark.createDataFrame([(1, "ab ab b"), (4, "ab"), (9, "ba")], "doc_id long, text string")
     train = [i for i in (1, 4, 9) if zlib.crc32(str(i).encode()) % 7 != 2]
     pieces = [bytes([b]) for b in range(256)]
-    found = {r["id"]: r for r in lm.score_texts(df, pieces=pieces, logp=np.full(256, -math.log(256)), rounds=0).collect()}
+    found = {r["id"]: r for r in lm.score_texts(df, pieces=pieces, logp=np.full(256, -math.log(256)), rounds=0, alpha=None).collect()}
     texts = {1: ["ab", "ab", "b"], 4: ["ab"], 9: ["ba"]}
     c = collections.Counter(w for i in train for w in texts[i])
     words, share = sum(c.values()), sum(c.values()) / (sum(c.values()) + len(c))
@@ -93,12 +93,48 @@ def test_score_of_a_word_is_the_mixture(spark):
         assert found[i]["score"] == pytest.approx(sum(math.log10(p(w) * (1 - end)) for w in ws) + math.log10(end))
 
 
+def test_urn_is_a_draw_by_draw_product(spark):
+    """A word that came n times among t before has the probability (alpha * p + n) / (alpha + t)."""
+    rows = [(1, "ab ab b"), (4, "ab zz zz ab zz"), (9, "ba"), (10, "q" * 300 + " ab " + "q" * 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pieces, alpha = [bytes([b]) for b in range(256)], 5.0
+    found = {r["id"]: r["score"] for r in lm.score_texts(df, pieces=pieces, logp=np.full(256, -math.log(256)), rounds=0, alpha=alpha).collect()}
+    train = [t.split() for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = collections.Counter(w for ws in train for w in ws)
+    words, share = sum(c.values()), sum(c.values()) / (sum(c.values()) + len(c))
+    end = (len(train) + 0.5) / (words + len(train) + 1)
+    p = lambda w: share * c[w] / words + (1 - share) * 256.0 ** -(len(w) + 1)
+    for i, t in rows[:3]:
+        total, seen = math.log10(end), collections.Counter()
+        for n, w in enumerate(t.split()):
+            total += math.log10((alpha * p(w) + seen[w]) / (alpha + n) * (1 - end))
+            seen[w] += 1
+        assert found[i] == pytest.approx(total, rel=1e-6)
+    assert math.isfinite(found[10])
+
+
+def test_log_gamma():
+    x = np.array([1e-9, 1e-3, 0.5, 1, 2, 3.7, 50, 3000, 1e7])
+    assert np.allclose(lm.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-11, atol=1e-9)
+
+
+def test_vocabulary_keeps_all_pieces_that_words_can_have():
+    import os
+
+    if not os.path.exists(lm.VOCABULARY):
+        pytest.skip("the tokenizer files aren't here")
+    pieces, logp = lm.vocabulary()
+    assert set(bytes([b]) for b in range(256)) <= set(pieces) and len(set(pieces)) == len(pieces) and max(map(len, pieces)) > 16
+    assert math.isclose(np.exp(logp).sum(), 1) and logp[pieces.index(b" of")] > logp[pieces.index("梦".encode())]
+    assert all(p == p.lower() and b" " not in p[1:] for p in pieces if len(p) > 1)
+
+
 def test_classes_are_summed(spark):
     """Each document's probability is the weighted sum over the classes, whatever its own label."""
     rows = [(i, t, k) for i, (t, k) in enumerate([("aa bb aa", "x"), ("cc dd", "y"), ("cc cc", "y"), ("aa dd", None), ("bb", "x"), ("zz aa", "y"), ("aa", "w"), ("cc", "x")] * 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     pieces = [bytes([b]) for b in range(256)]
-    found = {r["id"]: r["score"] for r in lm.score_texts(df, class_col="lang", pieces=pieces, logp=np.full(256, -math.log(256)), rounds=0, most_classes=2).collect()}
+    found = {r["id"]: r["score"] for r in lm.score_texts(df, class_col="lang", pieces=pieces, logp=np.full(256, -math.log(256)), rounds=0, most_classes=2, alpha=None).collect()}
     train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
     top = [k for k, _ in sorted(collections.Counter(r[2] for r in train if r[2]).items(), key=lambda x: (-x[1], x[0]))[:2]]
     groups = [[r for r in train if r[2] == k] for k in top] + [[r for r in train if r[2] not in top]]

@@ -199,7 +199,7 @@ def test_pack(spark):
     rng = random.Random(3)
     rows = [(i, "w " * rng.randint(0, 70)) for i in range(300)] + [(None, None), (400, ""), (5, "w w"), (5, "w w"), (401, "long " * 1000)]
     df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, piece int, bucket int, batch int").repartition(4)
-    found = packing.pack(df, max_tokens=64, buckets=4, budget=256, group=16).collect()
+    found = packing.pack(df, max_tokens=64, buckets=4, budget=256).collect()
     want = collections.Counter((i, min(64, len((t or "").split()) + 1 - 64 * k), k) for i, t in rows for k in range(-(-(len((t or "").split()) + 1) // 64)))
     assert collections.Counter((r["doc_id"], r["n_tokens"], r["piece"]) for r in found) == want
     for (bucket, _), rs in itertools.groupby(sorted(found, key=lambda r: (r["bucket"], r["batch"], r["slot"])), key=lambda r: (r["bucket"], r["batch"])):
@@ -207,6 +207,8 @@ def test_pack(spark):
         assert [r["slot"] for r in rs] == list(range(len(rs))) and len(rs) * bucket <= 256
         assert all(r["n_tokens"] + r["padding"] == bucket for r in rs)
     for bucket in {r["bucket"] for r in found}:
+        own = sorted((r for r in found if r["bucket"] == bucket), key=lambda r: (r["batch"], r["slot"]))
+        assert [r["doc_id"] for r in own] == sorted((r["doc_id"] for r in own), key=lambda i: (i is not None, i or 0))
         sizes = collections.Counter(r["batch"] for r in found if r["bucket"] == bucket)
         assert sorted(sizes) == list(range(len(sizes))) and all(sizes[k] == 256 // bucket for k in range(len(sizes) - 1))
     assert packing.pack(df.limit(0)).count() == 0

@@ -2,12 +2,12 @@
 
 Normalised texts are cut into fixed-size blocks. All blocks are sorted, by a hash and then their whole content, and each distinct one gets the
 integer of its place in that order. Then adjacent pairs of names are sorted and named in the same way, level by level, until a document
-has one name. Names come from comparisons of whole contents, so no hash can collide: two texts get one identity exactly if they
-are equal.
+has one name. Names come from comparisons of whole contents: two texts get one identity exactly if they are equal. (Only where two sorted ranges
+meet, the contents at their edges are compared by SHA-256, so that no content reaches the driver.) Rows are told apart by a number of their own, not by their ids.
 
 Scale: one shuffle moves the contents (the sort of level 0); later levels move pairs of integers, a 4096th of the bytes. The sort key
 ends in a salt, so a block that a third of all documents share is spread over many tasks; what the edges of the sorted ranges
-share is settled from two rows for each range.
+share is settled from two digests for each range.
 """
 
 from __future__ import annotations
@@ -27,21 +27,31 @@ BLOCK = 4096
 
 
 def named(df: DataFrame, keys: list[str], carry: str, ranged: list[str] | None = None) -> DataFrame:
-    """``df``'s carried columns (a DDL string) and ``name`` (long): the dense rank of its key columns in their sort order; staged.
+    """``df``'s carried columns (a DDL string) and ``name`` (long): the dense rank of its key columns in their sort order; staged. ``df`` is read twice.
 
     ``ranged``: the first key columns, by which the ranges are cut; with short ones the driver's sample of keys is small. If ranges are cut between two keys that agree in
     them, which the edges show, the work is done again with ranges by whole keys."""
     ranged = ranged or keys
     spark = df.sparkSession
     cols = [c.split()[0] for c in carry.split(", ")]
-    kinds = dict(df.dtypes)
-    edge = ", ".join(f"e_{k} {kinds[k]}" for k in keys)
-    fields = ["part", "local", *cols, *(f"e_{k}" for k in keys)]
-    out_schema = f"part int, local long, {carry}, {edge}"
+    fields = ["part", "local", *cols, "whole", "lead"]
+
+    def digest(key: tuple) -> bytes:
+        return hashlib.sha256(repr(key).encode()).digest()
 
     def name_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key. The first and the last row of a range carry their keys as well."""
+        """Rows come sorted by key. The first and the last row of a range carry digests of their keys as well."""
         part, rank, last, rows = TaskContext.get().partitionId(), -1, None, None
+
+        def marked(rows: dict, at: int, key: tuple) -> dict:
+            n = len(rows["local"])
+            for f, v in (("whole", digest(key)), ("lead", digest(key[: len(ranged)]))):
+                values = rows[f].to_pylist() if rows[f].null_count < n else [None] * n
+                values[at] = v
+                rows[f] = pa.array(values, pa.binary())
+            return rows
+
+        out = lambda rows: pa.RecordBatch.from_arrays([rows[f] for f in fields], names=fields)
         for b in batches:
             if not b.num_rows:
                 continue
@@ -53,37 +63,30 @@ def named(df: DataFrame, keys: list[str], carry: str, ranged: list[str] | None =
             first = tuple(b.column(k)[0].as_py() for k in keys)
             step = pa.concat_arrays([pa.array([first != last]), new]).cast(pa.int64())
             local = pc.add(pc.cumulative_sum(step), rank)
-            none = {f"e_{k}": pa.nulls(b.num_rows, b.column(k).type) for k in keys}
+            now = {"part": pa.array([part] * b.num_rows, pa.int32()), "local": local} | {c: b.column(c) for c in cols} | {f: pa.nulls(b.num_rows, pa.binary()) for f in ("whole", "lead")}
             if rank < 0:
-                none = {f"e_{k}": pa.concat_arrays([b.column(k).slice(0, 1), pa.nulls(b.num_rows - 1, b.column(k).type)]) for k in keys}
+                now = marked(now, 0, first)
             if rows is not None:
-                yield rows
-            rank, last = local[-1].as_py(), tuple(b.column(k)[-1].as_py() for k in keys)
-            arrays = {"part": pa.array([part] * b.num_rows, pa.int32()), "local": local} | {c: b.column(c) for c in cols} | none
-            rows = pa.RecordBatch.from_arrays([arrays[f] for f in fields], names=fields)
-        if rows is not None:  # the last row of the range carries its key, the first too if it is another
-            arrays = {f: rows.column(f) for f in fields}
-            for k, v in zip(keys, last, strict=True):
-                e = arrays[f"e_{k}"]
-                arrays[f"e_{k}"] = pa.concat_arrays([e.slice(0, len(e) - 1), pa.array([v], e.type)])
-            yield pa.RecordBatch.from_arrays([arrays[f] for f in fields], names=fields)
+                yield out(rows)
+            rank, last, rows = local[-1].as_py(), tuple(b.column(k)[-1].as_py() for k in keys), now
+        if rows is not None:
+            yield out(marked(rows, -1, last))
 
     spread = df.withColumn("salt", F.xxhash64(*cols)).repartitionByRange(partitions(spark), *ranged, "salt").sortWithinPartitions(*keys)
-    done = staged(map_arrow(spread.select(*keys, *cols), name_sorted, out_schema), "names")
-    edges = done.filter(F.col(f"e_{keys[0]}").isNotNull()).select("part", "local", *(f"e_{k}" for k in keys)).collect()  # two rows a range at most
+    done = staged(map_arrow(spread.select(*keys, *cols), name_sorted, f"part int, local long, {carry}, whole binary, lead binary"), "names")
+    edges = done.filter(F.col("whole").isNotNull()).select("part", "local", "whole", "lead").collect()  # two rows a range at most, of two digests each
     ends: dict[int, list] = {}
     for r in sorted(edges, key=lambda r: (r["part"], r["local"])):
         ends.setdefault(r["part"], []).append(r)
     base, before, offsets = 0, None, []
     for part, rows in sorted(ends.items()):
-        key = lambda r: tuple(r[f"e_{k}"] for k in keys)
-        if before is not None and key(rows[0]) == before:
+        if before is not None and rows[0]["whole"] == before["whole"]:
             base -= 1
-        elif before is not None and ranged != keys and key(rows[0])[: len(ranged)] == before[: len(ranged)]:
+        elif before is not None and ranged != keys and rows[0]["lead"] == before["lead"]:
             drop(done)
             return named(df, keys, carry)
         offsets.append((part, base))
-        base, before = base + rows[-1]["local"] + 1, key(rows[-1])
+        base, before = base + rows[-1]["local"] + 1, rows[-1]
     offset = F.broadcast(spark.createDataFrame(offsets, "part int, base long"))  # a row for each range
     out = done.join(offset, "part").select(*cols, (F.col("local") + F.col("base")).alias("name"))
     out._pelagia_path = done._pelagia_path
@@ -99,44 +102,48 @@ def normalised(text: bytes) -> bytes:
 
 
 def identities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """Columns id, th, sha (of the normalised text), level and name, one row for each input row. Level and name are the collision-free
-    identity: rows have the same pair exactly if their normalised texts are equal."""
+    """Columns row (a number for each input row), id, th (a hash of the text), sha (of the normalised text), level and name, one row for each input row. Level and name
+    are the collision-free identity: rows have the same pair exactly if their normalised texts are equal."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each block; the digest is on the first one, so once for each input row."""
-        names, size = ["id", "th", "sha", "n", "idx", "block"], 0
+        names, size = ["row", "id", "th", "sha", "n", "idx", "block"], 0
         out: list[list] = [[] for _ in names]
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=names)
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=names)
         for b in batches:
-            for i, th, t in zip(b.column("id").to_pylist(), b.column("th").to_pylist(), texts(b), strict=True):
+            for row, i, th, t in zip(*(b.column(k).to_pylist() for k in ("row", "id", "th")), texts(b), strict=True):
                 t = normalised(t)
                 n = max(1, -(-len(t) // block))
-                for c, v in zip(out, ([i] * n, [th] * n, [hashlib.sha256(t).digest(), *[None] * (n - 1)], [n] * n, range(n), (t[k * block : (k + 1) * block] for k in range(n))), strict=True):
+                for c, v in zip(out, ([row] * n, [i] * n, [th] * n, [hashlib.sha256(t).digest(), *[None] * (n - 1)], [n] * n, range(n), (t[k * block : (k + 1) * block] for k in range(n))), strict=True):
                     c.extend(v)
                 if (size := size + len(t)) > 1 << 21:
                     yield flush()
                     out, size = [[] for _ in names], 0
         yield flush()
 
-    rows = map_arrow(keyed(df, id_col, text_col), cut, "id bigint, th bigint, sha binary, n int, idx int, block binary")
-    rows = rows.withColumn("h", F.xxhash64("block"))
-    level0 = named(rows, ["h", "block"], "id bigint, th bigint, sha binary, n int, idx int", ["h"])
-    whole = level0.filter("n = 1").select("id", "th", F.lit(0).alias("level"), "name").distinct()
-    now, level = level0.filter("n > 1"), 0
+    numbered = keyed(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    cuts = staged(map_arrow(numbered, cut, "row bigint, id bigint, th bigint, sha binary, n int, idx int, block binary").withColumn("h", F.xxhash64("block")), "blocks")
+    level0 = named(cuts, ["h", "block"], "row bigint, id bigint, th bigint, sha binary, n int, idx int", ["h"])
+    drop(cuts)
+    whole, now, level = None, level0.filter("n > 1").select("row", "idx", "name"), 0
     while True:
-        # repeated rows have the same key and names, so the set holds each place once
-        arrays = now.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("idx", "name"))).alias("at"))
-        left = staged(arrays.select("id", "th", F.col("at.name").alias("names")), "level")
+        arrays = now.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("idx", "name"))).alias("at"))  # a document's own names: as many as its length allows
+        left = staged(arrays.select("row", F.col("at.name").alias("names")), "level")
         if level:
-            whole = whole.unionByName(left.filter(F.size("names") == 1).select("id", "th", F.lit(level).alias("level"), F.col("names")[0].alias("name")))
+            drop(now)
+            done = left.filter(F.size("names") == 1).select("row", F.lit(level).alias("level"), F.col("names")[0].alias("name"))
+            whole = done if whole is None else whole.unionByName(done)
         more = left.filter(F.size("names") > 1)
         if more.isEmpty():
             break
         level += 1
-        pairs = more.select("id", "th", F.posexplode(F.expr("transform(sequence(0, cast((size(names) - 1) div 2 as int)), i -> struct(names[2 * i] as a, coalesce(try_element_at(names, 2 * i + 2), -1L) as b))")).alias("idx", "p"))
-        now = named(pairs.select("id", "th", "idx", "p.a", "p.b"), ["a", "b"], "id bigint, th bigint, idx int")
-    rows = level0.filter("idx = 0").select("id", "th", "sha")
-    return rows.join(whole.withColumnsRenamed({"id": "id2", "th": "th2"}), F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))).select("id", "th", "sha", "level", "name")
+        pairs = more.select("row", F.posexplode(F.expr("transform(sequence(0, cast((size(names) - 1) div 2 as int)), i -> struct(names[2 * i] as a, coalesce(try_element_at(names, 2 * i + 2), -1L) as b))")).alias("idx", "p"))
+        now = named(pairs.select("row", "idx", "p.a", "p.b"), ["a", "b"], "row bigint, idx int")
+    first = level0.filter("idx = 0")
+    found = first.filter("n = 1").select("row", "id", "th", "sha", F.lit(0).alias("level"), "name")
+    if whole is not None:
+        found = found.unionByName(first.filter("n > 1").select("row", "id", "th", "sha").join(whole, "row"))
+    return found
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:

@@ -124,3 +124,21 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = remove_repeats(table(spark, sf_dir, "documents"), digest=True)
     return rows.select(F.col("id").alias("doc_id"), F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+parts AS (SELECT doc_id, n, f, substr(x, 2 * f + 1, 2800) AS x, least(1000, n - f) AS m FROM (SELECT *, unnest(generate_series(0, n - 1, 1000)) AS f FROM d WHERE n > 0)),
+pos AS (
+  SELECT doc_id, unnest(generate_series(f + 1, f + m)) AS p, unnest(list_transform(generate_series(1, m), lambda k: substr(x, 2 * k - 1, 2))) AS c,
+         unnest(list_transform(generate_series(1, m), lambda k: CASE WHEN f + k + 399 <= n THEN sha256(substr(x, 2 * k - 1, 800)) END)) AS s
+  FROM parts),
+often AS (SELECT s FROM pos WHERE s IS NOT NULL GROUP BY s HAVING count(*) > 1),
+marked AS (
+  SELECT doc_id, c, p, coalesce(max(CASE WHEN often.s IS NOT NULL THEN p END) OVER (PARTITION BY doc_id ORDER BY p) > p - 400, false) AS gone
+  FROM pos LEFT JOIN often ON pos.s = often.s),
+edged AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS begins FROM marked),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(c, '' ORDER BY p) FILTER (NOT gone) AS t FROM edged GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(t, ''))) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""

@@ -154,3 +154,18 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = remove_repeats(table(spark, sf_dir, "documents"), digest=True)
     return rows.select(F.col("id").alias("doc_id"), F.col("n_units").alias("n_words"), "n_removed", F.col("kept").alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+pos AS (
+  SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p,
+         unnest(list_transform(generate_series(1, len(w)), lambda k: CASE WHEN k + 34 <= len(w) THEN array_to_string(w[k:k + 34], ' ') END)) AS s
+  FROM d WHERE len(w) > 0),
+often AS (SELECT s FROM pos WHERE s IS NOT NULL GROUP BY s HAVING count(*) > 1),
+marked AS (
+  SELECT doc_id, word, p, coalesce(max(CASE WHEN often.s IS NOT NULL THEN p END) OVER (PARTITION BY doc_id ORDER BY p) > p - 35, false) AS gone
+  FROM pos LEFT JOIN often ON pos.s = often.s),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS t FROM marked GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""

@@ -22,5 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_index": op1_warc.ORACLE,
+    "op6_suffix_array_dedup": op6_suffix_array.ORACLE,
+    "op7_substring_dedup": op7_substring_dedup.ORACLE,
+    "op8_length_buckets": op8_packing.ORACLE,
     "op10_exact_dedup": op10_exact_dedup.ORACLE,
 }

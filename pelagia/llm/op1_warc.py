@@ -5,10 +5,13 @@ record. Reading takes the lines of a file in order and puts records together by
 are computed anew and compared.
 
 Each file is written in the order of its URL keys and times, so it is a sorted run of captures. The index merges the runs: captures are range-partitioned by key
-and time, and in each range the slices of the runs go through a loser tree, which gives capture histories in one global order.
+and time, and in each range the slices of the runs go through a loser tree. From the merged order alone come each capture's place in the whole index and in the
+history of its URL key, and the capture before it.
 
 Scale: payloads are shuffled once, to find equal ones by their digest (counts are joined by digest, which adaptive execution can split); the index moves
-a few short columns. A range ends in the middle of a key if the key is hot, since time and id are part of the order.
+a few short columns. A range holds about ``RANGE`` captures, whose slices wait as Arrow batches; only the head of each run is in Python. A range ends in the middle of a key if
+the key is hot, since time and id are part of the order; what a history has before a range is then summed over the ranges, a row each. An archive is one
+gzip stream, so a record's offset counts the bytes of the unpacked file.
 """
 
 from __future__ import annotations
@@ -17,12 +20,13 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_arrow, new_path, partitions, staged, table
 
-LEAST = 100
+LEAST, RANGE, HEAD = 100, 1 << 20, 256
 START = "2024-01-01T00:00:00Z"
 
 
@@ -76,7 +80,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """A row for each record: file, at (its place in the file), id, url, date, type, refers_to, digest, bytes and payload (null for revisits, and without
+    """A row for each record: file, at (its place in the file), offset and length (of its bytes in the unpacked file), id, url, date, type, refers_to, digest, bytes and payload (null for revisits, and without
     ``payloads``: then they are only measured and compared with their digests).
 
     Raises if a record is cut short or its payload differs from its digest. An empty folder gives an empty result. Archives are gzipped, so Spark doesn't split them; a plain one
@@ -85,28 +89,29 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     plain = spark.read.format("binaryFile").load(path).select("path", "length").filter(~F.col("path").endswith(".gz") & (F.col("length") > least_split)).first()
     if plain:
         raise ValueError(f"{plain['path']}: an archive of over {least_split} bytes must be gzipped")
-    names = ["file", "at", "id", "url", "date", "type", "refers_to", "digest", "bytes", "payload"]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    names = ["file", "at", "offset", "length", "id", "url", "date", "type", "refers_to", "digest", "bytes", "payload"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
     number = lambda x: int(x) if (x := (x or "").rpartition(":")[2].rstrip(">")).lstrip("-").isdigit() else None
 
-    def record(file: str, at: int, head: dict[str, str], block: bytes) -> tuple:
+    def record(file: str, at: int, offset: int, length: int, head: dict[str, str], block: bytes) -> tuple:
         if not block.endswith(b"\r\n\r"):
             raise ValueError(f"{file}: a record that begins at {at} doesn't end as it should")
         payload = block[:-3].partition(b"\r\n\r\n")[2] if head["warc-type"] == "response" else None
         digest = head["warc-payload-digest"].removeprefix("sha256:")
         if payload is not None and hashlib.sha256(payload).hexdigest() != digest:
             raise ValueError(f"{file}: the payload of the record at {at} differs from its digest")
-        return file, at, number(head.get("warc-record-id")), head.get("warc-target-uri"), head.get("warc-date"), head["warc-type"], number(head.get("warc-refers-to")), digest, None if payload is None else len(payload), payload if payloads else None
+        return file, at, offset, length, number(head.get("warc-record-id")), head.get("warc-target-uri"), head.get("warc-date"), head["warc-type"], number(head.get("warc-refers-to")), digest, None if payload is None else len(payload), payload if payloads else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, at, head, lines, held, want, out, size = None, 0, {}, [], 0, None, [], 0
+        file, at, offset, place, head, lines, held, want, out, size = None, 0, 0, 0, {}, [], 0, None, [], 0
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(names), types, strict=True)], names=names)
         for b in batches:
             for f, line in zip(b.column("file").to_pylist(), b.column("line").to_pylist(), strict=True):
                 if f != file:
                     if want is not None or head:
                         raise ValueError(f"{file}: the last record is cut short")
-                    file, at = f, 0
+                    file, at, offset, place = f, 0, 0, 0  # place: of the line
+                place += len(line) + 1
                 if want is None:  # in a header
                     key, _, value = line.decode("utf-8", "replace").rstrip("\r").partition(":")
                     if line == b"\r":
@@ -119,8 +124,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 if held > want:
                     if held != want + 1:
                         raise ValueError(f"{file}: the record at {at} is longer than it says")
-                    out.append(record(file, at, head, b"\n".join(lines)))
-                    at, head, want = at + 1, {}, None
+                    out.append(record(file, at, offset, place - offset, head, b"\n".join(lines)))
+                    at, offset, head, want = at + 1, place, {}, None
                     size += held
                     if size > 1 << 22 or len(out) > 4096:
                         yield flush()
@@ -130,7 +135,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         yield flush()
 
     lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"))
-    return map_arrow(lines, run, "file string, at bigint, id bigint, url string, date string, type string, refers_to bigint, digest string, bytes bigint, payload binary")
+    return map_arrow(lines, run, "file string, at bigint, offset bigint, length bigint, id bigint, url string, date string, type string, refers_to bigint, digest string, bytes bigint, payload binary")
 
 
 class LoserTree:
@@ -170,11 +175,17 @@ class LoserTree:
             self._play(w)
 
 
-def merged_index(captures: DataFrame) -> DataFrame:
-    """Captures (file, at, id, url, date, type, refers_to, digest, bytes) in one global order of key, date and id: the order of partitions, and of rows in them.
-    Each file is a sorted run; ties go by file and place."""
-    cols = ["key", "date", "id", "url", "type", "refers_to", "digest", "bytes", "file", "at"]
-    schema = "key string, date string, id bigint, url string, type string, refers_to bigint, digest string, bytes bigint, file string, at bigint"
+#: The columns of the index that come from the records; after them: part (range), local (place in the range), n (number in the key's history, in the range) and before (the id of the
+#: capture before it in the range).
+COLUMNS = "key string, date string, id bigint, url string, type string, refers_to bigint, digest string, bytes bigint, file string, at bigint, offset bigint, length bigint"
+_TYPES = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
+
+
+def merged_runs(captures: DataFrame, ranges: int) -> DataFrame:
+    """COLUMNS, part, local, n and before: captures in one global order of key, date, id, file and place, the order of part and local. Each file is a sorted run."""
+    cols = [c.split()[0] for c in COLUMNS.split(", ")]
+    schema = f"{COLUMNS}, part int, local bigint, n bigint, before bigint"
+    names, types = [c.split()[0] for c in schema.split(", ")], [_TYPES[c.split()[1]] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs: dict[str, list[pa.RecordBatch]] = {}
@@ -185,12 +196,17 @@ def merged_index(captures: DataFrame) -> DataFrame:
                 if i == len(files) or files[i] != files[start]:
                     runs.setdefault(files[start], []).append(b.slice(start, i - start))
                     start = i
-        rows = lambda parts: (r for p in parts for r in zip(*(c.to_pylist() for c in p.columns), strict=True))
+        rows = lambda parts: (r for p in parts for k in range(0, p.num_rows, HEAD) for r in zip(*(c.to_pylist() for c in p.slice(k, HEAD).columns), strict=True))
         tree = LoserTree([rows(p) for _, p in sorted(runs.items())], key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0, r[8], r[9]))
         out: list[tuple] = []
-        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=cols)
-        for r in tree:
-            out.append(r)
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+        part, key, n, before = TaskContext.get().partitionId(), None, 0, None
+        for local, r in enumerate(tree):
+            if r[0] != key:
+                key, n, before = r[0], 0, None
+            n += 1
+            out.append((*r, part, local, n, before))
+            before = r[2]
             if len(out) == 4096:
                 yield batch()
                 out.clear()
@@ -198,10 +214,37 @@ def merged_index(captures: DataFrame) -> DataFrame:
             yield batch()
 
     rows = captures.withColumn("key", url_key(F.col("url"))).select(*cols)
-    slices = rows.repartitionByRange(partitions(rows.sparkSession), "key", "date", "id", "file", "at").sortWithinPartitions("file", "at")
+    slices = rows.repartitionByRange(ranges, "key", "date", "id", "file", "at").sortWithinPartitions("file", "at")
     return map_arrow(slices, run, schema)
 
 
+def merged_index(captures: DataFrame) -> DataFrame:
+    """The index: COLUMNS, position (place in the global order, from 0), capture (number in the history of the URL key, from 1) and previous (the id of the capture before it in
+    that history, null for the first). ``captures`` is staged. Null urls have one key of their own."""
+    ranges = max(partitions(captures.sparkSession), -(-captures.count() // RANGE))
+    merged = staged(merged_runs(captures, ranges), "merged")
+    # a row for each range
+    edge = lambda c, f: f(F.struct("local", c)).getField(c).alias(c)
+    first, last = merged.groupBy("part").agg(edge("key", F.min)), merged.groupBy("part").agg(F.count(F.lit(1)).alias("c"), *(edge(c, F.max) for c in ("key", "n", "id")))
+    last = staged(last.select("part", "c", F.col("key").alias("last_key"), "n", "id").join(first, "part"), "edges")
+    base = last.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("base"))
+    # what the ranges before have of the key that a range begins with
+    ends = last.select(F.col("last_key").alias("key"), "part", "n", F.struct("id").alias("end"), F.lit(0).alias("asks"))
+    asks = last.select("key", "part", F.lit(0).cast("long").alias("n"), F.lit(None).cast("struct<id: bigint>").alias("end"), F.lit(1).alias("asks"))
+    past = Window.partitionBy("key").orderBy("part", F.desc("asks")).rowsBetween(Window.unboundedPreceding, -1)
+    known = ends.unionByName(asks).withColumn("more", F.coalesce(F.sum("n").over(past), F.lit(0))).withColumn("end", F.last("end", ignorenulls=True).over(past))
+    known = known.filter("asks = 1").select("part", F.col("key").alias("first_key"), "more", F.col("end.id").alias("earlier"))
+    offsets = staged(base.join(known, "part"), "offsets")
+    rows = merged.join(offsets, "part")
+    continued = F.col("key") == F.col("first_key")
+    return rows.select(
+        *(c.split()[0] for c in COLUMNS.split(", ")),
+        (F.col("base") + F.col("local")).alias("position"),
+        (F.col("n") + F.when(continued, F.col("more")).otherwise(0)).alias("capture"),
+        F.when(F.col("n") > 1, F.col("before")).when(continued, F.col("earlier")).alias("previous"),
+    )
+
+
 def resolved(captures: DataFrame) -> DataFrame:
     """Captures with the payload's bytes of revisits taken from the response they refer to."""
     response = captures.filter("type = 'response'").select(F.col("id").alias("refers_to"), "digest", F.col("bytes").alias("full")).distinct()
@@ -211,19 +254,28 @@ def resolved(captures: DataFrame) -> DataFrame:
 
 
 def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Besides the contract's columns: position, capture and previous_page, from the merged index."""
     path = new_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
     records = staged(read_archives(spark, path, payloads=False).drop("payload"), "captures")  # the range sort reads its input twice
-    captures = staged(merged_index(records), "index")
-    done = resolved(captures)
-    return done.select(F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+    done = resolved(merged_index(records))
+    return done.select(
+        F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to", "position", "capture", F.col("previous").alias("previous_page")
+    )
 
 
-ORACLE = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+ORACLE = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, regexp_replace(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://', '') AS rest FROM pages),
+k AS (
+  SELECT *, array_to_string(list_reverse(string_split(regexp_replace(regexp_extract(rest, '^([^/?#]*)', 1), '^[^@]*@|^www\d*\.|:\d*$', '', 'g'), '.')), ',')
+            || ')' || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS url_key FROM p),
+d AS (SELECT page_id, url_key, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM k),
 f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
 SELECT d.page_id, d.payload_bytes, d.payload_digest, CASE WHEN f.first IS NOT NULL AND d.page_id <> f.first THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN d.page_id <> f.first THEN f.first END AS refers_to
+       CASE WHEN d.page_id <> f.first THEN f.first END AS refers_to,
+       CAST(row_number() OVER (ORDER BY d.url_key, d.page_id) - 1 AS BIGINT) AS position,
+       CAST(row_number() OVER (PARTITION BY d.url_key ORDER BY d.page_id) AS BIGINT) AS capture,
+       lag(d.page_id) OVER (PARTITION BY d.url_key ORDER BY d.page_id) AS previous_page
 FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND d.payload_bytes >= 100
 """

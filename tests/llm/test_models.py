@@ -322,7 +322,8 @@ def test_archives_give_back_every_byte(spark, tmp_path):
     again = [(i, t) for i, _, t in rows if t == "p" * 200 and i != 0]
     want = [(repr(i), "revisit" if (i, t) in again else "response", None if (i, t) in again else t or "", 0 if (i, t) in again else None) for i, _, t in rows]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
-    index = warc.merged_index(found.drop("payload")).collect()
+    index = sorted(warc.merged_index(found.drop("payload")).collect(), key=lambda r: r["position"])
+    assert [r["position"] for r in index] == list(range(len(rows)))
     order = [(r["key"], r["date"], r["id"] is not None, r["id"] or 0) for r in index]
     assert len(index) == len(rows) and order == sorted(order)
     assert {r["key"] for r in index if r["id"] in (0, 1)} == {"org,example,b)/x?q=1", "org,example,c)"}
@@ -332,6 +333,35 @@ def test_archives_give_back_every_byte(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_histories_come_from_the_merge(spark, tmp_path):
+    """Keys that many runs and several ranges hold; a run's own order alone gives other histories."""
+    rng = random.Random(7)
+    rows = [(i, f"http://{'hot' if i % 3 else rng.choice('abcdefgh')}.example.org/{rng.randint(0, 1)}", "x" * rng.randint(0, 5)) for i in range(500)] + [(None, "http://hot.example.org/1", "n")]
+    rng.shuffle(rows)
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7), str(tmp_path / "a"))
+    captures = warc.staged(warc.read_archives(spark, str(tmp_path / "a"), payloads=False).drop("payload"), "c")
+    assert captures.select("file").distinct().count() > 3
+    got = {r["id"]: (r["position"], r["capture"], r["previous"]) for r in warc.merged_index(captures).collect()}
+    key = lambda u: "org,example," + u.split("/")[2].split(".")[0] + ")/" + u.rsplit("/", 1)[1]
+    last: dict = {}
+    order = sorted(rows, key=lambda r: (key(r[1]), r[0] or 0, r[0] is not None))
+    for at, (i, u, _) in enumerate(order):
+        n, before = last.get(key(u), (0, None))
+        assert got[i] == (at, n + 1, before)
+        last[key(u)] = (n + 1, i)
+
+
+def test_offsets_lead_to_the_records(spark, tmp_path):
+    import gzip
+    import urllib.parse
+
+    rows = [(i, f"http://a.org/{i}", "é\n" * i) for i in range(40)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), str(tmp_path / "a"))
+    for r in warc.read_archives(spark, str(tmp_path / "a")).collect():
+        data = gzip.open(urllib.parse.urlparse(r["file"]).path).read()[r["offset"] : r["offset"] + r["length"]]
+        assert data.startswith(b"WARC/1.1\r\n") and data.endswith(b"\r\n\r\n") and f"<urn:capture:{r['id']}>".encode() in data and data.count(b"WARC/1.1") == 1
+
+
 def test_a_damaged_archive_is_an_error(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "payload " * 30)], "page_id long, url string, html string")
     warc.write_archives(df, str(tmp_path / "a"))

@@ -1,9 +1,10 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. The first pass decides what it can from the block alone: blocks in menus, headers, footers, sidebars, forms, notices,
-adverts and reader comments, and blocks made of links, are boilerplate; long blocks with enough stop words are text. The second pass gives
-the rest, short blocks and those without stop words, the label of the nearest decided neighbours of the same region. Stop words are those of four
-languages; on a page where they decide no block as text, long blocks with few links are text.
+adverts and reader comments are boilerplate, and outside an article so are blocks made of links; long blocks with enough stop words are text. The second pass gives
+the rest, short blocks and those without stop words, the label of the nearest decided neighbours of the same region; what is long and has hardly a link stays, whatever
+its language. Inside an article or the main part a class or id makes an element boilerplate only if all of its name says so (``share-buttons``, but not
+``share-price``). Stop words are those of four languages; on a page where they decide no block as text, long blocks with few links are text.
 
 Scale: one scan, a page at a time, no shuffle. The scanner reads a page once from left to right.
 """
@@ -42,13 +43,17 @@ BOILER_NAMES = frozenset(
 )
 #: What alone can make an article or the main part boilerplate; and words that say that a name is about a layout.
 BOILER_ARTICLES = frozenset("ad ads advert advertisement comment comments promo related reply sponsored teaser".split())
-LAYOUT_NAMES = frozenset("has hide layout no open page with without wrapper".split())
-_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^=>]|=\s*\"[^\"]{0,65536}\"|=\s*'[^']{0,65536}'|=)*+)>", re.DOTALL)
+LAYOUT_NAMES = frozenset("a and at by for from has hide how in layout no of on open our page the to with without wrapper your".split())
+#: What a boilerplate name may be put together with and stay one.
+PLAIN_NAMES = frozenset(
+    "actions after area articles aside author bar before block body bottom box btn button buttons buy center close column container content count cta desktop entry facebook feed fixed follow footer form global group head header holder hook icon icons image inline inner item items js label left letter like link linkedin links list logo mail main media message mobile module more news outer panel post posts primary reader readers region right row secondary section sign site slot small space sticky story tab table text thread title tools top twitter unit up us user users view wrap".split()
+)
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^=>]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>", re.DOTALL)
 _ATTR = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/]+)")
 _WORD = re.compile(r"[^\W\d_]+")
 _RIGHTS = re.compile(r"^\W*(?:©|\(c\)|copyright\b)|\ball rights reserved\b", re.IGNORECASE)
 #: Characters of a long block; shares of stop words and of linked characters.
-LONG, STOPS, LINKED = 70, 0.2, 0.33
+LONG, STOPS, LINKED, LINKS = 70, 0.2, 0.33, 0.8
 
 
 class Block:
@@ -69,13 +74,16 @@ def boiler(tag: str, attrs: str, inside: bool) -> bool:
         return True
     if found.get("role", "").lower() in BOILER_ROLES:
         return True
-    names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()
-    tokens = set(re.split(r"[^a-z]+", names))
+    names = re.sub(r"([a-z])([A-Z])", r"\1 \2".replace(" ", "-"), f"{found.get('class', '')} {found.get('id', '')}").lower()
+    each = [{t for t in re.split(r"[^a-z]+", name) if len(t) > 1} for name in names.split()]
+    tokens = set().union(*each)
     if tag in ("article", "main"):
         return bool(tokens & BOILER_ARTICLES)
+    if inside or tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p"):
+        return any(t & BOILER_NAMES and t <= BOILER_NAMES | PLAIN_NAMES for t in each)
     if tokens & LAYOUT_NAMES:
         return False
-    return bool(tokens & BOILER_NAMES) or ("header" in tokens and not inside and tag not in ("h1", "h2"))
+    return bool(tokens & BOILER_NAMES) or "header" in tokens
 
 
 def blocks(page: str) -> list[Block]:
@@ -192,15 +200,17 @@ def blocks(page: str) -> list[Block]:
 def first_pass(b: Block) -> bool | None:
     """True for text, False for boilerplate, None if a block alone doesn't tell."""
     n = len(b.text)
-    if b.boiler or (b.linked > LINKED * n and not b.heading):
+    if b.boiler:
         return False
+    words = _WORD.findall(b.text.lower()) if n >= LONG and not b.heading else []
+    text = bool(words) and sum(w in _STOP for w in words) >= STOPS * len(words)
+    if b.linked > LINKED * n and not b.heading:
+        if text and (b.region == 2 or b.linked <= LINKS * n):
+            return True
+        return None if b.region == 2 or (b.region == 1 and b.linked <= LINKS * n) else False
     if not b.region and n < 200 and _RIGHTS.search(b.text):
         return False
-    if n < LONG or b.heading:
-        return None
-    words = _WORD.findall(b.text.lower())
-    stops = sum(w in _STOP for w in words)
-    return True if stops >= STOPS * max(1, len(words)) else None
+    return True if text else None
 
 
 def main_text(page: str) -> str:
@@ -218,7 +228,9 @@ def main_text(page: str) -> str:
     kept = []
     for i, b in enumerate(own):
         keep = labels[i]
-        if keep is None:
+        if keep is None and len(b.text) >= 2 * LONG and b.linked <= 0.1 * len(b.text):
+            keep = True
+        elif keep is None:
             # second pass: the nearest decided blocks before and after; the nearer one counts, of equally near ones a text block
             k = int(np.searchsorted(decided, i))
             near = [(abs(j - i), not labels[j]) for j in decided[max(0, k - 1) : k + 1]]

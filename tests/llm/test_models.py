@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import html.parser
 import itertools
 import math
 import random
@@ -291,6 +292,101 @@ def test_small_pages(page, text):
     assert pages.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>Text that is in the article.</p><img alt='%s > leaked words'><p>And this.</p></article>" % ("x" * 70_000), "Text that is in the article.\n\nAnd this."),
+        ("<article><p>The keeper of the light wrote in the log.</p><p>See <a href=r>the long report of the board on the state of all the lights of the coast</a>.</p></article>", "The keeper of the light wrote in the log.\n\nSee the long report of the board on the state of all the lights of the coast."),
+        ("<article><p>The keeper of the light wrote in the log.</p><ol><li><a href=a>Smith 2001, Ships</a><li><a href=b>Jones 2004, Lights</a></ol></article>", "The keeper of the light wrote in the log.\n\nSmith 2001, Ships\n\nJones 2004, Lights"),
+        ("<article><div class='register-of-ships'><p>Anna, 1902</p></div><h2 class='share-price'>Shares</h2><div class='share-buttons'>Post it</div><div class=cookieNotice>Take one</div></article>", "Anna, 1902\n\nShares"),
+        ("<main><h2 class=promotion-of-captains>Captains</h2><p>It is the list of those who were there.</p><div id=social-links>Follow</div></main>", "Captains\n\nIt is the list of those who were there."),
+        ("<ul><li><a href=a>Главная</a><li><a href=b>Новости</a></ul><p>" + "Маяк построили рыбаки, и каждую осень его огонь видели корабли в море. " * 3 + "</p><ul><li><a href=c>Контакты</a></ul>", "Маяк построили рыбаки, и каждую осень его огонь видели корабли в море. " * 2 + "Маяк построили рыбаки, и каждую осень его огонь видели корабли в море."),
+        ("<ul><li><a href=a>Главная</a></ul><p>" + "Маяк построили рыбаки, и каждую осень его огонь видели корабли в море. " * 3 + "</p><ul><li><a href=c>Контакты</a></ul><p>This is the one text of the page that is in a language that is known to it, and it is long.</p>", ("Маяк построили рыбаки, и каждую осень его огонь видели корабли в море. " * 3).strip() + "\n\nThis is the one text of the page that is in a language that is known to it, and it is long."),
+    ],
+)
+def test_nothing_of_the_article_is_dropped(page, text):
+    assert pages.main_text(page) == text
+
+
+SENTENCES = {
+    "en": "the keeper of the light saw that all of the ships were in the harbour and that it was late",
+    "de": "der Wärter auf dem Turm sah die Schiffe und das Meer und es war nicht mehr die Zeit für sie",
+    "ru": "смотритель маяка видел корабли далеко в море и зажигал огонь каждую ночь до самого рассвета",
+    "tr": "fener bekçisi her gece uzakta gemileri görür ve sabaha kadar ışığı yakardı denizin kıyısında",
+}
+
+
+class Reference(html.parser.HTMLParser):
+    """Another way to the text, for well-formed pages: a stack of elements, and marks put there by the builder (x-boiler) instead of rules."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.blocks, self.now = [], [], []
+
+    def cut(self):
+        text = " ".join("".join(self.now).split())
+        if text:
+            self.blocks.append(text)
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in pages.BLOCK:
+            self.cut()
+        if tag not in pages.VOID:
+            self.stack.append((tag, ("x-boiler", "1") in attrs or tag in ("script", "style", "title")))
+        elif tag == "br":
+            self.now.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in pages.BLOCK:
+            self.cut()
+        self.stack.pop()
+
+    def handle_data(self, data):
+        if not any(b for _, b in self.stack):
+            self.now.append(data)
+
+
+def built(rng, wrap):
+    """A page with marks on what isn't the article; the marks are taken out before it is read by rules."""
+    sentence = lambda lang, n: ". ".join(" ".join(rng.sample(SENTENCES[lang].split(), 12)) for _ in range(n)) + "."
+    lang, m = rng.choice([*SENTENCES]), " x-boiler=1"
+    link = lambda t: f'<a href="/{rng.randint(1, 99)}?a=1&amp;b=2">{t}</a>'
+    menu = lambda: "<ul>" + "".join(f"<li>{link(' '.join(rng.sample(SENTENCES[lang].split(), 2)))}</li>" for _ in range(rng.randint(2, 6))) + "</ul>"
+    junk = [
+        lambda: f"<nav{m}>{menu()}</nav>",
+        lambda: f"<div class='ad-slot'{m}>{sentence(lang, 1)}</div>",
+        lambda: f"<aside{m}><h3>More</h3><p>{sentence(lang, 2)}</p></aside>",
+        lambda: f"<div id=comments{m}><p>{sentence(lang, 2)}</p></div>",
+        lambda: f"<div class='newsletter-box'{m}><form>{sentence(lang, 1)}<input></form></div>",
+        lambda: "<script>if (a < b) { document.write('<p>no</p>') }</script>",
+        lambda: f"<div class=cookieBanner role=dialog{m}>{sentence(lang, 1)}</div>",
+    ]
+    good = [
+        lambda: f"<p>{sentence(lang, rng.randint(1, 4))}</p>",
+        lambda: f"<h2>{sentence(lang, 1)}</h2>",
+        lambda: f"<p>{sentence(lang, 1)[:-1]} {link(sentence(lang, 1))}</p>",
+        lambda: f"<blockquote><p>{sentence(lang, 1)}</p>5 &lt; 6 &amp; 7 &gt;&nbsp;2</blockquote>",
+        lambda: "<ul>" + "".join(f"<li>{sentence(lang, 1)}</li>" for _ in range(3)) + "</ul>",
+        lambda: f"<table><tr><td>{rng.randint(1, 999)}</td><td>{sentence(lang, 1)}</td></tr></table>",
+        lambda: f"<div class='{rng.choice(['register-of-ships', 'share-price', 'login-history-of-crew'])}'><p>{sentence(lang, 1)}</p></div>",
+        lambda: f"<p><b>{sentence(lang, 1)}</b><br>{sentence(lang, 1)}<img alt='a > b'></p>",
+    ]
+    body = "".join(rng.choice(good)() if rng.random() < 0.8 else rng.choice(junk)() for _ in range(rng.randint(3, 12)))
+    around = lambda: "".join(rng.choice(junk)() for _ in range(rng.randint(0, 3)))
+    return f"<html><head><title>T</title></head><body><header{m}>{menu()}</header>{around()}{wrap.format(f'<h1>{sentence(lang, 1)}</h1>{body}')}{around()}<footer{m}>&copy; {sentence(lang, 1)}</footer></body></html>"
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", "<main><article class=post>{}</article></main>"])
+def test_pages_built_with_marks(wrap):
+    for seed in range(60):
+        page = built(random.Random(seed), wrap)
+        ref = Reference()
+        ref.feed(page)
+        ref.cut()
+        assert pages.main_text(page.replace(" x-boiler=1", "")) == "\n\n".join(ref.blocks), seed
+
+
 def test_pages_without_end():
     for x in ("<p><b>x" * 20000, '<a "' * 30000, "<div>" * 20000 + "x", "<" * 50000):
         pages.main_text(x)

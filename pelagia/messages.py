@@ -25,6 +25,7 @@ BOX_AREA = "bbox must cover a non-zero area."
 RETRIES_SPENT = "Too many points"
 TOO_FAR = "No data for {asked}; nearest available date {other} is {away} days away (tolerance {most} days)."
 ALSO_UNAVAILABLE = "No data for {asked}; nearest available date {other} is also unavailable."
+NO_POINT = "No data returned for requested point/date."
 BAD_VALUES = "{field} values contains invalid values."
 BAD_TIME = "Invalid query_time format: {text}"
 ZONE_REQUIRED = "timezone (tz) required (use IANA name or numeric offset)"

@@ -47,3 +47,15 @@ def box_mean(cells: DataFrame, fields: list[str]) -> DataFrame:
     bad = lambda f: F.max(F.when(F.isnan(f) | (F.abs(F.col(f)) == float("inf")), True))
     mean = lambda f: F.when(bad(f), F.raise_error(F.lit(BAD_VALUES.format(field=f)))).otherwise(F.avg(F.col(f).cast("double")))
     return cells.agg(*(mean(f).cast("double").alias(f) for f in fields))
+
+
+def daily_means(cells: DataFrame, fields: list[str]) -> DataFrame:
+    """A row for each day: the means of the non-null values, as box_mean has them, and ``cells``, how many values the first field has."""
+    return cells.groupBy("date").agg(*(F.avg(F.col(f).cast("double")).alias(f) for f in fields), F.count(fields[0]).alias("cells"))
+
+
+def box_percentile(cells: DataFrame, field: str, share: float, accuracy: int | None = None) -> DataFrame:
+    """One row: a percentile of the non-null values. Exact values are held by their distinct number; with ``accuracy`` (the inverse of the error in rank) memory is bounded, for
+    large boxes."""
+    value = F.col(field).cast("double")
+    return cells.agg((F.percentile(value, share) if accuracy is None else F.percentile_approx(value, share, accuracy)).alias(field))

@@ -66,7 +66,7 @@ def box_served(store: GridStore, lon0: float, lat0: float, lon1: float, lat1: fl
     fields, modes = params.request_fields(append, store.config.fields), params.request_modes(mode)
     b = plan_box(store, lon0, lat0, lon1, lat1, start, end, sample)
     seen = Observation()
-    rows = extract.box_rows(extract.box_cells(store.grid, b.day, b.i0, b.i1, b.j0, b.j1, b.stride), fields, "truncate" in modes, b.cells)
+    rows = extract.box_rows(extract.box_cells(store.cells([b.day], b.i0, b.i1, b.j0, b.j1, fields), b.day, b.i0, b.i1, b.j0, b.j1, b.stride), fields, "truncate" in modes, b.cells)
     return rows.observe(seen, F.count(F.lit(1)).alias("served")), b, seen  # after the sort, which reads its input twice
 
 
@@ -80,7 +80,7 @@ def point(store: GridStore, lon0: float, lat0: float, start: str | None = None,
     if not days:
         raise BadRequest(say.NO_DATA_IN_PERIOD.format(earliest=earliest, latest=latest))
     i, j = store.nearest(lon0, lat0)
-    return extract.point_cells(store.grid, days, i, j, fields, "truncate" in modes)
+    return extract.point_cells(store.cells(days, i, i, j, j, fields), days, i, j, fields, "truncate" in modes)
 
 
 def read(store: GridStore, lon0: float, lat0: float, lon1: float | None = None, lat1: float | None = None, start: str | None = None, end: str | None = None, append: str | None = None, sample: int = 1, mode: str | None = None) -> DataFrame:

@@ -38,14 +38,18 @@ def _noted(df: DataFrame, asked: dt.date | None, stood_in: bool) -> DataFrame:
 
 
 def point_value(store: GridStore, longitude: float, latitude: float, date: str | None = None, fields: list[str] | None = None, method: str = "exact") -> DataFrame:
-    """One row: region (the coordinates asked for), date, fields, and what was asked if a bound stands in. Without a date, the latest day."""
+    """One row: region (the coordinates asked for), date, fields, and what was asked if a bound stands in. Without a date, the latest day. A cell that the day lacks is an error."""
     params.tool_point(longitude, latitude)
     nearest, names = params.tool_method(method), params.tool_fields(fields, store.config.tool_fields)
     asked = params.tool_date(date) if date is not None else None
     day, stood_in = _standing_in(store, asked, nearest) if asked else (store.span()[1], False)
-    cell = extract.point_cells(store.grid, [day], *store.nearest(longitude, latitude), names).limit(1)
+    i, j = store.nearest(longitude, latitude)
+    cell = extract.point_cells(store.cells([day], i, i, j, j, names), [day], i, j, names).select("date", *names)
+    found = cell.limit(1).collect()  # one row; a tool says so if there is none
+    if not found:
+        raise NotFound(say.NO_POINT)
     region = F.array(F.lit(float(longitude)), F.lit(float(latitude))).alias("region")
-    return _noted(cell.select(region, "date", *names), asked, stood_in)
+    return _noted(cell.sparkSession.createDataFrame(found, cell.schema).select(region, "date", *names), asked, stood_in)
 
 
 def bbox_mean(store: GridStore, bbox: list[float], date: str, fields: list[str] | None = None, method: str = "exact") -> DataFrame:
@@ -59,7 +63,7 @@ def bbox_mean(store: GridStore, bbox: list[float], date: str, fields: list[str]
     i0, i1, j0, j1 = box_indices(store, lon0, lat0, lon1, lat1)
     c = store.config
     stride = params.fitting_stride(params.stride_estimate(lon0, lat0, lon1, lat1, c.degrees_per_cell, c.point_limit), left(i0, i1, 1), left(j0, j1, 1), c.point_limit, c.stride_attempts)
-    mean = extract.box_mean(extract.box_cells(store.grid, day, i0, i1, j0, j1, stride), names)
+    mean = extract.box_mean(extract.box_cells(store.cells([day], i0, i1, j0, j1, names), day, i0, i1, j0, j1, stride), names)
     region = F.array(*(F.lit(x) for x in (lon0, lat0, lon1, lat1))).alias("region")
     return _noted(mean.select(region, F.lit(day).alias("date"), F.lit(stride).alias("sample"), *names), asked, stood_in)
 

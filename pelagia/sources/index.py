@@ -23,8 +23,8 @@ def read_index(spark: SparkSession, path: str, days: DataFrame) -> DataFrame:
 
 
 def merged(bounds: DataFrame, day) -> DataFrame:
-    """The bounds with one more day; greatest and least skip nulls."""
-    return bounds.select(F.least("earliest", day).alias("earliest"), F.greatest("latest", day).alias("latest"))
+    """The bounds with one more day; greatest and least skip nulls. Other columns stay."""
+    return bounds.select(*(c for c in bounds.columns if c not in ("earliest", "latest")), F.least("earliest", day).alias("earliest"), F.greatest("latest", day).alias("latest"))
 
 
 def write_index(bounds: DataFrame, path: str) -> None:

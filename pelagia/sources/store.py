@@ -42,6 +42,11 @@ class GridStore:
         """A store over a table of cells; its manifest and axes are taken from the cells."""
         return cls(grid, grid.select("date").distinct(), grid.select("lon_idx", "lon").distinct(), grid.select("lat_idx", "lat").distinct(), config)
 
+    def cells(self, days: list[dt.date], i0: int, i1: int, j0: int, j1: int, fields: list[str] | tuple[str, ...] = FIELDS) -> DataFrame:
+        """The table that a request for some days, an index range of both axes and some fields is to be filtered from. Here that is all cells, since filters on partitions and
+        sorted columns reach the Parquet scan; other formats give no more than the request needs."""
+        return self.grid
+
     def views(self, prefix: str = "") -> None:
         """Temporary views for SQL: grid, days, lon_axis and lat_axis."""
         for name in ("grid", "days", "lon_axis", "lat_axis"):

@@ -69,6 +69,74 @@ def test_backfill(spark, tmp_path):
             pipe.backfill(spark, a, b, root, lambda d: granule(spark, d))
 
 
+def test_another_grid_is_refused(spark, tmp_path):
+    root = str(tmp_path / "s")
+    pipe.ingest(granule(spark, D(2024, 1, 2)), root)
+    for odd in (F.col("longitude") + 0.5, None):
+        moved = granule(spark, D(2024, 1, 3)).withColumn("longitude", odd.cast("float")) if odd is not None else granule(spark, D(2024, 1, 3)).withColumn("lat_idx", F.col("lat_idx") + 5)
+        with pytest.raises(BadRequest, match="another grid"):
+            pipe.ingest(moved, root)
+    assert GridStore.open(spark, root).span() == (D(2024, 1, 2), D(2024, 1, 2))
+    assert pipe.ingest(granule(spark, D(2024, 1, 3)).filter("lat_idx = 0"), root)[0] == [D(2024, 1, 3)]  # a part of the grid will do
+
+
+def test_daily(spark, tmp_path):
+    import os
+
+    root, idx, src = str(tmp_path / "s"), str(tmp_path / "i"), tmp_path / "src"
+    src.mkdir()
+    for name, days in (("old.nc", 40), ("new.nc", 1), ("old.txt", 40)):
+        (src / name).write_text("x")
+        then = dt.datetime(2024, 3, 1, 12).timestamp() - days * 86400
+        os.utime(src / name, (then, then))
+    run = lambda day, **kw: pipe.daily(spark, day, root, lambda d: granule(spark, d), idx, str(src), D(2024, 3, 1), **kw)
+    said, gone = run("2024-01-02")
+    assert said == "PASS" and [x.rsplit("/", 1)[1] for x in gone] == ["old.nc"] and sorted(os.listdir(src)) == ["new.nc", "old.txt"]
+    assert run("2024-01-02") == ("EXISTS", [])
+    with pipe.single_writer(spark, f"{root}/_lock"):
+        assert run("2024-01-03") == ("LOCKED", [])
+    with pytest.raises(BadRequest):
+        run("2024-1-3")
+    assert tuple(index.read_index(spark, idx, GridStore.open(spark, root).days).first()) == (D(2024, 1, 2), D(2024, 1, 2))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from pelagia.pipeline.__main__ import main
+
+    granule(spark, D(2024, 1, 5)).write.parquet(str(tmp_path / "g"))
+    args = ["2024-01-05", str(tmp_path / "s"), str(tmp_path / "g"), "--parquet", "--index", str(tmp_path / "i")]
+    assert main(args, spark) == 0 and main(args, spark) == 0
+    assert capsys.readouterr().out.split() == ["PASS", "EXISTS"]
+    assert spark.read.json(str(tmp_path / "s" / "attributes")).count() == 5
+
+
+def test_a_stale_lock_is_taken_away(spark, tmp_path):
+    import os
+
+    (tmp_path / "_lock").write_text("")
+    with pipe.single_writer(spark, str(tmp_path / "_lock")) as a:
+        assert not a
+    os.utime(tmp_path / "_lock", (1, 1))
+    with pipe.single_writer(spark, str(tmp_path / "_lock")) as a:
+        assert a
+
+
+def test_no_cell_for_a_point(spark, tmp_path):
+    pipe.ingest(granule(spark, D(2024, 1, 2)), str(tmp_path / "s"))
+    st = GridStore.open(spark, str(tmp_path / "s"))
+    st.grid = st.grid.filter("lat_idx > 0")
+    with pytest.raises(NotFound, match="No data returned"):
+        tools.point_value(st, 135.0, 15.0, "2024-01-02")
+
+
+def test_percentiles_and_daily_means(spark):
+    from pelagia.operators import extract
+
+    cells = normalise(granule(spark, D(2024, 1, 1), D(2024, 1, 2)))
+    assert [(r["date"], round(r["sst"], 3), r["cells"]) for r in extract.daily_means(cells, ["sst"]).orderBy("date").collect()] == [(D(2024, 1, 1), 20.667, 3), (D(2024, 1, 2), 20.667, 3)]
+    assert round(extract.box_percentile(cells, "sst", 0.5).first()[0], 3) == round(extract.box_percentile(cells, "sst", 0.5, 1000).first()[0], 3) == 21
+
+
 def test_single_writer(spark, tmp_path):
     lock = str(tmp_path / "s" / "_lock")
     with pipe.single_writer(spark, lock) as a, pipe.single_writer(spark, lock) as b:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import gzip
 import json
 import zlib
@@ -8,11 +9,14 @@ import numpy as np
 import pytest
 import zstandard
 
-from pelagia.errors import NotFound, ToolError
+from pelagia.config import GridConfig
+from pelagia.errors import BadRequest, NotFound, ToolError
 from pelagia.plans import requests
 from pelagia.sources import chunks
 from pelagia.sources.fetch import retrying
+from pelagia.sources.store import SCHEMA
 from pelagia.sources.zarr import days, open_zarr
+from pelagia.sources.zarr import write_zarr as write_zarr_days
 
 
 def container(raw: bytes, size: int, block: int, flags: int, pack) -> bytes:
@@ -76,6 +80,48 @@ def test_zarr_days(spark, tmp_path, codec):
     assert [r["sst"] for r in rows] == [None if np.isnan(v) else v for v in sst.ravel().tolist()]
     assert all(r["sea_ice"] is None for r in rows)
     assert requests.read(open_zarr(spark, root), 100.021, 20.009).first()["sst"] == 9.0
+    with pytest.raises(BadRequest, match="unavailable"):  # a day that wasn't picked doesn't exist
+        requests.read(st, 100, 20, 101, 21, start="2024-01-02")
+    assert st.calendar() == [dt.date(2024, 1, 4)]
+
+
+def names(df):
+    return sorted(x.split("/sst/")[1] if "/sst/" in x else x.split("/sea_ice/")[1] + " ice" for x in df.inputFiles())
+
+
+def test_a_request_reads_only_its_chunks(spark, tmp_path):
+    values = np.arange(20 * 30, dtype=np.float32).reshape(20, 30)
+    for day in ("2024/01/02", "2024/01/03"):
+        g = tmp_path / day
+        write_zarr(g / "lon", np.float32(100 + np.arange(30) / 100), None, [30])
+        write_zarr(g / "lat", np.float32(20 + np.arange(20) / 100), None, [20])
+        write_zarr(g / "sst", values, "zstd", [5, 5])
+        write_zarr(g / "sea_ice", values / 600, "zstd", [5, 5])
+    st = open_zarr(spark, f"file://{tmp_path}")
+    d = [dt.date(2024, 1, 2)]
+    assert names(st.cells(d, 7, 7, 3, 3, ["sst"])) == ["c/0/1"]
+    assert names(st.cells(d, 4, 5, 9, 10, ["sst"])) == ["c/1/0", "c/1/1", "c/2/0", "c/2/1"]
+    assert names(st.cells(d, 7, 7, 3, 3, ["sst", "sea_ice"])) == ["c/0/1", "c/0/1 ice"]
+    assert len(st.grid.inputFiles()) == 2 * 2 * 24
+    box = requests.read(st, 100.04, 20.09, 100.05, 20.10, start="2024-01-02", append="sst")
+    assert [r["sst"] for r in box.collect()] == [values[9, 4], values[9, 5], values[10, 4], values[10, 5]]
+    assert len(requests.read(st, 100.07, 20.03, start="2024-01-01", end="2024-01-09").collect()) == 2
+
+
+def test_zarr_round_trip(spark, tmp_path):
+    rows = [(dt.date(2024, 1, d), j, i, 10 + j / 100, 50 + i / 100, float(100 * d + 10 * j + i) if (i, j) != (1, 1) else None, 0.5 if d == 1 else None, None) for d in (1, 2) for j in range(5) for i in range(7)]
+    cells = spark.createDataFrame(rows, SCHEMA)
+    root = f"file://{tmp_path}/z"
+    config = GridConfig(tile=3)
+    assert write_zarr_days(cells, root, config) == [dt.date(2024, 1, 1), dt.date(2024, 1, 2)]
+    assert write_zarr_days(cells, root, config) == []
+    st = open_zarr(spark, root)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, st.grid.collect())) == sorted(map(key, cells.collect()))
+    assert json.loads((tmp_path / "z/2024/01/01/zarr.json").read_text())["attributes"]["variables"] == ["sst", "sst_anomaly", "sea_ice"]
+    assert not (tmp_path / "z/2024/01/01/sea_ice/c").exists()  # no value, no chunk
+    with pytest.raises(BadRequest, match="axis"):
+        write_zarr_days(cells.filter("lon_idx <> 2"), f"{root}2", config)
 
 
 def test_retries():

@@ -2,12 +2,43 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import GridConfig
+from .pipeline.ingest import ingest
 from .sources.store import SCHEMA, GridStore
 
+_stored: dict[tuple[str, str], tuple[str, list, str]] = {}
+_local: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new place in ``spark.checkpoint.dir``; where that is unset, in a temporary folder, if all runs in this process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="pelagia-grid-"))
+    return f"{base.rstrip('/')}/pelagia-grid/{tag}-{uuid.uuid4().hex}"
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> tuple[str, list, str]:
+    """Where the granules have been ingested as a store (once in a session), the days written and the verifier's word. Its index is beside it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _stored:
+        root = scratch(spark, "store")
+        _stored[key] = (root, *ingest(granules(spark, sf_dir), root, f"{root}/index", source="fixtures"))
+    return _stored[key]
+
+
+def stored(spark: SparkSession, sf_dir: str, config: GridConfig | None = None) -> GridStore:
+    return GridStore.open(spark, ingested(spark, sf_dir)[0], config)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from .messages import SKY_NOTE as SKY
+from .messages import TIDE_NOTE as NOTE
+from .messages import ZONE_NOTE as ZONE
+
 CUBE = """axis as (select distinct user_id from events),
      alldays as (select distinct cast(ts as date) as date from events where extract(day from ts) % 7 <> 0),
      obs as (select cast(ts as date) as date, user_id, cast(max(value) as float) as sst, cast(max(value) - min(value) as float) as sst_anomaly,
@@ -36,13 +40,14 @@ b as (select q.event_id, q.ts as t0, p.ts as pts, n.ts as nts, (select max((x.ph
       from q join p on p.event_id = q.event_id join n on n.event_id = q.event_id)"""
 HMS = "printf('%02d:%02d:%02d', cast({s} as bigint) // 3600, cast({s} as bigint) // 60 % 60, cast({s} as bigint) % 60)"
 BOXES = "(values (1, 119.0, 20.0, 123.0, 26.0), (2, -180.0, -90.0, 180.0, 90.0), (3, 120.0, 20.0, 120.0, 21.0), (4, 130.0, 30.0, 120.0, 20.0), (5, 100.0, 0.0, 160.0, 60.0)) t(box_id, lon0, lat0, lon1, lat1)"
-NOTE = "Note: Tide heights are relative to NTDE 1983–2001 MSL and provided for reference only."
-SKY = "Sun/Moon data unavailable at this time (USNO service error). Tide extrema are provided below."
-ZONE = "Timezone not provided; times shown are in UTC (+00:00). Convert to your local time if needed."
 PARITY = f"""with {CUBE}, o as (select *, case when (lat_idx * 5 + lon_idx) % 11 = 0 then cast(cast(sst as double) + lon_idx * 0.5::double as float) else sst end as sst2 from cube),
 x as (select 'sst' as field, lat_idx, lon_idx, date, abs(cast(sst as double) - cast(sst2 as double)) as diff from o where sst is not null
       union all select 'sst_anomaly', lat_idx, lon_idx, date, 0.0::double from o where sst_anomaly is not null union all select 'sea_ice', lat_idx, lon_idx, date, 0.0::double from o where sea_ice is not null)"""
 
+#: What a store has that was ingested from granules in Kelvin, as 32-bit values.
+KEL = f"{CUBE}, kel as (select date, lat_idx, lon_idx, lat, lon, cast(cast(cast(cast(sst as double) + 273.15::double as float) as double) - 273.15::double as float) as sst, sst_anomaly, sea_ice from cube)"
+STORED_BOX = f"with {KEL} select cast(lon as double) as lon, cast(lat as double) as lat, date, cast(sst as double) as sst, cast(sst_anomaly as double) as sst_anomaly from kel where date = {DAY} and lon_idx <= 3 and lat_idx <= least(5, (select max(lat_idx) from kel))"
+
 ORACLE_SQL: dict[str, str] = {
     "catalog_bounds": f"with {CUBE} select min(date) as earliest, max(date) as latest from cube",
     "index_fill": f"with {CUBE} select min(date) as earliest, max(date) as latest from cube",
@@ -97,7 +102,38 @@ select asked, fallback, abs(fallback - asked) as away, abs(fallback - asked) <=
     "tz_offset_at_noon": "select zone, day, minutes::bigint as minutes, utc_offset from (values ('Asia/Taipei', date '2024-01-15', 480, '+08:00'), ('Asia/Taipei', date '2024-07-15', 480, '+08:00'), ('America/New_York', date '2024-01-15', -300, '-05:00'), ('America/New_York', date '2024-07-15', -240, '-04:00'), ('Europe/London', date '2024-01-15', 0, '+00:00'), ('Europe/London', date '2024-07-15', 60, '+01:00'), ('Australia/Adelaide', date '2024-01-15', 630, '+10:30'), ('Australia/Adelaide', date '2024-07-15', 570, '+09:30'), ('UTC', date '2024-01-15', 0, '+00:00'), ('UTC', date '2024-07-15', 0, '+00:00')) t(zone, day, minutes, utc_offset)",
     "tz_numeric_parse": "select k, minutes::bigint as minutes, utc_offset from (values (0, 480, '+08:00'), (1, 480, '+08:00'), (2, -330, '-05:30'), (3, 345, '+05:45'), (4, -30, '-00:30'), (5, null, null), (6, null, null), (7, null, null), (8, 1439, '+23:59'), (9, null, null)) t(k, minutes, utc_offset)",
     "tide_messages": f"select k, n::bigint as n, messages from (values (1, 1, '{NOTE}'), (2, 2, '{SKY} | {NOTE}'), (3, 2, '{ZONE} | {NOTE}'), (4, 3, '{ZONE} | {SKY} | {NOTE}')) t(k, n, messages)",
-    "tide_document": "select date '2025-11-12' as date, '+08:00' as timezone, 'Asia/Taipei' as tz_name, 1::bigint as highs, 2::bigint as lows, '2025-11-12T06:02:00+08:00' as sun_rise, '2025-11-12T05:20:00+08:00' as moon_transit, 'Waning Gibbous' as phase, 'falling' as state_now, '03:26:14' as since_extreme, '01:31:57' as until_extreme",
+    "tide_document": "select date '2024-08-19' as date, '+10:00' as timezone, 'Australia/Brisbane' as tz_name, 2::bigint as highs, 1::bigint as lows, '2024-08-19T06:27:00+10:00' as sun_rise, '2024-08-19T23:14:00+10:00' as moon_transit, 'Waxing Gibbous' as phase, 'falling' as state_now, '02:47:55' as since_extreme, '03:05:50' as until_extreme",
     "tile_layout": f"with {CUBE} select lat_idx, lon_idx, sst from cube where date = {DAY}",
     "bench_mean_by_day": "with c as (select cast(l_shipdate as date) as date, cast(l_partkey % 64 as int) as lat_idx, cast(l_suppkey % 64 as int) as lon_idx, cast(max(l_quantity) as float) as sst from lineitem group by 1, 2, 3) select date, round(avg(cast(sst as double)), 6) as sst, count(*) as cells from c where lat_idx between 8 and 40 and lon_idx between 4 and 50 group by date",
+    "stored_cells": f"with {KEL} select date, lat_idx, lon_idx, sst, sst_anomaly, sea_ice from kel",
+    "stored_box": STORED_BOX,
+    "stored_point": f"with {KEL} select cast(lon as double) as lon, cast(lat as double) as lat, date, cast(sst as double) as sst from kel where lon_idx = 2 and lat_idx = 1 and date between date '2024-01-05' and date '2024-01-16'",
+    "stored_mean": f"with {KEL} select date, round(avg(cast(sst_anomaly as double)), 6) as sst_anomaly from kel where date = {DAY} and lat_idx <= 2 group by date",
+    "stored_days": f"with {CUBE} select distinct date from cube",
+    "stored_index": f"with {CUBE}, b as (select min(date) as e, max(date) as l from cube) select cast(k as int) as k, e as earliest, case k when 2 then date '2024-03-01' else l end as latest from b, (values (1), (2), (3)) t(k)",
+    "stored_attributes": "select name, units, 'lat,lon' as dims, 'fixtures' as source from (values ('sst', 'degrees Celsius'), ('sst_anomaly', 'degrees Celsius'), ('sea_ice', 'fraction, 0 to 1'), ('lon', 'degrees east'), ('lat', 'degrees north')) t(name, units)",
+    "ingest_verdict": f"with {CUBE}, n as (select count(distinct date) as days, count(sst) as a, count(sst_anomaly) as b, count(sea_ice) as c from cube) select field, compared, 0::bigint as mismatches, 'PASS' as said, 'PASS' as all, days from (select 'sst' as field, a as compared, days from n union all select 'sst_anomaly', b, days from n union all select 'sea_ice', c, days from n)",
+    "ingest_again": f"with {CUBE} select date, lat_idx, lon_idx, case when date <= date '2024-01-10' then sst_anomaly else cast(sst_anomaly + 1 as float) end as sst_anomaly, case when date <= date '2024-01-10' then sea_ice end as sea_ice from cube",
+    "ingest_stream": f"with {CUBE} select date, count(*) as cells, count(sst) as values from cube group by date",
+    "daily_runs": "select * from (values (0, 'PASS'), (1, 'EXISTS'), (2, 'LOCKED'), (3, 'True False'), (4, 'BadRequest')) t(k, said)",
+    "zarr_cells": f"with {KEL} select date, lat_idx, lon_idx, sst, sst_anomaly, sea_ice from kel where date between date '2024-01-08' and date '2024-01-10'",
+    "zarr_box": STORED_BOX,
+    "json_round_trip": rounded("sst sea_ice", f"date = {DAY} and lat_idx <= 2"),
+    "refusals": f"""with {CUBE}, b as (select min(date) as e, max(date) as l from cube), t(k, kind, status, message) as (values
+  (0, 'BadRequest', 400, 'Invalid date format. Use YYYY-MM-DD.'), (1, 'BadRequest', 400, 'Invalid date format. Use YYYY-MM-DD.'),
+  (2, 'BadRequest', 400, 'Unsupported field(s): salt. Allowed: sst,sst_anomaly,sea_ice'), (3, 'BadRequest', 400, 'Unsupported mode(s): raw. Allowed: truncate'),
+  (4, 'BadRequest', 400, 'Parameter ''sample'' is only supported in BBox mode.'), (5, 'BadRequest', 400, 'Parameter ''sample'' must be >= 1.'),
+  (6, 'BadRequest', 400, 'Too many points (15). Increase ''sample'' or shrink bbox (limit 3).'), (7, 'Unavailable', 503, 'No available dates.'),
+  (8, 'ToolError', 422, 'Longitude 181.0 out of bounds [-180, 180].'), (9, 'ToolError', 422, 'Latitude 91.0 out of bounds [-90, 90].'), (10, 'ToolError', 422, 'Invalid date (expected YYYY-MM-DD): today'),
+  (11, 'ToolError', 422, 'Unsupported field ''sea_ice''. Allowed: [''sst'', ''sst_anomaly'']'), (12, 'ToolError', 422, 'Unsupported method ''closest''. Allowed: [''exact'', ''nearest''].'),
+  (13, 'ToolError', 422, 'bbox must cover a non-zero area.'), (14, 'ToolError', 422, 'bbox must contain exactly four numbers: [lon0, lat0, lon1, lat1].'),
+  (15, 'NotFound', 404, 'No data for 2025-01-01; nearest available date <l> is <n> days away (tolerance 7 days).'), (16, 'BadRequest', 400, 'Coordinates must be numbers.'),
+  (17, 'BadRequest', 400, 'START_DATE must be <= END_DATE'), (18, '', 200, ''))
+select k, kind, status, replace(replace(message, '<l>', cast(l as varchar)), '<n>', cast(date '2025-01-01' - l as varchar)) as message from t, b""",
+    "box_mean_of_infinite_values": "select * from (values (0, true), (1, false)) t(k, fine)",
+    "zone_inputs": """select * from (values (0, '+08:00', null, false, null), (1, '+08:00', null, false, null), (2, '-05:30', null, false, null), (3, '+08:00', 'Asia/Taipei', false, null), (4, '+01:00', 'Europe/London', false, null),
+  (5, '+00:00', 'utc', false, null), (6, '+00:00', null, true, null), (7, null, null, null, 'Invalid timezone ''+0800''.'), (8, null, null, null, 'Unknown timezone ''Nope/Zone''.'), (9, null, null, null, 'Invalid timezone ''24''.'),
+  (10, null, null, null, 'timezone (tz) required (use IANA name or numeric offset)')) t(k, utc_offset, name, unchosen, message)""",
+    "settings": "select * from (values ('point_limit', '5'), ('degrees_per_cell', '0.25'), ('max_days', '31'), ('nearest_days', '7'), ('tile', '1024'), ('error', '422 Invalid int value for PELAGIA_MAX_DAYS: many')) t(name, value)",
+    "fetch_retries": "select k, tries, paused::double as paused, text, kind, status from (values (0, 3, 2.25, 'fine', '', 200), (1, 3, 2.25, null, 'ToolError', 422), (2, 1, 0, null, 'NotFound', 404), (3, 1, 0, null, 'ToolError', 400), (4, 1, 0, 'fine', '', 200)) t(k, tries, paused, text, kind, status)",
 }

@@ -182,30 +182,30 @@ def test_stream_of_arrivals(spark, tmp_path):
 
 
 def forecast(spark, doc=DOCUMENT, **kw):
-    return tools.tide_forecast(spark, lambda _: doc, 123.0, 23.0, **{"tz": "+08:00", "date": "2025-11-12", **kw}).first()
+    return tools.tide_forecast(spark, lambda _: doc, 151.2, -33.9, **{"tz": "+10:00", "date": "2024-08-19", **kw}).first()
 
 
 def test_tide_state(spark):
-    r = forecast(spark, query_time="2025-11-12T16:03:00")  # without an offset it is local
+    r = forecast(spark, query_time="2024-08-19T10:00:00")  # without an offset it is local
     s = r["tide"]["state"]
-    assert (s["state_now"], s["since_extreme"], s["until_extreme"]) == ("falling", "03:26:14", "01:31:57")
-    assert (s["last_extreme"]["height_cm"], s["next_extreme"]["type"]) == (23.55, "LOW")
-    assert r["sun"]["rise"].endswith("06:02:00+08:00") and r["sun"]["transit"] is None and r["tz_name"] is None
-    assert forecast(spark, query_time="2025-11-12T12:36:46+08:00")["tide"]["state"]["since_extreme"] == "00:00:00"  # at the extreme
-    assert forecast(spark, query_time="2025-11-12T23:00:00+08:00")["tide"]["state"] is None  # nothing follows
+    assert (s["state_now"], s["since_extreme"], s["until_extreme"]) == ("falling", "02:47:55", "03:05:50")
+    assert (s["last_extreme"]["height_cm"], s["next_extreme"]["type"]) == (61.4, "LOW")
+    assert r["sun"]["rise"].endswith("06:27:00+10:00") and r["sun"]["transit"] is None and r["tz_name"] is None
+    assert forecast(spark, query_time="2024-08-19T07:12:05+10:00")["tide"]["state"]["since_extreme"] == "00:00:00"  # at the extreme
+    assert forecast(spark, query_time="2024-08-19T23:00:00+10:00")["tide"]["state"] is None  # nothing follows
     assert forecast(spark)["tide"]["state"] is None
 
 
 def test_tide_days_and_gaps(spark):
-    r = forecast(spark, date="2025-11-20", query_time="2025-11-20T16:03:00+08:00")
-    assert r["date"] == D(2025, 11, 12) and r["tide"]["state"] is None  # the first day stands in
+    r = forecast(spark, date="2024-08-27", query_time="2024-08-27T10:00:00+10:00")
+    assert r["date"] == D(2024, 8, 19) and r["tide"]["state"] is None  # the first day stands in
     doc = json.loads(DOCUMENT)
     doc["days"][0] |= {"sun": None, "moon": [], "moonphase": None}
-    doc["days"][0]["tide"] += [{"phen": "HIGH", "time": None, "height": "x"}, {"phen": "SLACK", "time": "2025-11-12T15:00:00+08:00"}]
+    doc["days"][0]["tide"] += [{"phen": "HIGH", "time": None, "height": "x"}, {"phen": "SLACK", "time": "2024-08-19T09:00:00+10:00"}]
     doc["meta"] |= {"status": "down", "timezone": None}
-    r = forecast(spark, json.dumps(doc), tz="Z", query_time="2025-11-12T16:03:00+08:00", date=None)
+    r = forecast(spark, json.dumps(doc), tz="Z", query_time="2024-08-19T10:00:00+10:00", date=None)
     assert r["sun"] is None and r["moon"] is None and r["moonphase"] is None and r["timezone"] == "+00:00" and len(r["messages"]) == 3
-    assert len(r["tide"]["highs"]) == 2 and r["tide"]["highs"][1]["height_cm"] is None
+    assert len(r["tide"]["highs"]) == 3 and r["tide"]["highs"][2]["height_cm"] is None
     assert r["tide"]["state"] is None  # another event lies between
     for bad, said in (("{", "Invalid JSON"), ('{"days":[]}', "no data")):
         with pytest.raises(ToolError, match=said):

@@ -179,7 +179,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
 
 # Near copies by similarity: an exact join of shingle sets. All pairs that can have the similarity share a shingle of their prefixes, and each of
 # them is verified, unless verified pairs join its ends already.
-SIMILARITY, HOT, SAMPLE, ROUNDS, OPEN = 0.8, 1 << 16, 16, 6, 4096
+SIMILARITY, HOT, SAMPLE, ROUNDS, OPEN, LIKELY = 0.8, 1 << 16, 16, 6, 16, (8, 64, None)
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -216,13 +216,14 @@ def frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return hot[order], (len(hot) - np.arange(len(hot)))[order]
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = SIMILARITY, tile: int = OPEN) -> DataFrame:
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = SIMILARITY, most: float = OPEN) -> DataFrame:
     """One row for each input row: id, th, component (the smallest id reachable by pairs whose sets of ``shingle``-word shingles have a Jaccard
     similarity of ``least`` at least) and m (the component's own number, which differs where ids don't).
 
     Rows of one shingle set (128 bits of hash) are one node. No similar pair is missed: prefixes give all candidates. Rounds that compare the nodes
-    of a shingle with one of them join large groups first, while more pairs are open than a tile of ``tile`` nodes has; then all pairs are compared whose
-    ends aren't joined by verified pairs. Nulls,
+    of a shingle with two of them, then four and so on, picked by hashes, join large groups first, as long as more pairs are open than ``most`` times the entries
+    of the prefixes and a round settles a tenth of them. Then all candidates are listed: for each node the eight, then 64, that share most with it are compared, and after that
+    every other pair; each time only those whose ends aren't joined by verified pairs. Nulls,
     repeated rows and empty tables are treated as in near_groups."""
     docs = keyed(df, id_col, text_col)
     hot, rank = frequent(docs, shingle)
@@ -272,42 +273,62 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest = "ceil({least} * {n} - 1e-6) - 1"
     bound = f"c + greatest({rest.format(least=least, n='n')}, {rest.format(least=least, n='k')}) >= {least / (1 + least)} * (n + k) - 1e-6"
 
-    def verified(met: DataFrame) -> DataFrame:
-        """Of pairs (u, v, of k and n shingles), one row for each shingle that both have been met by, those that are similar."""
-        pairs = staged(met.groupBy("u", "v", "n", "k").agg(F.count(F.lit(1)).alias("c")).filter(bound).select("u", "v"), "pairs")
-        used = nodes.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("id").alias("i"), F.col("th").alias("t"))
+    def candidates(met: DataFrame) -> DataFrame:
+        """Of pairs (u, v, of k and n shingles), one row for each shingle that both have been met by, those that can be similar, with the number of rows; staged."""
+        return staged(met.groupBy("u", "v", "n", "k").agg(F.count(F.lit(1)).alias("c")).filter(bound).select("u", "v", "c"), "pairs")
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """Those of some staged pairs that are similar."""
+        ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+        used = nodes.join(ends, "node", "left_semi").select("node", F.col("id").alias("i"), F.col("th").alias("t"))
         with_text = docs.join(used, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("node", "text")
         held = staged(map_arrow(with_text, sets, "node bigint, s binary").dropDuplicates(["node"]), "held")
         sided = pairs.join(held.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
-        similar = staged(map_arrow(sided.select("u", "v", "a", "b"), verify, "u bigint, v bigint"), "verified")
-        drop(pairs, held)
-        return similar
+        found = staged(map_arrow(sided.select("u", "v", "a", "b"), verify, "u bigint, v bigint"), "verified")
+        drop(held)
+        return found
 
     def labelled(found: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         """The components of verified pairs, the shared shingles whose nodes lie in several of them, and the pairs these have to compare."""
         label = components(found)
         of = shared.join(label.select(F.col("v").alias("node"), "m"), "node", "left").withColumn("m", F.coalesce("m", "node"))
-        per = Window.partitionBy("s")
-        left = staged(of.withColumn("several", F.min("m").over(per) < F.max("m").over(per)).filter("several").drop("several"), "open")
-        counted = left.groupBy("s", "m").agg(F.count(F.lit(1)).alias("c")).groupBy("s").agg(F.sum("c").alias("c"), F.sum(F.expr("c * c")).alias("q"))
-        return label, left, counted.agg(F.sum(F.expr("(c * c - q) div 2"))).first()[0] or 0
+        counted = staged(of.groupBy("s", "m").agg(F.count(F.lit(1)).alias("c")), "counted")
+        several = counted.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("c"), F.sum(F.expr("c * c")).alias("q")).filter("k > 1")
+        several = staged(several.select("s", F.expr("(c * c - q) div 2").alias("pairs")), "several")
+        return label, staged(of.join(several.select("s"), "s"), "open"), several.agg(F.sum("pairs")).first()[0] or 0
 
     far = f"least(n, k) < {least} * greatest(n, k) - 1e-6"
     left, found, work = shared.withColumn("m", F.col("node")), None, None
+    limit = most * shared.count()
     for turn in range(ROUNDS):
-        first = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("u"), F.col("n").alias("k"), F.col("m").alias("l"))).over(Window.partitionBy("s"))
-        star = left.withColumn("f", first).select("f.*", F.col("node").alias("v"), "n", "m").filter(f"l <> m and not ({far})")
-        new = verified(star)
+        hub = lambda j: F.struct(F.xxhash64(F.lit(j), "node").alias("h"), F.col("node").alias("u"), F.col("n").alias("k"), F.col("m").alias("l"))
+        picked = [x for j in range(1 << turn, 2 << turn) for x in (F.min(hub(j)).alias(f"a{j}"), F.max(hub(j)).alias(f"b{j}"))]
+        hubs = left.groupBy("s").agg(*picked)
+        hubs = staged(hubs.select("s", F.expr(f"array_distinct(transform(array({', '.join(c for c in hubs.columns if c != 's')}), x -> struct(x.u as u, x.k as k, x.l as l)))").alias("f")), "hubs")
+        star = left.select("s", F.col("node").alias("v"), "n", "m").join(hubs, "s").select("v", "n", "m", F.explode("f").alias("f"))
+        new = similar(candidates(star.select("f.*", "v", "n", "m").filter(f"l <> m and not ({far})")))
         found = new if found is None else staged(found.unionByName(new), "links")
         before = work
         label, left, work = labelled(found)
-        if work <= tile * tile // 2 or (before is not None and work > 0.9 * before):
+        if work <= limit or (before is not None and work > 0.9 * before):
             break
-    # every other pair
+    # every other pair, the likeliest first
     a, b = left.withColumnRenamed("node", "u"), left.select("s", F.col("node").alias("v"), F.col("n").alias("k"), F.col("m").alias("l"))
-    new = verified(a.join(b, "s").filter(f"u < v and m <> l and not ({far})"))
-    if not new.isEmpty():
-        label = components(found.unionByName(new))
+    pairs = candidates(a.join(b, "s").filter(f"u < v and m <> l and not ({far})"))
+    for k in LIKELY:
+        size = label.groupBy("m").agg((F.count(F.lit(1)) + 1).alias("size"))
+        for end in ("u", "v"):
+            pairs = pairs.join(label.select(F.col("v").alias(end), F.col("m").alias(f"m{end}")), end, "left").withColumn(f"m{end}", F.coalesce(f"m{end}", end))
+            pairs = pairs.join(size.select(F.col("m").alias(f"m{end}"), F.col("size").alias(f"s{end}")), f"m{end}", "left").withColumn(f"s{end}", F.coalesce(f"s{end}", F.lit(1)))
+        # a pair counts for its end in the smaller component
+        owner = F.when(F.struct("su", "mu") < F.struct("sv", "mv"), F.col("u")).otherwise(F.col("v"))
+        at = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("c"), F.xxhash64("u", "v"), "u", "v")) if k else F.lit(0)
+        pairs = staged(pairs.filter("mu <> mv").withColumn("owner", owner).withColumn("at", at).select("u", "v", "c", "at"), "left")
+        new = similar(pairs if k is None else pairs.filter(F.col("at") <= k))
+        pairs = pairs.filter(F.col("at") > (k or 0)).select("u", "v", "c")
+        if not new.isEmpty():
+            found = staged(found.unionByName(new), "links")
+            label = staged(components(found), "label")
     tied = nodes.join(label, nodes["node"] == label["v"], "left").select("k1", "k2", "id", F.coalesce("m", "node").alias("m"))
     least_id = tied.groupBy("m").agg(F.min("id").alias("component"))
     return rows.select("id", "th", "k1", "k2").join(tied.join(least_id, "m").select("k1", "k2", "component", "m"), ["k1", "k2"]).select("id", "th", "component", "m")

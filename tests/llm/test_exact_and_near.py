@@ -146,13 +146,47 @@ def test_similar_groups(spark):
     df = spark.createDataFrame([(i, t, "", 0, 0, "", 0.0, 0) for i, t in rows], SCHEMA)
     linked = [(a, b) for a in range(len(rows)) for b in range(a) if jaccard(rows[a][1] or "", rows[b][1] or "") >= 0.8]
     want = [(rows[k][0], null_last([rows[q][0] for q in g])) for g in classes(len(rows), linked) for k in g]
-    found = [(r["id"], r["component"]) for r in near.similar_groups(df.repartition(4), tile=16).collect()]
+    found = [(r["id"], r["component"]) for r in near.similar_groups(df.repartition(4), most=0).collect()]
     assert sorted(found, key=repr) == sorted(want, key=repr)
     kept = near.keep_one_similar(df)
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in want})
 
 
+@pytest.mark.parametrize("most", [0, 16])
+def test_families_about_the_similarity(spark, most):
+    """Twenty families of 150 copies, each edited so that about half of the pairs reach the similarity: groups are those of all pairs."""
+    rows, want = [], {}
+    for seed in range(20):
+        rng = random.Random(seed)
+        base = [f"w{seed}x{k}" for k in range(rng.randint(60, 200))]
+        family = []
+        for k in range(150):
+            copy = base[:]
+            for at in rng.sample(range(len(base)), max(1, round(len(base) * rng.uniform(0.005, 0.02)))):
+                copy[at] = f"e{seed}x{rng.randrange(10**6)}"
+            family.append((1000 * seed + k, " ".join(copy)))
+        sets = [(i, near.shingle_set(t.encode(), 5)) for i, t in family]
+        low = {i: i for i, _ in sets}
+
+        def root(i, low=low):
+            while low[i] != i:
+                i = low[i]
+            return i
+
+        for a, (i, x) in enumerate(sets):
+            for j, y in sets[a + 1 :]:
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= 0.8 * (len(x) + len(y) - both):
+                    u, v = sorted((root(i), root(j)))
+                    low[v] = u
+        want |= {i: root(i) for i, _ in sets}
+        rows += family
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert {r["id"]: r["component"] for r in near.similar_groups(df, most=most).collect()} == want
+    assert 20 < len(set(want.values())) < 2500
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + k) for k in range(1, 40)] + [(7, 7), (3, 2)]
     random.Random(1).shuffle(edges)
@@ -178,7 +212,7 @@ def test_every_candidate_is_verified(spark):
     linked = [(a, b) for a in range(len(rows)) for b in range(a) if jaccard(rows[a][1], rows[b][1]) >= 0.8]
     want = sorted(min(rows[q][0] for q in g) for g in classes(len(rows), linked))
     assert sorted(r["doc_id"] for r in stay(spark, rows)) == want
-    assert sorted({r["component"] for r in near.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), tile=2).collect()}) == want
+    assert sorted({r["component"] for r in near.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), most=0).collect()}) == want
 
 
 def test_a_repeated_line_makes_no_copies(spark):

@@ -179,7 +179,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
 
 # Near copies by similarity: an exact join of shingle sets. All pairs that can have the similarity share a shingle of their prefixes, and each of
 # them is verified, unless verified pairs join its ends already.
-SIMILARITY, HOT, SAMPLE, ROUNDS, OPEN, LIKELY = 0.8, 1 << 16, 16, 6, 16, (8, 64, None)
+SIMILARITY, HOT, SAMPLE, HUBS, OPEN, LIKELY = 0.8, 1 << 16, 16, (1, 16), 16, 16
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -221,8 +221,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     similarity of ``least`` at least) and m (the component's own number, which differs where ids don't).
 
     Rows of one shingle set (128 bits of hash) are one node. No similar pair is missed: prefixes give all candidates. Rounds that compare the nodes
-    of a shingle with two of them, then four and so on, picked by hashes, join large groups first, as long as more pairs are open than ``most`` times the entries
-    of the prefixes and a round settles a tenth of them. Then all candidates are listed: for each node the eight, then 64, that share most with it are compared, and after that
+    of a shingle with two of them, then with 32, picked by hashes, join large groups first, as long as more pairs are open than ``most`` times the entries
+    of the prefixes. Then all candidates are listed: for each node the sixteen that share most with it are compared, and after that
     every other pair; each time only those whose ends aren't joined by verified pairs. Nulls,
     repeated rows and empty tables are treated as in near_groups."""
     docs = keyed(df, id_col, text_col)
@@ -298,37 +298,33 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return label, staged(of.join(several.select("s"), "s"), "open"), several.agg(F.sum("pairs")).first()[0] or 0
 
     far = f"least(n, k) < {least} * greatest(n, k) - 1e-6"
-    left, found, work = shared.withColumn("m", F.col("node")), None, None
+    left, found = shared.withColumn("m", F.col("node")), None
     limit = most * shared.count()
-    for turn in range(ROUNDS):
+    for several in HUBS:
         hub = lambda j: F.struct(F.xxhash64(F.lit(j), "node").alias("h"), F.col("node").alias("u"), F.col("n").alias("k"), F.col("m").alias("l"))
-        picked = [x for j in range(1 << turn, 2 << turn) for x in (F.min(hub(j)).alias(f"a{j}"), F.max(hub(j)).alias(f"b{j}"))]
+        picked = [x for j in range(several, 2 * several) for x in (F.min(hub(j)).alias(f"a{j}"), F.max(hub(j)).alias(f"b{j}"))]
         hubs = left.groupBy("s").agg(*picked)
         hubs = staged(hubs.select("s", F.expr(f"array_distinct(transform(array({', '.join(c for c in hubs.columns if c != 's')}), x -> struct(x.u as u, x.k as k, x.l as l)))").alias("f")), "hubs")
         star = left.select("s", F.col("node").alias("v"), "n", "m").join(hubs, "s").select("v", "n", "m", F.explode("f").alias("f"))
         new = similar(candidates(star.select("f.*", "v", "n", "m").filter(f"l <> m and not ({far})")))
         found = new if found is None else staged(found.unionByName(new), "links")
-        before = work
         label, left, work = labelled(found)
-        if work <= limit or (before is not None and work > 0.9 * before):
+        if work <= limit:
             break
     # every other pair, the likeliest first
     a, b = left.withColumnRenamed("node", "u"), left.select("s", F.col("node").alias("v"), F.col("n").alias("k"), F.col("m").alias("l"))
     pairs = candidates(a.join(b, "s").filter(f"u < v and m <> l and not ({far})"))
-    for k in LIKELY:
-        size = label.groupBy("m").agg((F.count(F.lit(1)) + 1).alias("size"))
-        for end in ("u", "v"):
-            pairs = pairs.join(label.select(F.col("v").alias(end), F.col("m").alias(f"m{end}")), end, "left").withColumn(f"m{end}", F.coalesce(f"m{end}", end))
-            pairs = pairs.join(size.select(F.col("m").alias(f"m{end}"), F.col("size").alias(f"s{end}")), f"m{end}", "left").withColumn(f"s{end}", F.coalesce(f"s{end}", F.lit(1)))
-        # a pair counts for its end in the smaller component
-        owner = F.when(F.struct("su", "mu") < F.struct("sv", "mv"), F.col("u")).otherwise(F.col("v"))
-        at = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("c"), F.xxhash64("u", "v"), "u", "v")) if k else F.lit(0)
-        pairs = staged(pairs.filter("mu <> mv").withColumn("owner", owner).withColumn("at", at).select("u", "v", "c", "at"), "left")
-        new = similar(pairs if k is None else pairs.filter(F.col("at") <= k))
-        pairs = pairs.filter(F.col("at") > (k or 0)).select("u", "v", "c")
-        if not new.isEmpty():
-            found = staged(found.unionByName(new), "links")
-            label = staged(components(found), "label")
+    either = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "c"))
+    at = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("c"), F.xxhash64("v"), "v"))
+    first = either.withColumn("at", at).filter(F.col("at") <= LIKELY).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    likely = staged(first, "likely")
+    found = staged(found.unionByName(similar(likely)), "links")
+    label = staged(components(found), "label")
+    of = lambda c: label.select(F.col("v").alias(c), F.col("m").alias(f"m{c}"))
+    rest = pairs.select("u", "v").join(of("u"), "u", "left").join(of("v"), "v", "left").filter(F.coalesce("mu", "u") != F.coalesce("mv", "v"))
+    new = similar(staged(rest.select("u", "v").join(likely, ["u", "v"], "left_anti"), "left"))
+    if not new.isEmpty():
+        label = components(found.unionByName(new))
     tied = nodes.join(label, nodes["node"] == label["v"], "left").select("k1", "k2", "id", F.coalesce("m", "node").alias("m"))
     least_id = tied.groupBy("m").agg(F.min("id").alias("component"))
     return rows.select("id", "th", "k1", "k2").join(tied.join(least_id, "m").select("k1", "k2", "component", "m"), ["k1", "k2"]).select("id", "th", "component", "m")

@@ -179,7 +179,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
 
 # Near copies by similarity: an exact join of shingle sets. All pairs that can have the similarity share a shingle of their prefixes, and each of
 # them is verified, unless verified pairs join its ends already.
-SIMILARITY, HOT, SAMPLE, HUBS, OPEN, LIKELY = 0.8, 1 << 16, 16, (1, 16), 16, 16
+SIMILARITY, HOT, SAMPLE, HUBS, OPEN, LIKELY = 0.8, 1 << 16, 16, (1, 4), 16, 16
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -220,9 +220,11 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each input row: id, th, component (the smallest id reachable by pairs whose sets of ``shingle``-word shingles have a Jaccard
     similarity of ``least`` at least) and m (the component's own number, which differs where ids don't).
 
-    Rows of one shingle set (128 bits of hash) are one node. No similar pair is missed: prefixes give all candidates. Rounds that compare the nodes
-    of a shingle with two of them, then with 32, picked by hashes, join large groups first, as long as more pairs are open than ``most`` times the entries
-    of the prefixes. Then all candidates are listed: for each node the sixteen that share most with it are compared, and after that
+    Rows of one shingle set (128 bits of hash) are one node. No similar pair is missed: sets of n and k shingles have at least a = least / (1 + least) * (n + k)
+    in common, so the first n - a + 1 of the one and the first k - a + 1 of the other share a shingle, and all pairs that do are candidates. Rounds that compare
+    the nodes of a shingle with two of them, then with eight, join large groups first, as long as more pairs are open than ``most`` times the entries
+    of the prefixes. Half of those are picked by hashes; the others have the fewest rarer shingles, so they are the least changed of a group of
+    changed copies, and are similar to most of it. Then all candidates are listed: for each node the sixteen that share most with it are compared, and after that
     every other pair; each time only those whose ends aren't joined by verified pairs. Nulls,
     repeated rows and empty tables are treated as in near_groups."""
     docs = keyed(df, id_col, text_col)
@@ -247,12 +249,13 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             cut = [np.frombuffer(p, np.int64) for p in batch.column("prefix").to_pylist()]
             size = np.array([len(p) for p in cut], np.int64)
             repeated = [pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), size)) for c in ("node", "n")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *cut])), *repeated], names=["s", "node", "n"])
+            place = pa.array(np.concatenate([np.zeros(0, np.int32), *(np.arange(k, dtype=np.int32) for k in size)]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *cut])), *repeated, place], names=["s", "node", "n", "p"])
 
-    # shingles that the prefixes of two or more nodes have
+    # shingles that the prefixes of two or more nodes have, with their places there
     own = full.filter("n > 0").select(F.col("row").alias("node"), "n", "prefix").join(nodes.select("node"), "node", "left_semi")
-    posts = map_arrow(own, exploded, "s bigint, node bigint, n int")
-    shared = staged(posts.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("s"))).filter("c > 1").select("s", "node", "n"), "shared")
+    posts = map_arrow(own, exploded, "s bigint, node bigint, n int, p int")
+    shared = staged(posts.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("s"))).filter("c > 1").select("s", "node", "n", "p"), "shared")
     drop(full)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,13 +272,13 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 keep.append(both >= least * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    # two prefixes share so many shingles that the sets can have the similarity: a set has ceil(least * n) - 1 shingles beyond its prefix
-    rest = "ceil({least} * {n} - 1e-6) - 1"
-    bound = f"c + greatest({rest.format(least=least, n='n')}, {rest.format(least=least, n='k')}) >= {least / (1 + least)} * (n + k) - 1e-6"
+    # sets of n and k shingles can be similar only if their sizes are near, and if they meet at places p and q before the last a - 1 shingles of each
+    common = f"ceil({least / (1 + least)} * (n + k) - 1e-6)"
+    fits = f"m <> l and least(n, k) >= {least} * greatest(n, k) - 1e-6 and p <= n - {common} and q <= k - {common}"
 
     def candidates(met: DataFrame) -> DataFrame:
-        """Of pairs (u, v, of k and n shingles), one row for each shingle that both have been met by, those that can be similar, with the number of rows; staged."""
-        return staged(met.groupBy("u", "v", "n", "k").agg(F.count(F.lit(1)).alias("c")).filter(bound).select("u", "v", "c"), "pairs")
+        """Pairs (u, v), the smaller first, of rows for each shingle at which two nodes met, with the number of these; staged."""
+        return staged(met.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.count(F.lit(1)).alias("c")), "pairs")
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Those of some staged pairs that are similar."""
@@ -297,23 +300,24 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         several = staged(several.select("s", F.expr("(c * c - q) div 2").alias("pairs")), "several")
         return label, staged(of.join(several.select("s"), "s"), "open"), several.agg(F.sum("pairs")).first()[0] or 0
 
-    far = f"least(n, k) < {least} * greatest(n, k) - 1e-6"
     left, found = shared.withColumn("m", F.col("node")), None
     limit = most * shared.count()
     for several in HUBS:
-        hub = lambda j: F.struct(F.xxhash64(F.lit(j), "node").alias("h"), F.col("node").alias("u"), F.col("n").alias("k"), F.col("m").alias("l"))
-        picked = [x for j in range(several, 2 * several) for x in (F.min(hub(j)).alias(f"a{j}"), F.max(hub(j)).alias(f"b{j}"))]
+        hub = lambda *first: F.struct(*first, F.col("node").alias("u"), F.col("n").alias("k"), F.col("p").alias("q"), F.col("m").alias("l"))
+        by = lambda j: F.xxhash64(F.lit(j), "node").alias("h")
+        picked = [x for j in range(several, 2 * several) for x in (F.min(hub(by(j))).alias(f"a{j}"), F.min(hub(F.col("p"), by(j))).alias(f"b{j}"))]
         hubs = left.groupBy("s").agg(*picked)
-        hubs = staged(hubs.select("s", F.expr(f"array_distinct(transform(array({', '.join(c for c in hubs.columns if c != 's')}), x -> struct(x.u as u, x.k as k, x.l as l)))").alias("f")), "hubs")
-        star = left.select("s", F.col("node").alias("v"), "n", "m").join(hubs, "s").select("v", "n", "m", F.explode("f").alias("f"))
-        new = similar(candidates(star.select("f.*", "v", "n", "m").filter(f"l <> m and not ({far})")))
+        hubs = staged(hubs.select("s", F.array_distinct(F.array(*(F.struct(f"{c}.u", f"{c}.k", f"{c}.q", f"{c}.l") for c in hubs.columns if c != "s"))).alias("f")), "hubs")
+        star = left.select("s", F.col("node").alias("v"), "n", "p", "m").join(hubs, "s").select("v", "n", "p", "m", F.explode("f").alias("f"))
+        new = similar(candidates(star.select("f.*", "v", "n", "p", "m").filter(fits)))
         found = new if found is None else staged(found.unionByName(new), "links")
         label, left, work = labelled(found)
         if work <= limit:
             break
-    # every other pair, the likeliest first
-    a, b = left.withColumnRenamed("node", "u"), left.select("s", F.col("node").alias("v"), F.col("n").alias("k"), F.col("m").alias("l"))
-    pairs = candidates(a.join(b, "s").filter(f"u < v and m <> l and not ({far})"))
+    # every other pair; of the smaller set (of equal ones, that of the smaller number) only the places that a set of its own size or more can meet count
+    short = left.filter(f"p <= n - ceil({2 * least / (1 + least)} * n - 1e-6)")
+    a, b = short.withColumnRenamed("node", "u"), left.select("s", F.col("node").alias("v"), F.col("n").alias("k"), F.col("p").alias("q"), F.col("m").alias("l"))
+    pairs = candidates(a.join(b, "s").filter(f"(n < k or n = k and u < v) and {fits}"))
     either = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "c"))
     at = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("c"), F.xxhash64("v"), "v"))
     first = either.withColumn("at", at).filter(F.col("at") <= LIKELY).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()

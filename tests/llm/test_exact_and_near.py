@@ -236,6 +236,27 @@ def test_similar_sets_far_apart_in_bits(spark):
     assert {rows[b][0] for _, b in linked}.isdisjoint(r["doc_id"] for r in stay(spark, rows))
 
 
+def test_pairs_at_the_very_similarity(spark):
+    """Sets of n shingles within sets of 5 / 4 n, and pairs of one size that share 8 / 9 of it: similarity 0.8 to the last digit; and the same a shingle short."""
+    rng, rows, linked = random.Random(17), [], 0
+    for k in range(150):
+        n = 4 * rng.randint(2, 60)
+        body, more = words(rng, n + 4), words(rng, n // 4 + k % 2)
+        rows += [(2 * k, body), (2 * k + 1, f"{body} {more}" if k % 4 < 2 else f"{more} {body}")]
+    for k in range(150, 300):
+        n = rng.randint(1, 25)  # 8 n shingles in common, n at each end
+        body = words(rng, 8 * n + 4)
+        rows += [(2 * k, f"{words(rng, n)} {body}"), (2 * k + 1, f"{body} {words(rng, n + k % 2)}")]
+    want = {rows[q][0] for q in range(0, len(rows), 2)}
+    for q in range(0, len(rows), 2):
+        if jaccard(rows[q][1], rows[q + 1][1]) >= 0.8:
+            linked += 1
+        else:
+            want.add(rows[q + 1][0])
+    assert linked == 150
+    assert {r["doc_id"] for r in stay(spark, rows)} == want
+
+
 @pytest.mark.parametrize("keep", [near.keep_one, near.keep_one_similar])
 def test_unrelated_texts_of_one_id_stay(spark, keep):
     """Without an id, or with the same; a copy of one of them goes."""

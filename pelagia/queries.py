@@ -101,7 +101,11 @@ def bbox_reversed_corners(s: SparkSession, d: str) -> DataFrame:
 
 
 def bbox_clamped(s: SparkSession, d: str) -> DataFrame:
-    return requests.read(fixtures.store(s, d), -180.0, -90.0, 180.0, 90.0, start=DAY)
+    """The whole grid: all corners lie beyond the axes, also where many users make the fixture's rows pass 90 degrees."""
+    st = fixtures.store(s, d)
+    _, lons, _, lats = st.axes
+    low, high = (min(-180.0, float(lons.min()) - 1), min(-90.0, float(lats.min()) - 1)), (max(180.0, float(lons.max()) + 1), max(90.0, float(lats.max()) + 1))
+    return requests.read(st, *low, *high, start=DAY)
 
 
 def bbox_line(s: SparkSession, d: str) -> DataFrame:

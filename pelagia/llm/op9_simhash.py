@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, drop, keyed, map_arrow, only, staged, table, texts
+from .common import bucketed, components, drop, keyed, map_arrow, only, staged, table, texts
 
 RADIUS, SHINGLE, SEED, TILE, SUB = 4, 4, 42, 16384, 256
 #: Rows of a tile from which one, two and three counts cut its sub-tiles.
@@ -180,6 +180,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
 # Near copies by similarity: an exact join of shingle sets. All pairs that can have the similarity share a shingle of their prefixes, and each of
 # them is verified, unless verified pairs join its ends already.
 SIMILARITY, HOT, SAMPLE, HUBS, OPEN, LIKELY = 0.8, 1 << 16, 16, (1, 4), 16, 16
+KEY = ("i", "z", "th")  # a row's key (common.keyed) without nulls
+#: Bytes of shingle sets that a task keeps while it compares pairs.
+KEPT = 32 << 20
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -228,6 +231,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     every other pair; each time only those whose ends aren't joined by verified pairs. Nulls,
     repeated rows and empty tables are treated as in near_groups."""
     docs = keyed(df, id_col, text_col)
+    # texts move once, into a table bucketed by row key; copies of a row are one
+    one_id = (F.coalesce("id", F.lit(0).cast("long")).alias("i"), F.col("id").isNull().cast("int").alias("z"))
+    held = bucketed(docs.select(*one_id, "th", "text").groupBy(*KEY).agg(F.first("text").alias("text")), "held", *KEY)
     hot, rank = frequent(docs, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +248,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     full = staged(mapped.withColumn("row", F.monotonically_increasing_id()), "sets")
     rows = staged(full.drop("prefix"), "rows")
     one = rows.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "th", "row", "n")).alias("r"))
-    nodes = staged(one.select("k1", "k2", "r.id", "r.th", F.col("r.row").alias("node"), "r.n"), "nodes")
+    nodes = staged(one.select("k1", "k2", "r.id", "r.th", F.col("r.row").alias("node"), "r.n").select("*", *one_id), "nodes")
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,16 +264,19 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = staged(posts.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("s"))).filter("c > 1").select("s", "node", "n", "p"), "shared")
     drop(full)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(t, shingle).tobytes() for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "s"])
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        size = 0
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for u, v, *ab in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), texts(batch, "a"), texts(batch, "b"), strict=True):
+                if size > KEPT:
+                    known, size = {}, 0
+                for node, text in zip((u, v), ab, strict=True):
+                    if node not in known:
+                        known[node] = shingle_set(text, shingle)
+                        size += known[node].nbytes
+                x, y = known[u], known[v]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= least * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -281,15 +290,13 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return staged(met.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.count(F.lit(1)).alias("c")), "pairs")
 
     def similar(pairs: DataFrame) -> DataFrame:
-        """Those of some staged pairs that are similar."""
-        ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        used = nodes.join(ends, "node", "left_semi").select("node", F.col("id").alias("i"), F.col("th").alias("t"))
-        with_text = docs.join(used, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("node", "text")
-        held = staged(map_arrow(with_text, sets, "node bigint, s binary").dropDuplicates(["node"]), "held")
-        sided = pairs.join(held.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
-        found = staged(map_arrow(sided.select("u", "v", "a", "b"), verify, "u bigint, v bigint"), "verified")
-        drop(held)
-        return found
+        """Those of some staged pairs that are similar. Of each pair one text moves, to the place where the other lies."""
+        sided = pairs.select("u", "v")
+        for node, side in (("u", "a"), ("v", "b")):
+            key = {c: c + node for c in KEY}
+            of = nodes.select(F.col("node").alias(node), *(F.col(c).alias(k) for c, k in key.items()))
+            sided = sided.join(of, node).join(held.select(*(F.col(c).alias(k) for c, k in key.items()), F.col("text").alias(side)), [*key.values()]).drop(*key.values())
+        return staged(map_arrow(sided.select("u", "v", "a", "b"), verify, "u bigint, v bigint"), "verified")
 
     def labelled(found: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         """The components of verified pairs, the shared shingles whose nodes lie in several of them, and the pairs these have to compare."""
@@ -298,7 +305,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         counted = staged(of.groupBy("s", "m").agg(F.count(F.lit(1)).alias("c")), "counted")
         several = counted.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("c"), F.sum(F.expr("c * c")).alias("q")).filter("k > 1")
         several = staged(several.select("s", F.expr("(c * c - q) div 2").alias("pairs")), "several")
-        return label, staged(of.join(several.select("s"), "s"), "open"), several.agg(F.sum("pairs")).first()[0] or 0
+        still, work = staged(of.join(several.select("s"), "s"), "open"), several.agg(F.sum("pairs")).first()[0] or 0
+        drop(counted, several)
+        return label, still, work
 
     left, found = shared.withColumn("m", F.col("node")), None
     limit = most * shared.count()
@@ -309,7 +318,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         hubs = left.groupBy("s").agg(*picked)
         hubs = staged(hubs.select("s", F.array_distinct(F.array(*(F.struct(f"{c}.u", f"{c}.k", f"{c}.q", f"{c}.l") for c in hubs.columns if c != "s"))).alias("f")), "hubs")
         star = left.select("s", F.col("node").alias("v"), "n", "p", "m").join(hubs, "s").select("v", "n", "p", "m", F.explode("f").alias("f"))
-        new = similar(candidates(star.select("f.*", "v", "n", "p", "m").filter(fits)))
+        met = candidates(star.select("f.*", "v", "n", "p", "m").filter(fits))
+        new = similar(met)
+        drop(met, hubs)
         found = new if found is None else staged(found.unionByName(new), "links")
         label, left, work = labelled(found)
         if work <= limit:
@@ -318,6 +329,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     short = left.filter(f"p <= n - ceil({2 * least / (1 + least)} * n - 1e-6)")
     a, b = short.withColumnRenamed("node", "u"), left.select("s", F.col("node").alias("v"), F.col("n").alias("k"), F.col("p").alias("q"), F.col("m").alias("l"))
     pairs = candidates(a.join(b, "s").filter(f"(n < k or n = k and u < v) and {fits}"))
+    drop(shared, left)
     either = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"), "c"))
     at = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("c"), F.xxhash64("v"), "v"))
     first = either.withColumn("at", at).filter(F.col("at") <= LIKELY).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -326,7 +338,10 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     label = staged(components(found), "label")
     of = lambda c: label.select(F.col("v").alias(c), F.col("m").alias(f"m{c}"))
     rest = pairs.select("u", "v").join(of("u"), "u", "left").join(of("v"), "v", "left").filter(F.coalesce("mu", "u") != F.coalesce("mv", "v"))
-    new = similar(staged(rest.select("u", "v").join(likely, ["u", "v"], "left_anti"), "left"))
+    rest = staged(rest.select("u", "v").join(likely, ["u", "v"], "left_anti"), "left")
+    drop(pairs, likely)
+    new = similar(rest)
+    drop(held)
     if not new.isEmpty():
         label = components(found.unionByName(new))
     tied = nodes.join(label, nodes["node"] == label["v"], "left").select("k1", "k2", "id", F.coalesce("m", "node").alias("m"))

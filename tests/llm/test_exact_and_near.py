@@ -265,3 +265,23 @@ def test_unrelated_texts_of_one_id_stay(spark, keep):
     rows = [(None, own[0]), (None, own[1]), (7, own[2]), (7, own[3]), (None, own[4]), (8, own[4]), (None, own[5]), (None, own[5]), (9, own[6])]
     got = stay(spark, rows, keep)
     assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([(None, own[0]), (None, own[1]), (7, own[2]), (7, own[3]), (8, own[4]), (None, own[5]), (9, own[6])], key=repr)
+
+
+def test_staged_leaves_no_shuffle_files(spark):
+    """What a staged table was made through goes with the write, not when the driver collects garbage."""
+    import glob
+
+    from pyspark.sql import functions as F
+
+    from pelagia.llm.common import bucketed, drop, staged
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in dirs for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    old = files()
+    df = spark.range(100_000).groupBy((F.col("id") * 7 % 50_021).alias("k")).agg(F.max("id").alias("m"))
+    made = staged(df, "freed"), bucketed(df, "freed", "k")
+    assert not files() - old
+    assert [x.count() for x in made] == [50_021] * 2 and spark.conf.get(key, None) == before
+    drop(*made)

@@ -177,8 +177,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     return only(df, first_of_each(near_groups(df, id_col, text_col, radius, shingle)), id_col, text_col)
 
 
-# Near copies by similarity: an exact join of shingle sets. All pairs that can have the similarity share a shingle of their prefixes, and each of
-# them is verified, unless verified pairs join its ends already.
+# Near copies by similarity. SimHash proposes first: sets whose fingerprints link are compared exactly. What it leaves, pairs beyond its radius among
+# them, is found by an exact join of shingle sets: all pairs that can have the similarity share a shingle of their prefixes, and each of them is
+# verified, unless verified pairs join its ends already.
 SIMILARITY, HOT, SAMPLE, HUBS, OPEN, LIKELY = 0.8, 1 << 16, 16, (1, 4), 16, 16
 KEY = ("i", "z", "th")  # a row's key (common.keyed) without nulls
 #: Bytes of shingle sets that a task keeps while it compares pairs.
@@ -219,12 +220,26 @@ def frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return hot[order], (len(hot) - np.arange(len(hot)))[order]
 
 
+def print_pairs(nodes: DataFrame, least: float, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """Pairs (u, v) of nodes that fingerprints join (columns node, n, the size of its set, and fp): each node with the smallest one of its fingerprint, and the smallest ones of
+    fingerprints that a spanning forest of their links joins. Without those whose sizes rule out the similarity; staged."""
+    prints = staged(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("r")).select("fp", "r.*"), "prints")
+    head = lambda c, k: prints.select(F.col("fp").alias(f"f{c}"), F.col("node").alias(c), F.col("n").alias(k))
+    same = nodes.select(F.col("fp").alias("fu"), F.col("node").alias("v"), F.col("n").alias("k")).join(head("u", "n"), "fu").select("u", "n", "v", "k")
+    linked = near_links(prints.select("fp"), radius, tile).toDF("fu", "fv").join(head("u", "n"), "fu").join(head("v", "k"), "fv").select("u", "n", "v", "k")
+    fits = same.unionByName(linked).filter(f"u <> v and least(n, k) >= {least} * greatest(n, k) - 1e-6")
+    found = staged(fits.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "proposed")
+    drop(prints)
+    return found
+
+
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = SIMILARITY, most: float = OPEN) -> DataFrame:
     """One row for each input row: id, th, component (the smallest id reachable by pairs whose sets of ``shingle``-word shingles have a Jaccard
     similarity of ``least`` at least) and m (the component's own number, which differs where ids don't).
 
     Rows of one shingle set (128 bits of hash) are one node. No similar pair is missed: sets of n and k shingles have at least a = least / (1 + least) * (n + k)
-    in common, so the first n - a + 1 of the one and the first k - a + 1 of the other share a shingle, and all pairs that do are candidates. Rounds that compare
+    in common, so the first n - a + 1 of the one and the first k - a + 1 of the other share a shingle, and all pairs that do are candidates. Those whose SimHash
+    fingerprints (of the sets, so that repeats don't weigh) link are compared before all others. Then rounds that compare
     the nodes of a shingle with two of them, then with eight, join large groups first, as long as more pairs are open than ``most`` times the entries
     of the prefixes. Half of those are picked by hashes; the others have the fewest rarer shingles, so they are the least changed of a group of
     changed copies, and are similar to most of it. Then all candidates are listed: for each node the sixteen that share most with it are compared, and after that
@@ -241,14 +256,15 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = [shingle_set(t, shingle) for t in texts(batch)]
             names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in found), np.int64).reshape(len(found), 2)
             cut = [prefix(s, hot, rank, least).tobytes() for s in found]
-            columns = [batch.column("id"), batch.column("th"), *(pa.array(np.ascontiguousarray(names[:, k])) for k in (0, 1)), pa.array([len(s) for s in found], pa.int32()), pa.array(cut, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "k1", "k2", "n", "prefix"])
+            fps = np.fromiter(map(majority, found), np.uint64, len(found)).view(np.int64)
+            columns = [batch.column("id"), batch.column("th"), *(pa.array(np.ascontiguousarray(names[:, k])) for k in (0, 1)), pa.array(fps), pa.array([len(s) for s in found], pa.int32()), pa.array(cut, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "k1", "k2", "fp", "n", "prefix"])
 
-    mapped = map_arrow(docs, run, "id bigint, th bigint, k1 bigint, k2 bigint, n int, prefix binary")
+    mapped = map_arrow(docs, run, "id bigint, th bigint, k1 bigint, k2 bigint, fp bigint, n int, prefix binary")
     full = staged(mapped.withColumn("row", F.monotonically_increasing_id()), "sets")
     rows = staged(full.drop("prefix"), "rows")
-    one = rows.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "th", "row", "n")).alias("r"))
-    nodes = staged(one.select("k1", "k2", "r.id", "r.th", F.col("r.row").alias("node"), "r.n").select("*", *one_id), "nodes")
+    one = rows.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "th", "row", "n", "fp")).alias("r"))
+    nodes = staged(one.select("k1", "k2", "r.id", "r.th", F.col("r.row").alias("node"), "r.n", "r.fp").select("*", *one_id), "nodes")
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,7 +325,10 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         drop(counted, several)
         return label, still, work
 
-    left, found = shared.withColumn("m", F.col("node")), None
+    proposed = print_pairs(nodes.filter("n > 0").select("node", "n", "fp"), least)
+    found = similar(proposed)
+    drop(proposed)
+    label, left, work = labelled(found)
     limit = most * shared.count()
     for several in HUBS:
         hub = lambda *first: F.struct(*first, F.col("node").alias("u"), F.col("n").alias("k"), F.col("p").alias("q"), F.col("m").alias("l"))
@@ -321,7 +340,8 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         met = candidates(star.select("f.*", "v", "n", "p", "m").filter(fits))
         new = similar(met)
         drop(met, hubs)
-        found = new if found is None else staged(found.unionByName(new), "links")
+        found = staged(found.unionByName(new), "links")
+        drop(left)
         label, left, work = labelled(found)
         if work <= limit:
             break

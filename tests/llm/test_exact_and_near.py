@@ -285,3 +285,39 @@ def test_staged_leaves_no_shuffle_files(spark):
     assert not files() - old
     assert [x.count() for x in made] == [50_021] * 2 and spark.conf.get(key, None) == before
     drop(*made)
+
+
+@pytest.mark.parametrize("tile", [7, 16384])
+def test_fingerprints_propose_pairs(spark, tile):
+    """The proposed pairs join what fingerprints within the radius join, one a node at most; sizes too far apart are no pair."""
+    rng = random.Random(21)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = [b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for b in base for _ in range(4)] + base[:20] * 2
+    signed = [x - 2**64 if x >> 63 else x for x in fps]
+    df = spark.createDataFrame([(k, 100, x) for k, x in enumerate(signed)], "node long, n int, fp long")
+    pairs = [(r["u"], r["v"]) for r in near.print_pairs(df, 0.8, tile=tile).collect()]
+    linked = [(a, b) for a in range(len(fps)) for b in range(a) if bin(fps[a] ^ fps[b]).count("1") <= 4]
+    assert sorted(map(sorted, classes(len(fps), pairs))) == sorted(map(sorted, classes(len(fps), linked)))
+    far = spark.createDataFrame([(0, 100, 5), (1, 79, 5), (2, 80, 5)], "node long, n int, fp long")
+    assert [tuple(r) for r in near.print_pairs(far, 0.8).collect()] == [(0, 2)]
+
+
+def test_similar_groups_begin_with_fingerprints(spark, monkeypatch):
+    """The join only gets what the fingerprints have left: copies with a changed word in 400 are joined before it."""
+    rng, rows, seen = random.Random(22), [], []
+    for g in range(6):
+        text = words(rng, 400).split()
+        for k in range(5):
+            copy = text[:]
+            copy[rng.randrange(400)] = f"own{k}"
+            rows.append((10 * g + k, " ".join(copy)))
+    propose = near.print_pairs
+
+    def counted(*a):
+        found = propose(*a)
+        seen.append(found.count())
+        return found
+
+    monkeypatch.setattr(near, "print_pairs", counted)
+    assert {r["doc_id"] for r in stay(spark, rows)} == {10 * g for g in range(6)}
+    assert len(seen) == 1 and seen[0] >= 12

@@ -9,6 +9,8 @@ import numpy as np
 
 _BASE, _SIDE, _OTHER = 0x100000001B3, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 LONG = 64
+#: Probabilities of strings down to exp(-DEEP) are summed as they are, which doubles hold; below, their logarithms are.
+DEEP = 600.0
 
 
 class Table:
@@ -68,6 +70,11 @@ def table_of(pieces: list[bytes]) -> Table:
     return _tables[key]
 
 
+def shallow(n: int, logp: np.ndarray) -> bool:
+    """Whether all segmentations of ``n`` bytes have a probability that a double holds."""
+    return -n * float(logp.min()) < DEEP
+
+
 class Lattice:
     """pieces: byte strings, all single bytes among them; logp: their natural log probabilities. Pieces are looked up for many strings at once."""
 
@@ -103,6 +110,8 @@ class Lattice:
     def forward(self, x: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
         """Log marginals of the rows of ``x``. With ``counts``, the expected number of uses of each piece is added to it."""
         n = x.shape[1]
+        if shallow(n, self.logp):
+            return self.forward_shallow(x, counts)
         a = np.full((n + 1, len(x)), -np.inf)
         a[0] = 0
         kept = []
@@ -119,6 +128,27 @@ class Lattice:
                 b[i, rows] = np.logaddexp(b[i, rows], on)
         return a[n]
 
+    def forward_shallow(self, x: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+        """The same without logarithms, for strings whose least probable segmentation is above exp(-DEEP)."""
+        n, p = x.shape[1], np.exp(self.logp)
+        a = np.zeros((n + 1, len(x)))
+        a[0] = 1
+        kept = []
+        for i, k, rows, ids in self.arcs(x):
+            step = p[ids]
+            a[i + k, rows] += a[i, rows] * step
+            if counts is not None:
+                kept.append((i, k, rows, ids, step))
+        if kept:
+            b, uses = np.zeros((n + 1, len(x))), []
+            b[n] = 1 / a[n]
+            for i, k, rows, _, step in reversed(kept):
+                on = step * b[i + k, rows]
+                uses.append(a[i, rows] * on)
+                b[i, rows] += on
+            counts += np.bincount(np.concatenate([ids for *_, ids, _ in reversed(kept)]), np.concatenate(uses), len(counts))
+        return np.log(a[n])
+
     def forward_long(self, word: bytes, counts: np.ndarray | None = None) -> float:
         """The same for one long string: lookups for all places at once, then the recursion place by place, in a window of places."""
         x = np.frombuffer(word, np.uint8).astype(np.uint64) + np.uint64(1)
@@ -146,6 +176,7 @@ class Lattice:
         """Natural log of each word's probability under several sets of piece probabilities (rows): pieces are looked up once for all."""
         out = np.empty((len(logps), len(words)))
         by_piece = np.ascontiguousarray(np.stack(logps, axis=1))
+        p_piece = np.exp(by_piece)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(lengths, kind="stable")
         for same in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
@@ -157,6 +188,13 @@ class Lattice:
                 continue
             for part in (same[i : i + block] for i in range(0, len(same), block)):
                 x = np.frombuffer(b"".join([words[w] for w in part.tolist()]), np.uint8).reshape(len(part), n)
+                if shallow(n, by_piece):
+                    a = np.zeros((n + 1, len(x), len(logps)))
+                    a[0] = 1
+                    for i, k, rows, ids in self.arcs(x):
+                        a[i + k, rows] += a[i, rows] * p_piece[ids]
+                    out[:, part] = np.log(a[n]).T
+                    continue
                 a = np.full((n + 1, len(x), len(logps)), -np.inf)
                 a[0] = 0
                 for i, k, rows, ids in self.arcs(x):

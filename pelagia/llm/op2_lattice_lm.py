@@ -34,6 +34,8 @@ from .op3_language import held_out
 
 VOCABULARY, ROUNDS, BLOCK = "/opt/tokenizers/piece_bpe_32k.model", 3, 12 << 20
 CLASSES, ALPHA = 7, 3000.0
+#: Words of a class that a task sums over at once.
+TOGETHER = 1 << 15
 
 
 def packed(data) -> bytes:
@@ -185,11 +187,17 @@ def expected(counts: DataFrame, pieces: list[bytes], logp: list[np.ndarray]) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = Lattice(pieces, logp[0])
         nets, total = [one.weighted(p) for p in logp], np.zeros((len(logp), len(pieces)))
+        held: list[list[bytes]] = [[] for _ in nets]  # words of a class from row after row, as many small calls cost more than few large ones
         for b in batches:
             for w, c in zip(b.column("words").to_pylist(), b.column("counts").to_pylist(), strict=True):
                 words, of = unpacked(w).split(), from_planes(c, 8).reshape(len(logp), -1)
                 for k, net in enumerate(nets):
-                    net.log_marginals([b" " + words[i] for i in np.flatnonzero(of[k]).tolist()], total[k])
+                    held[k] += [b" " + words[i] for i in np.flatnonzero(of[k]).tolist()]
+                    if len(held[k]) >= TOGETHER:
+                        net.log_marginals(held[k], total[k])
+                        held[k] = []
+        for k, net in enumerate(nets):
+            net.log_marginals(held[k], total[k])
         k, some = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(some.astype(np.int32)), pa.array(total[k, some])], names=["k", "piece", "uses"])
 

@@ -53,6 +53,24 @@ def test_lattice_expectation_maximisation_gains():
         last, p = total, (uses + 1e-6) / (uses + 1e-6).sum()
 
 
+def test_lattice_without_logarithms(monkeypatch):
+    """Sums of the probabilities themselves give what sums of logarithms give, words of several lengths and classes; deep strings keep to logarithms."""
+    from pelagia.llm import lattice
+
+    rng = random.Random(23)
+    ws = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 40))).encode() for _ in range(300)]
+    p = np.array([rng.random() ** 8 + 1e-7 for _ in PIECES])
+    logps = [np.log(p / p.sum()), np.log(p[::-1] / p.sum())]
+    net = Lattice(PIECES, logps[0])
+    assert lattice.shallow(20, logps[0]) and not lattice.shallow(lattice.LONG, logps[0] - 20)
+    got, want = np.zeros(len(PIECES)), np.zeros(len(PIECES))
+    one, many = net.log_marginals(ws, got), net.log_marginals_of(ws, logps)
+    monkeypatch.setattr(lattice, "DEEP", -1.0)
+    assert np.allclose(one, net.log_marginals(ws, want), rtol=1e-12, atol=1e-12)
+    assert np.allclose(got, want, rtol=1e-9) and got.sum() > 300
+    assert np.allclose(many, net.log_marginals_of(ws, logps), rtol=1e-12, atol=1e-12)
+
+
 def test_lattice_probabilities_sum_to_one():
     """All words up to a length, and what is left for longer ones."""
     p = np.array([0.2, 0.25, 0.15, 0.1, 0.1, 0.05, 0.05, 0.05, 0.05])

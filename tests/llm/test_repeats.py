@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import random
 
 import numpy as np
@@ -165,3 +166,25 @@ def test_long_texts(spark):
     assert found == {1: (100_000, 1), 2: (100_000, 1), 3: (0, 0)}
     found = {r["id"]: (r["n_spans"], r["n_units"] - r["n_removed"]) for r in lsm_op.remove_repeats(frame(spark, rows)).collect()}
     assert found[2][0] == 1 and found[2][1] <= 2 and found[3] == (0, 2)
+
+
+def test_a_large_group_costs_rows_by_its_runs(spark, monkeypatch):
+    """A line in 400 texts, each with its own words around it: what batches of the group tell each other is a few rows, not one for each window."""
+    from pelagia.llm import spans
+
+    rng, made, write = random.Random(31), {}, spans.staged
+    letters = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    line = letters(70)
+    rows = [(k, letters(90) + line + letters(90)) for k in range(400)]
+
+    def counted(df, tag):
+        out = write(df, tag)
+        made[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(spans, "staged", counted)
+    found = sa_op.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=48, gram=8, most=16, symbols=200).collect()
+    often = collections.Counter(t[k : k + 48] for _, t in rows for k in range(len(t) - 47))
+    want = {i: len({q for k in range(len(t) - 47) if often[t[k : k + 48]] > 1 for q in range(k, k + 48)}) for i, t in rows}
+    assert {r["id"]: r["n_removed"] for r in found} == want and min(want.values()) >= 70
+    assert made["large"] and made["solved"] <= 2 * made["runs"]

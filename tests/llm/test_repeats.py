@@ -188,3 +188,36 @@ def test_a_large_group_costs_rows_by_its_runs(spark, monkeypatch):
     want = {i: len({q for k in range(len(t) - 47) if often[t[k : k + 48]] > 1 for q in range(k, k + 48)}) for i, t in rows}
     assert {r["id"]: r["n_removed"] for r in found} == want and min(want.values()) >= 70
     assert made["large"] and made["solved"] <= 2 * made["runs"]
+
+
+def test_passages_across_documents_at_the_limit(spark, tmp_path):
+    """Passages of over 50 words in two documents each, through the registered query: of 400 bytes or more they go from both, shorter ones and those with other white space stay."""
+    import hashlib
+
+    import __spark_entry__
+
+    rng = random.Random(51)
+
+    def passage(size, letters="abcdefghij"):
+        words = [["".join(rng.choices(letters, k=4))] for _ in range(60)]
+        while len(" ".join(w[0] for w in words).encode()) < size:
+            rng.choice(words)[0] += "x"
+        return " ".join(w[0] for w in words)
+
+    around = lambda mark: " ".join(mark + str(rng.randrange(10**9)) for _ in range(40))
+    shared = {399: passage(399), 400: passage(400), 401: passage(401), 900: passage(900), 560: passage(560, "äöüßñ")}
+    rows, want = [], {}
+    for size, p in shared.items():
+        assert len(p.encode()) == size and len(p.split()) == 60
+        for k in (0, 1):
+            head, tail = around("pq"[k]) + "-+"[k], "<>"[k] + around("rs"[k])
+            rows.append((2 * size + k, head + p + tail))
+            gone = size if size >= 400 else 0
+            want[2 * size + k] = (len(rows[-1][1].encode()), gone, int(gone > 0), hashlib.sha256((head + ("" if gone else p) + tail).encode()).hexdigest())
+    spaced = passage(450)
+    for k, t in enumerate((spaced, spaced.replace(" ", "\n"))):
+        rows.append((k, t))
+        want[k] = (450, 0, 0, hashlib.sha256(t.encode()).hexdigest())
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = __spark_entry__.queries()["op6_suffix_array_dedup"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in found} == want
